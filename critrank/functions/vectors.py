@@ -46,18 +46,31 @@ def token_sign(t: Column) -> Column:
                   F.lit(1.0)).otherwise(F.lit(-1.0))
 
 
-def hash_encode(tokens_col, dim: int = 64) -> Column:
-    """Unit feature-hash vector of an ARRAY<STRING> of tokens.
+def hash_vector(tokens_col, dim: int = 64) -> Column:
+    """Un-normalised feature-hash vector of an ARRAY<STRING> of tokens.
 
-    Cost O(dim x tokens) per row: meant for short texts (dimension texts,
-    queries).  Corpus-scale encoding uses ``operators.vectors.encode`` which
-    does the same hashing per Arrow batch in O(tokens).
+    One pass over the tokens: each token is hashed once (the input array of
+    ``aggregate`` is evaluated once), then added into a ``dim``-slot
+    accumulator.  Meant for short texts (dimension texts, queries);
+    corpus-scale encoding uses ``operators.vectors.encode`` (Arrow batches).
     """
     hashed = F.transform(col_(tokens_col),
-                         lambda t: F.struct(token_bucket(t, dim).alias("b"),
+                         lambda t: F.struct(token_bucket(t, dim).cast("int").alias("b"),
                                             token_sign(t).alias("s")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                      lambda i: F.aggregate(hashed, F.lit(0.0),
-                                            lambda acc, h: acc + F.when(h["b"] == i, h["s"])
-                                            .otherwise(F.lit(0.0))))
-    return unit(raw)
+    return F.aggregate(hashed, F.array_repeat(F.lit(0.0), dim),
+                       lambda acc, h: F.transform(acc, lambda x, i: x + F.when(i == h["b"], h["s"])
+                                                  .otherwise(F.lit(0.0))))
+
+
+def with_hash_encoding(df, tokens_col: str, out: str, dim: int = 64):
+    """Add the unit feature-hash vector of ``tokens_col`` as column ``out``.
+
+    Staged over three projections: the raw vector and its norm are each
+    referenced more than once, so Catalyst keeps them as computed columns
+    instead of re-evaluating the hashing inside the scaling lambda.
+    """
+    staged = df.withColumn("_hv", hash_vector(tokens_col, dim))
+    staged = staged.withColumn("_hn", l2norm("_hv"))
+    scaled = F.when(F.col("_hn") > 0, F.transform("_hv", lambda v: v / F.col("_hn"))) \
+        .otherwise(F.col("_hv"))
+    return staged.withColumn(out, scaled).drop("_hv", "_hn")

@@ -78,11 +78,19 @@ def query_idf_map(terms: DataFrame, stats: DataFrame, vocabulary: list[str],
     return t.agg(F.map_from_entries(F.collect_list(F.struct("term", "idf")))).scalar()
 
 
-def term_frequencies(tokens_col: Column, vocabulary: list[str]) -> Column:
-    """MAP<term, INT> of the query vocabulary terms present in one document."""
+def query_term_occurrences(tokens_col: Column, vocabulary: list[str]) -> Column:
+    """The document's tokens that belong to the query vocabulary (``INSET`` filter)."""
     if not vocabulary:
-        return F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
-    tq = F.filter(tokens_col, lambda x: x.isin(list(vocabulary)))
+        return F.array().cast("array<string>")
+    return F.filter(tokens_col, lambda x: x.isin(list(vocabulary)))
+
+
+def term_frequencies(tq: Column) -> Column:
+    """MAP<term, INT> counting each distinct term of ``tq``.
+
+    ``tq`` must be a column (not an expression): it is read once per distinct
+    term, which is cheap only when it is already computed.
+    """
     return F.map_from_entries(F.transform(
         F.array_distinct(tq),
         lambda t: F.struct(t.alias("k"), F.size(F.filter(tq, lambda y: y == t)).alias("v"))))
@@ -118,10 +126,13 @@ def bm25_raw(tok: DataFrame, queries: dict[str, list[str]], terms: DataFrame | N
     vocab = sorted({t for q in queries.values() for t in q})
     idf_map = query_idf_map(terms, stats, vocab, eps)
     avgdl = stats.select("avgdl").scalar()
-    tf = term_frequencies(F.col("tokens"), vocab)
     cols = [F.col(c) for c in (keep or ["doc_id", "dl"])]
-    # Scalar subqueries may not appear inside lambdas: project them first.
-    out = tok.select(*cols, tf.alias("_tf"), idf_map.alias("_idf"), avgdl.alias("_avgdl"))
+    # Staged projections: the query-term occurrences are computed once and
+    # referenced twice (so Catalyst keeps them as a column); scalar subqueries
+    # may not appear inside lambdas, so they are projected as columns too.
+    out = tok.select(*cols, query_term_occurrences(F.col("tokens"), vocab).alias("_tq"),
+                     idf_map.alias("_idf"), avgdl.alias("_avgdl"))
+    out = out.withColumn("_tf", term_frequencies(F.col("_tq"))).drop("_tq")
     for dim, q in queries.items():
         out = out.withColumn(f"bm25_raw__{dim}",
                              bm25_expr(F.col("_tf"), F.col("dl"), q, F.col("_idf"),
