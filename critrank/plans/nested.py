@@ -49,7 +49,7 @@ def nested_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("CAND_"), F.lpad(F.col("doc_id").cast("string"), 7, "0")))
     profile = F.struct(
         F.col("source").alias("anonymized_name"), lines[0].alias("headline"),
-        F.coalesce(F.element_at(lines, 2), F.lit("")).alias("summary"),
+        F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit("")).alias("summary"),
         F.col("lang").alias("location"), F.col("lang").alias("country"),
         (F.col("n_chars") / 500.0).alias("years_of_experience"),
         F.col("source").alias("current_title"), F.col("source").alias("current_company"),

@@ -454,3 +454,92 @@ FROM parts"""
 
 
 ORACLES = build()
+
+
+RANKING_TABLE = """rt AS (
+  SELECT o_orderkey // 100 AS ranking_id, o_orderkey % 100 + 2 AS row_num,
+    CASE WHEN o_orderkey % 97 = 5 THEN 'CAND_' || CAST(o_orderkey AS VARCHAR)
+         WHEN o_orderkey % 89 = 7 THEN ''
+         WHEN o_orderkey % 83 = 3 THEN 'CAND_' || lpad(CAST(o_orderkey - 1 AS VARCHAR), 7, '0')
+         ELSE 'CAND_' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') END AS cid,
+    CASE WHEN o_orderkey % 101 = 4 THEN '0' || CAST(o_orderkey % 100 + 1 AS VARCHAR)
+         WHEN o_orderkey % 103 = 9 THEN CAST(o_orderkey % 100 AS VARCHAR)
+         WHEN o_orderkey % 107 = 2 THEN '101'
+         ELSE CAST(o_orderkey % 100 + 1 AS VARCHAR) END AS rank_s,
+    CASE WHEN o_orderkey % 127 = 6 THEN 'abc'
+         ELSE printf('%.2f', CASE WHEN o_orderkey % 109 = 1 THEN 1000.0 - (o_orderkey % 100) * 1.5 + 50.0
+                                  WHEN o_orderkey % 113 = 0 THEN 1000.0 - (o_orderkey % 100) * 1.5 + 1.5
+                                  ELSE 1000.0 - (o_orderkey % 100) * 1.5 END) END AS score_s,
+    o_orderkey % 131 = 10 AS bad_cells
+  FROM orders),
+p AS (
+  SELECT *, regexp_full_match(cid, '^CAND_[0-9]{7}$') AS id_ok,
+         CASE WHEN regexp_full_match(rank_s, '^(0|-?[1-9][0-9]*)$') THEN TRY_CAST(rank_s AS BIGINT) END AS rank_i,
+         CASE WHEN regexp_full_match(score_s, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$')
+              THEN TRY_CAST(score_s AS DOUBLE) END AS score_d
+  FROM rt),
+g AS (
+  SELECT *,
+    CASE WHEN id_ok THEN row_number() OVER (PARTITION BY ranking_id, cid, id_ok ORDER BY row_num) END AS id_seq,
+    CASE WHEN rank_i BETWEEN 1 AND 100 THEN row_number() OVER (PARTITION BY ranking_id, rank_i, rank_i BETWEEN 1 AND 100 ORDER BY row_num) END AS rank_seq
+  FROM p WHERE NOT bad_cells),
+adj AS (
+  SELECT *, lag(score_d) OVER w AS prev_s, lag(cid) OVER w AS prev_c
+  FROM g WHERE rank_i IS NOT NULL AND score_d IS NOT NULL AND cid <> ''
+  WINDOW w AS (PARTITION BY ranking_id ORDER BY rank_i, row_num)),
+seen AS (SELECT DISTINCT ranking_id, rank_i AS r FROM g WHERE rank_i BETWEEN 1 AND 100),
+allr AS (SELECT ranking_id, unnest(range(1, 101)) AS r FROM (SELECT DISTINCT ranking_id FROM p)),
+missing AS (SELECT a.ranking_id, a.r FROM allr a LEFT JOIN seen s ON s.ranking_id = a.ranking_id AND s.r = a.r
+            WHERE s.r IS NULL),
+viol AS (
+  SELECT ranking_id, row_num, 'id_required' AS rule, '' AS detail FROM g WHERE cid = ''
+  UNION ALL SELECT ranking_id, row_num, 'id_pattern', cid FROM g WHERE cid <> '' AND NOT id_ok
+  UNION ALL SELECT ranking_id, row_num, 'id_duplicate', cid FROM g WHERE id_seq > 1
+  UNION ALL SELECT ranking_id, row_num, 'rank_integer', rank_s FROM g WHERE rank_i IS NULL
+  UNION ALL SELECT ranking_id, row_num, 'rank_range', rank_s FROM g WHERE rank_i IS NOT NULL AND NOT (rank_i BETWEEN 1 AND 100)
+  UNION ALL SELECT ranking_id, row_num, 'rank_duplicate', rank_s FROM g WHERE rank_seq > 1
+  UNION ALL SELECT ranking_id, row_num, 'score_float', score_s FROM g WHERE score_d IS NULL
+  UNION ALL SELECT ranking_id, row_num, 'cells', '' FROM p WHERE bad_cells
+  UNION ALL SELECT ranking_id, NULL, 'count', CAST(count(*) AS VARCHAR) FROM p GROUP BY ranking_id HAVING count(*) <> 100
+  UNION ALL SELECT ranking_id, NULL, 'missing_ranks', array_to_string(list_sort(list(r)), ',') FROM missing GROUP BY ranking_id
+  UNION ALL SELECT ranking_id, row_num, 'not_monotonic', '' FROM adj WHERE prev_s < score_d
+  UNION ALL SELECT ranking_id, row_num, 'tie_order', prev_c || ' > ' || cid FROM adj WHERE prev_s = score_d AND prev_c > cid)"""
+
+
+def _rules_sql(rules: list[str], detail: bool = True) -> str:
+    inl = ", ".join(lit(r) for r in rules)
+    cols = "ranking_id, CAST(row_num AS BIGINT) AS row_num, rule" + (", detail" if detail else "")
+    return f"WITH {RANKING_TABLE}\nSELECT {cols} FROM viol WHERE rule IN ({inl})"
+
+
+SCHEMA_VIOLATIONS = """WITH d AS (
+  SELECT doc_id, n_chars, string_split(text, chr(10)) AS lines,
+         CASE WHEN doc_id % 50 = 7 THEN 'CAND_' || CAST(doc_id AS VARCHAR)
+              ELSE 'CAND_' || lpad(CAST(doc_id AS VARCHAR), 7, '0') END AS cid
+  FROM documents),
+w AS (SELECT doc_id, list_filter(string_split(lines[1], ' '), lambda x: x <> '') AS ws FROM d),
+ci AS (SELECT doc_id, unnest(range(len(lines) - 1)) AS i FROM d),
+si AS (SELECT doc_id, unnest(range(len(ws))) AS i FROM w)
+SELECT doc_id AS record_key, 'candidate_id' AS path, 'pattern' AS rule FROM d
+  WHERE NOT regexp_full_match(cid, '^CAND_[0-9]{7}$')
+UNION ALL SELECT doc_id, 'redrob_signals', 'required' FROM d
+UNION ALL SELECT doc_id, 'profile.years_of_experience', 'maximum' FROM d WHERE n_chars / 500.0 > 50
+UNION ALL SELECT doc_id, 'career_history', 'minItems' FROM d WHERE len(lines) - 1 < 1
+UNION ALL SELECT doc_id, 'career_history', 'maxItems' FROM d WHERE len(lines) - 1 > 10
+UNION ALL SELECT doc_id, 'career_history[' || CAST(i AS VARCHAR) || '].company_size', 'enum' FROM ci WHERE i % 4 = 3
+UNION ALL SELECT doc_id, 'education[0].start_year', 'minimum' FROM d WHERE 1965 + doc_id % 70 < 1970
+UNION ALL SELECT doc_id, 'education[0].start_year', 'maximum' FROM d WHERE 1965 + doc_id % 70 > 2030
+UNION ALL SELECT doc_id, 'education[0].end_year', 'maximum' FROM d WHERE 1970 + doc_id % 70 > 2035
+UNION ALL SELECT doc_id, 'skills[' || CAST(i AS VARCHAR) || '].proficiency', 'enum' FROM si WHERE i % 5 = 4"""
+
+ORACLES.update({
+    "validate": f"WITH {RANKING_TABLE}\nSELECT ranking_id, CAST(row_num AS BIGINT) AS row_num, rule FROM viol",
+    "validate_count": _rules_sql(["count"]),
+    "validate_ids": _rules_sql(["id_required", "id_pattern"]),
+    "validate_dups": _rules_sql(["id_duplicate", "rank_duplicate"]),
+    "validate_ranks": _rules_sql(["rank_integer", "rank_range", "score_float", "cells"]),
+    "validate_monotonic": _rules_sql(["not_monotonic"], detail=False),
+    "validate_ties": _rules_sql(["tie_order"]),
+    "missing_ranks": f"WITH {RANKING_TABLE}\nSELECT ranking_id, r AS rank FROM missing",
+    "schema_violations": SCHEMA_VIOLATIONS,
+})

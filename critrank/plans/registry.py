@@ -415,3 +415,89 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "project_defaults": q_project_defaults,
     "raw_text": q_raw_text,
 }
+
+
+# ---------------------------------------------------------------- quality
+def ranking_table(spark, sf) -> DataFrame:
+    """Rankings of 100 rows derived from orders (ranking = order key div 100),
+    with deterministic defects injected by key arithmetic."""
+    o = tables.read(spark, sf, "orders").select("o_orderkey")
+    k = F.col("o_orderkey")
+    pos = k % 100
+    cid = (F.when(k % 97 == 5, F.concat(F.lit("CAND_"), k.cast("string")))
+           .when(k % 89 == 7, F.lit(""))
+           .when(k % 83 == 3, F.concat(F.lit("CAND_"), F.lpad((k - 1).cast("string"), 7, "0")))
+           .otherwise(F.concat(F.lit("CAND_"), F.lpad(k.cast("string"), 7, "0"))))
+    rank = (F.when(k % 101 == 4, F.concat(F.lit("0"), (pos + 1).cast("string")))
+            .when(k % 103 == 9, pos.cast("string"))
+            .when(k % 107 == 2, F.lit("101"))
+            .otherwise((pos + 1).cast("string")))
+    base = F.lit(1000.0) - pos.cast("double") * 1.5
+    sd = F.when(k % 109 == 1, base + 50.0).when(k % 113 == 0, base + 1.5).otherwise(base)
+    score = F.when(k % 127 == 6, F.lit("abc")).otherwise(F.format_string("%.2f", sd))
+    return o.select(F.floor(k / 100).cast("bigint").alias("ranking_id"),
+                    (pos + 2).cast("bigint").alias("row_num"), cid.alias("candidate_id"),
+                    rank.alias("rank"), score.alias("score"), F.lit("r").alias("reasoning"),
+                    (k % 131 == 10).alias("bad_cells"))
+
+
+def _violations(spark, sf):
+    from critrank.operators.quality import validate_rankings
+    return validate_rankings(ranking_table(spark, sf))
+
+
+def q_validate(spark, sf):
+    return _violations(spark, sf).select("ranking_id", "row_num", "rule")
+
+
+def _rules(spark, sf, rules_, detail=True):
+    v = _violations(spark, sf).filter(F.col("rule").isin(rules_))
+    cols = ["ranking_id", "row_num", "rule"] + (["detail"] if detail else [])
+    return v.select(*cols)
+
+
+def q_validate_count(spark, sf):
+    return _rules(spark, sf, ["count"])
+
+
+def q_validate_ids(spark, sf):
+    return _rules(spark, sf, ["id_required", "id_pattern"])
+
+
+def q_validate_dups(spark, sf):
+    return _rules(spark, sf, ["id_duplicate", "rank_duplicate"])
+
+
+def q_validate_ranks(spark, sf):
+    return _rules(spark, sf, ["rank_integer", "rank_range", "score_float", "cells"])
+
+
+def q_validate_monotonic(spark, sf):
+    return _rules(spark, sf, ["not_monotonic"], detail=False)
+
+
+def q_validate_ties(spark, sf):
+    return _rules(spark, sf, ["tie_order"])
+
+
+def q_missing_ranks(spark, sf):
+    from critrank.operators.quality import missing_ranks
+    return missing_ranks(ranking_table(spark, sf)).select("ranking_id", "rank")
+
+
+def q_schema_violations(spark, sf):
+    from critrank.operators.quality import schema_violations
+    return schema_violations(nested_candidates(spark, sf), key="doc_id")
+
+
+QUERIES.update({
+    "validate": q_validate,
+    "validate_count": q_validate_count,
+    "validate_ids": q_validate_ids,
+    "validate_dups": q_validate_dups,
+    "validate_ranks": q_validate_ranks,
+    "validate_monotonic": q_validate_monotonic,
+    "validate_ties": q_validate_ties,
+    "missing_ranks": q_missing_ranks,
+    "schema_violations": q_schema_violations,
+})
