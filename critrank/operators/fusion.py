@@ -41,7 +41,18 @@ def fuse_value(e: Column, b: Column, s: Column, weights: tuple[float, float, flo
     return F.lit(we) * e + F.lit(wb) * b + F.lit(ws) * s
 
 
-def weighted_sum(weights: Column, values: Column) -> Column:
+def weighted_sum(weights: Column, values: Column, n: int | None = None) -> Column:
+    """sum_d weights[d] * values[d], added left to right from 0.0.
+
+    With ``n`` (the catalog size) the sum is unrolled into plain arithmetic on
+    array elements, which whole-stage codegen compiles; without it a
+    higher-order function is used (interpreted, for unknown lengths).
+    """
+    if n is not None:
+        acc = F.lit(0.0)
+        for i in range(n):
+            acc = acc + F.coalesce(weights[i], F.lit(0.0)) * F.coalesce(values[i], F.lit(0.0))
+        return acc
     prod = F.zip_with(weights, values, lambda w, v: F.coalesce(w, F.lit(0.0)) * F.coalesce(v, F.lit(0.0)))
     return F.aggregate(prod, F.lit(0.0), lambda acc, x: acc + x)
 

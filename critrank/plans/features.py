@@ -70,7 +70,10 @@ def build_features(cands: DataFrame, catalog: Catalog, embeddings: DataFrame | N
                    emb_id: str = "vec_id", emb_col: str = "embedding",
                    text_col: str = "text", years_col: str = "years",
                    employers_col: str = "employers", profile: tuple[str, ...] = PROFILE,
-                   keep_text: bool = False, checkpoint: bool = True) -> DataFrame:
+                   keep_text: bool = False, checkpoint: bool = True,
+                   dim_vectors: DataFrame | None = None) -> DataFrame:
+    """Feature table; with JD-independent ``dim_vectors`` (ordinal, vec) the
+    dimension similarities ``emb`` are stored too, so ranking never recomputes them."""
     raw = raw_features(cands, catalog, text_col, years_col, employers_col, profile, keep_text)
     if checkpoint:
         raw = materialize(raw)
@@ -81,6 +84,10 @@ def build_features(cands: DataFrame, catalog: Catalog, embeddings: DataFrame | N
         feats = feats.join(e, feats["doc_id"] == e["_eid"], "left").drop("_eid")
     else:
         feats = feats.withColumn("embedding", F.lit(None).cast("array<double>"))
+    if dim_vectors is not None:
+        from critrank.operators.vectors import dimension_scores
+        feats = dimension_scores(feats, dim_vectors, len(catalog.dimensions), "embedding")
+        feats = feats.withColumnRenamed("emb_scores", "emb")
     return feats
 
 

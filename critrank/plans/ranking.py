@@ -42,47 +42,94 @@ def _weights_scalar(jd_weights: DataFrame) -> Column:
                                                   .cast("array<double>").alias("w")))).scalar()
 
 
-def stage1(feats: DataFrame, jd_weights: DataFrame, dim_vectors: DataFrame | None,
-           catalog: Catalog) -> DataFrame:
-    """(jd_id, doc_id, stage1, weights, emb, bm25, structured, fused, pair_raw, profile...)."""
+def _spread(df: DataFrame) -> DataFrame:
+    """Round-robin a narrow frame when it has fewer partitions than the cluster
+    has cores (a small feature table can be a single file); a large table
+    already has enough partitions and is left alone (no shuffle)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
+
+
+def _with_sources(feats: DataFrame, dim_vectors: DataFrame | None, catalog: Catalog) -> DataFrame:
+    """Add ``emb`` (dimension similarities) and ``fused`` for JD-independent vectors.
+
+    A feature table built with the dimension vectors already carries ``emb``
+    (computed once per candidate in P3) and is used as is.
+    """
     n = len(catalog.dimensions)
-    per_jd_vectors = dim_vectors is not None and "jd_id" in dim_vectors.columns
-    f = feats
-    if dim_vectors is None:
-        f = f.withColumn("emb", F.array_repeat(F.lit(0.0), n))
-    elif not per_jd_vectors:
-        f = vops.dimension_scores(f, dim_vectors, n, "embedding").withColumnRenamed(
+    if "emb" in feats.columns:
+        f = feats
+    elif dim_vectors is None:
+        f = feats.withColumn("emb", F.array_repeat(F.lit(0.0), n))
+    else:
+        f = vops.dimension_scores(feats, dim_vectors, n, "embedding").withColumnRenamed(
             "emb_scores", "emb")
-    f = f.withColumn("_W", _weights_scalar(jd_weights))
-    if not per_jd_vectors:
-        f = f.withColumn("fused", fusion.fused(F.col("emb"), F.col("bm25"), F.col("structured"),
-                                               catalog))
-        pairs = F.transform(F.col("_W"), lambda j: F.struct(
-            j["jd_id"].alias("jd_id"), j["w"].alias("weights"),
-            fusion.weighted_sum(j["w"], F.col("fused")).alias("stage1")))
-        out = f.withColumn("_j", F.explode(pairs)).drop("_W")
-        return out.select("*", "_j.*").drop("_j")
-    # per-JD dimension vectors: one more scalar with every JD's matrix
+    return f.withColumn("fused", fusion.fused(F.col("emb"), F.col("bm25"), F.col("structured"),
+                                              catalog))
+
+
+def _jd_matrices(dim_vectors: DataFrame, n: int) -> Column:
     mats = (dim_vectors.groupBy("jd_id").agg(F.map_from_entries(F.collect_list(
         F.struct(F.col("ordinal").cast("int"), F.col("vec").cast("array<double>")))).alias("m"))
         .select("jd_id", F.array(*[F.try_element_at(F.col("m"), F.lit(i)) for i in range(n)])
                 .alias("mat")))
-    mmap = mats.agg(F.map_from_entries(F.collect_list(F.struct("jd_id", "mat")))).scalar()
-    f = f.withColumn("_M", mmap)
-
-    def per_jd(j):
-        mat = F.try_element_at(F.col("_M"), j["jd_id"])
-        emb = F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
-                          lambda i: F.coalesce(
-                              F.aggregate(F.zip_with(F.element_at(mat, i + 1), F.col("embedding"),
-                                                     lambda a, b: a * b),
-                                          F.lit(0.0), lambda acc, x: acc + x), F.lit(0.0)))
-        return F.struct(j["jd_id"].alias("jd_id"), j["w"].alias("weights"), emb.alias("emb"))
-    out = f.withColumn("_j", F.explode(F.transform(F.col("_W"), per_jd))).drop("_W", "_M")
-    out = out.select("*", "_j.*").drop("_j")
-    out = out.withColumn("fused", fusion.fused(F.col("emb"), F.col("bm25"), F.col("structured"),
+    return mats.agg(F.map_from_entries(F.collect_list(F.struct("jd_id", "mat")))).scalar()
+
+
+def stage1(feats: DataFrame, jd_weights: DataFrame, dim_vectors: DataFrame | None,
+           catalog: Catalog) -> DataFrame:
+    """Narrow (jd_id, doc_id, stage1) for every candidate and JD.
+
+    Each candidate row meets every JD's weight row through ONE scalar row
+    (no join); the weight rows are exploded and stage-1 is an unrolled
+    arithmetic expression, so the per-pair work is compiled code.
+    """
+    n = len(catalog.dimensions)
+    per_jd_vectors = dim_vectors is not None and "jd_id" in dim_vectors.columns
+    if not per_jd_vectors:
+        f = _spread(_with_sources(feats, dim_vectors, catalog).select("doc_id", "fused"))
+        f = f.withColumn("_W", _weights_scalar(jd_weights))
+        pairs = f.select("doc_id", "fused", F.explode("_W").alias("_j"))
+        return pairs.select(F.col("_j.jd_id").alias("jd_id"), "doc_id",
+                            fusion.weighted_sum(F.col("_j.w"), F.col("fused"), n).alias("stage1"))
+    # per-JD dimension vectors: similarities depend on the JD as well
+    f = _spread(feats.select("doc_id", "bm25", "structured", "embedding"))
+    f = f.withColumn("_W", _weights_scalar(jd_weights)).withColumn("_M", _jd_matrices(dim_vectors, n))
+    pairs = f.select("doc_id", "bm25", "structured", "embedding", "_M", F.explode("_W").alias("_j"))
+    pairs = pairs.withColumn("_mat", F.try_element_at(F.col("_M"), F.col("_j.jd_id")))
+    pairs = pairs.withColumn("emb", vops.similarity(F.col("_mat"), F.col("embedding")))
+    pairs = pairs.withColumn("fused", fusion.fused(F.col("emb"), F.col("bm25"), F.col("structured"),
+                                                   catalog))
+    return pairs.select(F.col("_j.jd_id").alias("jd_id"), "doc_id",
+                        fusion.weighted_sum(F.col("_j.w"), F.col("fused"), n).alias("stage1"))
+
+
+def attach(survivors: DataFrame, feats: DataFrame, jd_weights: DataFrame,
+           dim_vectors: DataFrame | None, catalog: Catalog, bound: int) -> DataFrame:
+    """Bring scores and profile back for the k x J survivors only.
+
+    The survivor set is bounded by k x JDs per pass; below ``MAX_LOOKUP_IDS``
+    it is broadcast and the features are streamed past it (no shuffle of
+    the feature table), and only matching rows compute similarities.
+    """
+    n = len(catalog.dimensions)
+    s = F.broadcast(survivors) if bound <= MAX_LOOKUP_IDS else survivors
+    j = feats.join(s, "doc_id")
+    per_jd_vectors = dim_vectors is not None and "jd_id" in dim_vectors.columns
+    if per_jd_vectors:
+        j = j.withColumn("_M", _jd_matrices(dim_vectors, n))
+        j = j.withColumn("emb", vops.similarity(F.try_element_at(F.col("_M"), F.col("jd_id")),
+                                                F.col("embedding"))).drop("_M")
+        j = j.withColumn("fused", fusion.fused(F.col("emb"), F.col("bm25"), F.col("structured"),
                                                catalog))
-    return out.withColumn("stage1", fusion.weighted_sum(F.col("weights"), F.col("fused")))
+    else:
+        j = _with_sources(j, dim_vectors, catalog)
+    wmap = jd_weights.agg(F.map_from_entries(F.collect_list(
+        F.struct(F.col("jd_id"), F.col("weights").cast("array<double>"))))).scalar()
+    j = j.withColumn("_wm", wmap)
+    return j.withColumn("weights", F.try_element_at(F.col("_wm"), F.col("jd_id"))).drop("_wm")
 
 
 def finish(survivors: DataFrame, catalog: Catalog) -> DataFrame:
@@ -90,7 +137,7 @@ def finish(survivors: DataFrame, catalog: Catalog) -> DataFrame:
     n = len(catalog.dimensions)
     s = rerank.minmax_arrays(survivors, ["jd_id"], "pair_raw", n, "ce")
     s = s.withColumn("blended", fusion.blend(F.col("fused"), F.col("ce"), catalog))
-    s = s.withColumn("score", fusion.weighted_sum(F.col("weights"), F.col("blended")))
+    s = s.withColumn("score", fusion.weighted_sum(F.col("weights"), F.col("blended"), n))
     s = s.withColumn("score_6", F.round("score", 6))
     s = topk.rank_rows(s, "jd_id", "score_6", "doc_id", "rank")
     cols = set(s.columns)
@@ -104,6 +151,14 @@ def finish(survivors: DataFrame, catalog: Catalog) -> DataFrame:
     return s
 
 
+def survivors(feats: DataFrame, jd_weights: DataFrame, catalog: Catalog,
+              dim_vectors: DataFrame | None = None, k: int = 100) -> DataFrame:
+    """Top-k by stage-1 per JD with every score column attached (one pass)."""
+    s1 = stage1(feats, jd_weights, dim_vectors, catalog)
+    top = topk.topk_per_group(s1, k, "jd_id", "stage1", "doc_id", "stage1_rank")
+    return attach(top, feats, jd_weights, dim_vectors, catalog, k * MAX_JDS_PER_PASS)
+
+
 def rank(feats: DataFrame, jd_weights: DataFrame, catalog: Catalog,
          dim_vectors: DataFrame | None = None, k: int = 100,
          scorer: Callable[[], object] | None = None, texts: DataFrame | None = None,
@@ -123,9 +178,11 @@ def rank(feats: DataFrame, jd_weights: DataFrame, catalog: Catalog,
         if dv is not None and passes > 1 and "jd_id" in dv.columns:
             dv = dv.filter(F.pmod(F.xxhash64("jd_id"), F.lit(passes)) == p)
         s1 = stage1(feats, jw, dv, catalog)
-        surv = topk.topk_per_group(s1, k, "jd_id", "stage1", "doc_id", "stage1_rank")
+        top = topk.topk_per_group(s1, k, "jd_id", "stage1", "doc_id", "stage1_rank")
+        bound = k * min(n_jds, max_jds_per_pass)
+        surv = attach(top, feats, jw, dv, catalog, bound)
         if scorer is not None:
-            surv = _model_pairs(surv, texts, catalog, scorer, k * min(n_jds, max_jds_per_pass))
+            surv = _model_pairs(surv, texts, catalog, scorer, bound)
         results.append(finish(surv, catalog))
     out = results[0]
     for r in results[1:]:

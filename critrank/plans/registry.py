@@ -41,7 +41,8 @@ def _dims_long(df: DataFrame, keys: list[str], arrays: dict[str, str]) -> DataFr
 # ---------------------------------------------------------------- shared bits
 def _feats(spark, sf) -> DataFrame:
     c = tables.candidates(spark, sf)
-    return features.build_features(c, CAT, embeddings=tables.embeddings(spark, sf))
+    return features.build_features(c, CAT, embeddings=tables.embeddings(spark, sf),
+                                   dim_vectors=tables.dimension_vectors(spark, sf, N))
 
 
 def _ranked(spark, sf) -> DataFrame:
@@ -55,8 +56,7 @@ def _survivors(spark, sf) -> DataFrame:
     paras = tables.jd_paragraphs(spark, sf)
     w = criteria.weight_vectors(paras, CAT)
     dv = tables.dimension_vectors(spark, sf, N)
-    s1 = ranking.stage1(_feats(spark, sf), w, dv, CAT)
-    return topk.topk_per_group(s1, K, "jd_id", "stage1", "doc_id", "stage1_rank")
+    return ranking.survivors(_feats(spark, sf), w, CAT, dv, K)
 
 
 def _tok(spark, sf) -> DataFrame:
