@@ -46,3 +46,21 @@ def raw_text(profile: str = "profile", skills: str = "skills", career: str = "ca
 
 def lower_text(raw: Column) -> Column:
     return F.lower(raw)
+
+
+def to_candidates(df: DataFrame) -> DataFrame:
+    """Nested candidate records -> the ranking's flat candidate columns.
+
+    doc_id = candidate_id, text = raw_text, years, employers (career companies),
+    title, open_to_work and response_rate from the signals.
+    """
+    cols = set(df.columns)
+    sig = F.col("redrob_signals") if "redrob_signals" in cols else F.lit(None).cast(
+        "struct<open_to_work_flag:boolean,recruiter_response_rate:double>")
+    return df.select(
+        F.col("candidate_id").alias("doc_id"), raw_text().alias("text"),
+        F.col("profile.years_of_experience").cast("double").alias("years"),
+        F.transform(F.coalesce(F.col("career_history"), F.array()), lambda c: c["company"]).alias("employers"),
+        F.col("profile.current_title").alias("title"),
+        F.coalesce(sig["open_to_work_flag"], F.lit(False)).alias("open_to_work"),
+        sig["recruiter_response_rate"].cast("double").alias("response_rate"))

@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from critrank.catalog import Catalog
 from critrank.functions.text import py_tokens
@@ -67,7 +68,7 @@ def score_pairs(pairs: DataFrame, factory: Callable[[], object] | None = None,
                 batch_size: int = 128, partitions: int | None = None) -> DataFrame:
     factory = factory or OverlapScorer
     n = partitions or pairs.sparkSession.sparkContext.defaultParallelism
-    schema = pairs.schema.add("pair_raw", "double")
+    schema = T.StructType(list(pairs.schema.fields) + [T.StructField("pair_raw", T.DoubleType())])
     holder: dict = {}
 
     def run(batches):

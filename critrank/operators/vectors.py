@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from critrank.functions import vectors as vx
 from critrank.functions.text import py_tokens
@@ -116,7 +117,7 @@ def encode(df: DataFrame, text_col: str, factory: Callable[[], object] | None =
     through float16 as a compact store would.
     """
     factory = factory or (lambda: HashEncoder(dim))
-    schema = df.schema.add(out_col, "array<double>")
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(out_col, T.ArrayType(T.DoubleType()))])
     holder: dict = {}
 
     def run(batches):
