@@ -46,10 +46,8 @@ def _spread(df: DataFrame) -> DataFrame:
     """Round-robin a narrow frame when it has fewer partitions than the cluster
     has cores (a small feature table can be a single file); a large table
     already has enough partitions and is left alone (no shuffle)."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
+    from critrank.plans.features import spread
+    return spread(df)
 
 
 def _with_sources(feats: DataFrame, dim_vectors: DataFrame | None, catalog: Catalog) -> DataFrame:
