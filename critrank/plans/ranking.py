@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from critrank.catalog import Catalog
 from critrank.operators import explain, fusion, rerank, topk
 from critrank.operators import vectors as vops
+from critrank.session import materialize
 
 MAX_JDS_PER_PASS = 10_000
 MAX_LOOKUP_IDS = 100_000
@@ -166,6 +167,9 @@ def rank(feats: DataFrame, jd_weights: DataFrame, catalog: Catalog,
     ``scorer=None`` uses the built-in pair scores stored in ``feats``;
     otherwise ``texts`` (doc_id, text) supplies the survivors' text.
     """
+    # The weight rows are read three times (count, stage-1 scalar, attach
+    # scalar); they are one row per JD, so computing them once is cheap.
+    jd_weights = materialize(jd_weights.select("jd_id", "weights"))
     n_jds = jd_weights.count()
     passes = max(1, math.ceil(n_jds / max_jds_per_pass))
     results = []

@@ -98,3 +98,57 @@ def test_csv_sink_and_scan_roundtrip(spark):
     assert [r["reasoning"] for r in rows] == ["Lead, Search", "x"]
     assert [r["score"] for r in rows] == ["0.500000", "0.500000"]
     assert not any(r["bad_cells"] for r in rows)
+
+
+def test_read_jd_text(spark):
+    d = tempfile.mkdtemp(prefix="cr-jd-")
+    with open(os.path.join(d, "jd1.txt"), "w") as f:
+        f.write("Job Description: ML Engineer\n\n   \nCompany: Acme\n  must know python  \n")
+    p = io.read_jd_text(spark, d)
+    rows = sorted((r["para_no"], r["text"]) for r in p.collect())
+    assert rows == [(0, "Job Description: ML Engineer"), (3, "Company: Acme"), (4, "must know python")]
+    h = io.jd_header(p).collect()[0]
+    assert h["title"] == "ML Engineer" and h["company"] == "Acme"
+
+
+def test_bm25_index_roundtrip_and_cache(spark):
+    from critrank.operators import bm25
+    d = tempfile.mkdtemp(prefix="cr-idx-")
+    docs = spark.createDataFrame([("A", "faiss bm25 ranking"), ("B", "python ranking python")],
+                                 "id STRING, text STRING")
+    tok = bm25.doc_tokens(docs, "id", "text")
+    io.write_bm25_index(tok, d + "/idx")
+    terms, stats = io.read_bm25_index(spark, d + "/idx")
+    assert {r["term"]: r["df"] for r in terms.collect()}["ranking"] == 2
+    assert stats.collect()[0]["n_docs"] == 2
+    built = []
+    t = io.load_or_build(spark, d + "/cache", lambda: built.append(1) or docs)
+    t2 = io.load_or_build(spark, d + "/cache", lambda: built.append(1) or docs)
+    assert t.count() == t2.count() == 2 and built == [1]
+
+
+def test_ranking_file_checks(spark):
+    d = tempfile.mkdtemp(prefix="cr-files-")
+    with open(os.path.join(d, "team.csv"), "w") as f:
+        f.write("candidate_id,rank,score,reasoning\nCAND_0000001,1,0.5,x\n")
+    with open(os.path.join(d, "bad.txt"), "w") as f:
+        f.write("id,rank,score\n")
+    open(os.path.join(d, "empty.csv"), "w").close()
+    v = {(os.path.basename(r["path"]), r["rule"]) for r in io.check_ranking_files(spark, d).collect()}
+    assert v == {("bad.txt", "suffix"), ("bad.txt", "header"), ("empty.csv", "empty")}
+
+
+def test_result_json(spark, catalog):
+    from critrank.operators import explain
+    n = len(catalog.dimensions)
+    df = spark.createDataFrame([("c1", [0.1] * n, [0.2] * n, [0.3] * n, [0.4] * n, [None] * n, [0.5] * n)],
+                               "id STRING, e ARRAY<DOUBLE>, b ARRAY<DOUBLE>, s ARRAY<DOUBLE>, f ARRAY<DOUBLE>, "
+                               "c ARRAY<DOUBLE>, x ARRAY<DOUBLE>")
+    from pyspark.sql import functions as F
+    rec = df.select("id", explain.result_record(catalog, F.col("e"), F.col("b"), F.col("s"), F.col("f"),
+                                                F.col("c"), None, F.col("x")).alias("dimension_scores"))
+    out = tempfile.mkdtemp(prefix="cr-json-") + "/r"
+    io.write_results_json(rec, out)
+    back = spark.read.json(out).collect()[0]
+    t = back["dimension_scores"]["TECHNICAL_SKILLS"]
+    assert (t["bm25_score"], t["cross_encoder_score"], t["final_score"]) == (0.2, 0.0, 0.5)
