@@ -114,3 +114,13 @@ def test_driver_contract(spark):
     df = entry.entry(spark)
     assert set(df.columns) == {"jd_id", "doc_id", "rank", "score", "reasoning"}
     assert df.count() > 0
+
+
+def test_pool_equals_live(spark, inputs):
+    """P1 (features persisted as Parquet) equals P2 (features computed in the same job)."""
+    f, w, dv = inputs
+    path = tempfile.mkdtemp(prefix="cr-pool-") + "/features"
+    features.write_features(f, path)
+    a = _rows(ranking.rank(spark.read.parquet(path), w, CAT, dv, k=10))
+    b = _rows(ranking.rank(f, w, CAT, dv, k=10))
+    assert a == b
