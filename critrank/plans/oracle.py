@@ -456,22 +456,27 @@ FROM parts"""
 ORACLES = build()
 
 
-RANKING_TABLE = """rt AS (
-  SELECT o_orderkey // 100 AS ranking_id, o_orderkey % 100 + 2 AS row_num,
+RANKING_TABLE = """ok AS (
+  SELECT o_orderkey,
+         CASE WHEN o_orderkey >= 5000 THEN (o_orderkey - 5000) // 97 + 50 ELSE o_orderkey // 100 END AS rid,
+         CASE WHEN o_orderkey >= 5000 THEN (o_orderkey - 5000) % 97 ELSE o_orderkey % 100 END AS pos
+  FROM orders),
+rt AS (
+  SELECT rid AS ranking_id, pos + 2 AS row_num,
     CASE WHEN o_orderkey % 97 = 5 THEN 'CAND_' || CAST(o_orderkey AS VARCHAR)
          WHEN o_orderkey % 89 = 7 THEN ''
          WHEN o_orderkey % 83 = 3 THEN 'CAND_' || lpad(CAST(o_orderkey - 1 AS VARCHAR), 7, '0')
          ELSE 'CAND_' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') END AS cid,
-    CASE WHEN o_orderkey % 101 = 4 THEN '0' || CAST(o_orderkey % 100 + 1 AS VARCHAR)
-         WHEN o_orderkey % 103 = 9 THEN CAST(o_orderkey % 100 AS VARCHAR)
+    CASE WHEN o_orderkey % 101 = 4 THEN '0' || CAST(pos + 1 AS VARCHAR)
+         WHEN o_orderkey % 103 = 9 THEN CAST(pos AS VARCHAR)
          WHEN o_orderkey % 107 = 2 THEN '101'
-         ELSE CAST(o_orderkey % 100 + 1 AS VARCHAR) END AS rank_s,
+         ELSE CAST(pos + 1 AS VARCHAR) END AS rank_s,
     CASE WHEN o_orderkey % 127 = 6 THEN 'abc'
-         ELSE printf('%.2f', CASE WHEN o_orderkey % 109 = 1 THEN 1000.0 - (o_orderkey % 100) * 1.5 + 50.0
-                                  WHEN o_orderkey % 113 = 0 THEN 1000.0 - (o_orderkey % 100) * 1.5 + 1.5
-                                  ELSE 1000.0 - (o_orderkey % 100) * 1.5 END) END AS score_s,
+         ELSE printf('%.2f', CASE WHEN o_orderkey % 109 = 1 THEN 1000.0 - pos * 1.5 + 50.0
+                                  WHEN o_orderkey % 113 = 0 THEN 1000.0 - pos * 1.5 + 1.5
+                                  ELSE 1000.0 - pos * 1.5 END) END AS score_s,
     o_orderkey % 131 = 10 AS bad_cells
-  FROM orders),
+  FROM ok),
 p AS (
   SELECT *, regexp_full_match(cid, '^CAND_[0-9]{7}$') AS id_ok,
          CASE WHEN regexp_full_match(rank_s, '^(0|-?[1-9][0-9]*)$') THEN TRY_CAST(rank_s AS BIGINT) END AS rank_i,

@@ -419,11 +419,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 # ---------------------------------------------------------------- quality
 def ranking_table(spark, sf) -> DataFrame:
-    """Rankings of 100 rows derived from orders (ranking = order key div 100),
-    with deterministic defects injected by key arithmetic."""
+    """Rankings derived from orders (100 rows each for keys below 5000, 97 rows
+    after that), with deterministic defects injected by key arithmetic."""
     o = tables.read(spark, sf, "orders").select("o_orderkey")
     k = F.col("o_orderkey")
-    pos = k % 100
+    # keys below 5000 form rankings of 100 rows; later keys rankings of 97 rows
+    big = k >= 5000
+    pos = F.when(big, (k - 5000) % 97).otherwise(k % 100)
+    rid = F.when(big, F.floor((k - 5000) / 97) + 50).otherwise(F.floor(k / 100))
     cid = (F.when(k % 97 == 5, F.concat(F.lit("CAND_"), k.cast("string")))
            .when(k % 89 == 7, F.lit(""))
            .when(k % 83 == 3, F.concat(F.lit("CAND_"), F.lpad((k - 1).cast("string"), 7, "0")))
@@ -435,7 +438,7 @@ def ranking_table(spark, sf) -> DataFrame:
     base = F.lit(1000.0) - pos.cast("double") * 1.5
     sd = F.when(k % 109 == 1, base + 50.0).when(k % 113 == 0, base + 1.5).otherwise(base)
     score = F.when(k % 127 == 6, F.lit("abc")).otherwise(F.format_string("%.2f", sd))
-    return o.select(F.floor(k / 100).cast("bigint").alias("ranking_id"),
+    return o.select(rid.cast("bigint").alias("ranking_id"),
                     (pos + 2).cast("bigint").alias("row_num"), cid.alias("candidate_id"),
                     rank.alias("rank"), score.alias("score"), F.lit("r").alias("reasoning"),
                     (k % 131 == 10).alias("bad_cells"))

@@ -124,3 +124,16 @@ def test_pool_equals_live(spark, inputs):
     a = _rows(ranking.rank(spark.read.parquet(path), w, CAT, dv, k=10))
     b = _rows(ranking.rank(f, w, CAT, dv, k=10))
     assert a == b
+
+
+def test_own_ranking_passes_validation(spark, inputs):
+    """P5 applied to P1: formatted top-k rankings (ids as CAND_XXXXXXX) have no violations."""
+    from critrank.operators import quality
+    f, w, dv = inputs
+    sub = ranking.to_submission(ranking.rank(f, w, CAT, dv, k=100))
+    table = sub.select(
+        F.col("jd_id").alias("ranking_id"), (F.col("rank") + 1).cast("bigint").alias("row_num"),
+        F.concat(F.lit("CAND_"), F.lpad(F.col("candidate_id").cast("string"), 7, "0")).alias("candidate_id"),
+        F.col("rank").cast("string").alias("rank"), "score", "reasoning")
+    v = quality.validate_rankings(table, expected=100).collect()
+    assert v == []
