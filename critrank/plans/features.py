@@ -12,6 +12,8 @@ Jobs and shuffles
   3. per-row raw scores -> materialised into the checkpoint folder   no shuffle
   4. BM25 maxima (one row) -> normalisation                          scalar subquery
   5. embeddings LEFT JOIN on id                                       one shuffle join
+  6. the finished table is materialised once (it is read by stage-1 and again
+     for the survivors); ``write_features`` persists it as Parquet
 """
 
 from __future__ import annotations
@@ -107,7 +109,10 @@ def build_features(cands: DataFrame, catalog: Catalog, embeddings: DataFrame | N
         from critrank.operators.vectors import dimension_scores
         feats = dimension_scores(feats, dim_vectors, len(catalog.dimensions), "embedding")
         feats = feats.withColumnRenamed("emb_scores", "emb")
-    return feats
+    # Ranking reads the features twice (stage-1 over all candidates, then the
+    # survivors' attach); one compact per-candidate table is cheaper than
+    # redoing the embeddings join and similarities for each read.
+    return materialize(feats) if checkpoint else feats
 
 
 def write_features(feats: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -60,7 +60,7 @@ def _survivors(spark, sf) -> DataFrame:
 
 
 def _tok(spark, sf) -> DataFrame:
-    return bm25.doc_tokens(tables.read(spark, sf, "documents"), "doc_id", "text")
+    return bm25.doc_tokens(features.spread(tables.read(spark, sf, "documents")), "doc_id", "text")
 
 
 # ---------------------------------------------------------------- queries

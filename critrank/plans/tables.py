@@ -34,7 +34,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
+    from critrank.plans.features import spread
+    # spread at the scan: its size estimate is the file size (a join's is not)
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars"))
     labels = read(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("_lid"), "quality", "toxic")
     j = docs.join(labels, docs["doc_id"] == labels["_lid"], "left")
