@@ -9,8 +9,8 @@
 * ``encode``             text -> unit vectors with a caller-supplied encoder,
                          run per Arrow batch in ``mapInPandas`` (the model is
                          built once per Python worker).  ``HashEncoder`` is the
-                         built-in deterministic stand-in; it equals the column
-                         expression ``functions.vectors.hash_encode``.
+                         built-in deterministic stand-in; it equals the
+                         relational ``hash_encode_grouped`` (one groupBy).
 """
 
 from __future__ import annotations
@@ -27,9 +27,6 @@ from pyspark.sql import types as T
 from critrank.functions import vectors as vx
 from critrank.functions.text import py_tokens
 
-MAX_SCALAR_VECTORS = 200_000  # dimension vectors gathered into one scalar row
-
-
 def embedding_lookup(cands: DataFrame, emb: DataFrame, cand_id: str = "doc_id",
                      emb_id: str = "vec_id", emb_col: str = "embedding") -> DataFrame:
     e = emb.select(F.col(emb_id).alias("_eid"), vx.as_double_array(emb_col).alias("embedding"))
@@ -61,7 +58,7 @@ def dimension_scores(cands: DataFrame, dim_vecs: DataFrame, n_dims: int,
 
 def hash_encode_grouped(df: DataFrame, keys: list[str], tokens_col: str, out: str = "vec",
                         dim: int = 64) -> DataFrame:
-    """Feature-hash encode one token array per key (relational form of ``hash_encode``).
+    """Feature-hash encode one token array per key (relational form of ``hash_vector``).
 
     explode_outer(tokens) -> (bucket, sign) -> ONE groupBy(keys) with ``dim``
     conditional sums: whole-stage-codegen aggregation with map-side partial
