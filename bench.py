@@ -40,11 +40,13 @@ def main():
     from critrank.plans import features, ranking, registry, tables
     from critrank.session import get_spark
 
-    spark = get_spark(f"local[{cpus}]", shuffle_partitions=max(8, cpus * 2),
-                      extra={"spark.driver.memory": "16g"})
+    scratch = tempfile.mkdtemp(prefix="critrank-bench-", dir="/tmp")
+    events = os.path.join(scratch, "events")
+    os.makedirs(events)
+    base_conf = {"spark.driver.memory": "16g"}
+    spark = get_spark(f"local[{cpus}]", shuffle_partitions=max(8, cpus * 2), extra=base_conf)
     cat = probe_catalog()
     n = len(cat.dimensions)
-    scratch = tempfile.mkdtemp(prefix="critrank-bench-", dir="/tmp")
     feat_path = os.path.join(scratch, "features")
 
     def run(df):
@@ -95,9 +97,44 @@ def main():
             times.append(time.perf_counter() - t0)
         results[name] = round(statistics.median(times), 3)
     total = round(sum(results.values()), 3)
+
+    # Shuffle volume: one untimed run per job in a fresh session that writes
+    # Spark's event log to the scratch folder (kept out of the timed runs).
+    spark.stop()
+    spark = get_spark(f"local[{cpus}]", shuffle_partitions=max(8, cpus * 2), extra={
+        **base_conf, "spark.eventLog.enabled": "true", "spark.eventLog.dir": "file://" + events,
+        "spark.eventLog.rolling.enabled": "false", "spark.eventLog.compress": "false"})
+    for name, job in jobs:
+        spark.sparkContext.setJobGroup(name, name)
+        job()
+    spark.stop()  # completes the event log
+    shuffle = shuffle_bytes(events, [name for name, _ in jobs])
     print(json.dumps({"metric": "sum of median job seconds", "value": total, "unit": "sec",
                       "queries": results, "sf": os.path.basename(sf.rstrip("/")),
-                      "cpus": cpus, "repeat": repeat}))
+                      "cpus": cpus, "repeat": repeat,
+                      "shuffle_write_bytes": shuffle}))
+
+
+def shuffle_bytes(events_dir: str, groups: list[str]) -> dict:
+    """Shuffle bytes written per job group, from the event log."""
+    stage_group: dict[int, str] = {}
+    written: dict[str, int] = {g: 0 for g in groups}
+    paths = [os.path.join(d, f) for d, _, fs in os.walk(events_dir) for f in fs]
+    for path in sorted(paths):
+        with open(path) as fh:
+            for line in fh:
+                ev = json.loads(line)
+                kind = ev.get("Event")
+                if kind == "SparkListenerJobStart":
+                    g = (ev.get("Properties") or {}).get("spark.jobGroup.id")
+                    for sid in ev.get("Stage IDs", []):
+                        stage_group[sid] = g
+                elif kind == "SparkListenerTaskEnd":
+                    g = stage_group.get(ev.get("Stage ID"))
+                    if g in groups:
+                        m = (ev.get("Task Metrics") or {}).get("Shuffle Write Metrics") or {}
+                        written[g] += int(m.get("Shuffle Bytes Written", 0))
+    return written
 
 
 if __name__ == "__main__":

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,12 +68,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder and cut its lineage.
 
-    Used where a derived table feeds both a global statistic and the rows it
-    normalises (BM25 max, corpus statistics): without it Spark would run the
-    text processing twice.  A reliable checkpoint survives executor loss.
+    Used where a derived table is read more than once (raw scores feed both
+    the BM25 maxima and the rows they normalise; features feed stage-1 and the
+    survivors).  The rows are written as Parquet under the session's
+    checkpoint folder and read back: one computation (``checkpoint()`` on an
+    un-persisted plan computes it twice), columnar reads with pruning, and
+    the files live on shared storage, so losing an executor loses nothing.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    folder = ensure_checkpoint_dir(df.sparkSession)
+    path = f"{folder.rstrip('/')}/critrank-{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
