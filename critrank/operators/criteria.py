@@ -131,3 +131,8 @@ def bm25_query(catalog: Catalog) -> dict[str, list[str]]:
 
 def emphasis_count(text: Column, catalog: Catalog) -> Column:
     return tx.count_contained(F.lower(text), catalog.emphasis)
+
+
+def weights_report(paras: DataFrame, catalog: Catalog) -> DataFrame:
+    """Weights per JD sorted by weight (descending), ties in template order."""
+    return weights(paras, catalog).orderBy(F.col("jd_id"), F.col("weight").desc(), F.col("ordinal"))

@@ -152,3 +152,23 @@ def test_result_json(spark, catalog):
     back = spark.read.json(out).collect()[0]
     t = back["dimension_scores"]["TECHNICAL_SKILLS"]
     assert (t["bm25_score"], t["cross_encoder_score"], t["final_score"]) == (0.2, 0.0, 0.5)
+
+
+def test_write_embeddings_half_precision(spark):
+    d = tempfile.mkdtemp(prefix="cr-emb-") + "/e"
+    df = spark.createDataFrame([(1, [0.1, 0.2, 0.70710678]), (2, None)], "doc_id INT, vec ARRAY<DOUBLE>")
+    io.write_embeddings(df, d)
+    got = {r["doc_id"]: r["embedding"] for r in spark.read.parquet(d).collect()}
+    assert got[2] is None
+    import numpy as np
+    exp = np.asarray([0.1, 0.2, 0.70710678], dtype=np.float16).astype(np.float32)
+    assert [float(x) for x in got[1]] == [float(x) for x in exp]
+
+
+def test_weights_report_order(spark, catalog):
+    from critrank.operators import criteria
+    paras = spark.createDataFrame([("jd", 0, "Must know Python and machine learning"),
+                                   ("jd", 1, "We own search ranking")], "jd_id STRING, para_no INT, text STRING")
+    dims = [r["dim"] for r in criteria.weights_report(paras, catalog).collect()]
+    assert dims[:3] == ["TECHNICAL_SKILLS", "RANKING_RETRIEVAL", "LEADERSHIP"]
+    assert dims[3:] == [d for d in catalog.names if d not in dims[:3]]
