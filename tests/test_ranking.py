@@ -137,3 +137,30 @@ def test_own_ranking_passes_validation(spark, inputs):
         F.col("rank").cast("string").alias("rank"), "score", "reasoning")
     v = quality.validate_rankings(table, expected=100).collect()
     assert v == []
+
+
+def test_readme_flow_default_catalog(spark):
+    """Public API end to end with the default catalog: JSONL candidates, text JDs, CSV out."""
+    from critrank.catalog import default_catalog
+    from critrank.sources import io
+    cat = default_catalog()
+    d = tempfile.mkdtemp(prefix="cr-readme-")
+    texts = ["python machine learning ranking search", "bm25 faiss retrieval deployed at scale",
+             "marketing", "mentor and lead, startup"]
+    with open(f"{d}/candidates.jsonl", "w") as fh:
+        for i, t in enumerate(texts):
+            fh.write(json.dumps(candidate(f"CAND_{i:07d}", text=t, years=3.0 + i)) + "\n")
+    os.makedirs(f"{d}/jds")
+    with open(f"{d}/jds/jd1.txt", "w") as fh:
+        fh.write("Job Description: Search Engineer\nCompany: Acme\nYou must know python and ranking.\n"
+                 "Mentor juniors.\n")
+    cands = records.to_candidates(io.read_candidates(spark, f"{d}/candidates.jsonl"))
+    feats = features.build_features(cands, cat)
+    paras = io.read_jd_text(spark, f"{d}/jds/")
+    ranked = ranking.rank(feats, criteria.weight_vectors(paras, cat), cat, k=100)
+    rows = ranked.orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == [1, 2, 3, 4]
+    assert rows[0]["doc_id"] == "CAND_0000000"
+    assert rows[0]["reasoning"].startswith("AI Engineer with 3.0 years experience. Strong ranking/retrieval")
+    io.write_ranking_csv(ranked, f"{d}/out")
+    assert any(n.startswith("jd_id=") for n in os.listdir(f"{d}/out"))
