@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, language, mixing, sharding, simhash
+from . import decontamination, fingerprints, language, mixing, sharding, simhash, templates
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.digest(_documents(spark, sf_dir))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -38,6 +42,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontaminate, op3_fingerprints, op5_simhash_groups, op6_feistel_shards, op9_pfair_mix, op10_language)}
+    f.__name__: f for f in (
+        op1_line_templates, op2_decontaminate, op3_fingerprints, op5_simhash_groups,
+        op6_feistel_shards, op9_pfair_mix, op10_language)}
 
-ORACLES: dict[str, str] = {"op2_decontaminate": decontamination.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op1_line_templates": templates.ORACLE_SQL,
+                           "op2_decontaminate": decontamination.ORACLE_SQL}
