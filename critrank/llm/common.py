@@ -78,6 +78,12 @@ def hash_strings(strings: pa.Array, seed: int = 0) -> np.ndarray:
                        np.uint64, len(strings))
 
 
+def join_words(offsets: np.ndarray, words: pa.Array, by: str = " ") -> pa.Array:
+    """The words of each row, joined: the way back from ``flat_words``."""
+    lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), words.cast(pa.large_string()))
+    return pc.binary_join(lists, pa.scalar(by, pa.large_string()))
+
+
 def word_hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
     """XXH64 of each word; every distinct word of the column is hashed once."""
     if not len(words):
@@ -141,7 +147,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of numbers as one compressed value."""
-    head = "|".join(f"{a.dtype.str},{len(a)}" for a in arrays).encode()
+    head = ";".join(f"{a.dtype.str},{len(a)}" for a in arrays).encode()
     raw = len(head).to_bytes(4, "little") + head + b"".join(
         np.ascontiguousarray(a).tobytes() for a in arrays)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
@@ -151,7 +157,7 @@ def unpack(value: bytes) -> list[np.ndarray]:
     raw = pa.decompress(value[8:], int.from_bytes(value[:8], "little"), codec="zstd", asbytes=True)
     at = 4 + int.from_bytes(raw[:4], "little")
     out = []
-    for part in raw[4:at].decode().split("|"):
+    for part in raw[4:at].decode().split(";"):
         kind, n = part.split(",")
         kind = np.dtype(kind)
         out.append(np.frombuffer(raw, kind, int(n), at))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, language, mixing, sharding, simhash, templates, toxicity
+from . import decontamination, fingerprints, language, mixing, passages, sharding, simhash, templates, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.digest(_documents(spark, sf_dir))
+
+
 def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_documents(spark, sf_dir))
 
@@ -48,7 +52,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_line_templates, op2_decontaminate, op3_fingerprints, op5_simhash_groups,
-        op6_feistel_shards, op7_toxicity, op9_pfair_mix, op10_language)}
+        op6_feistel_shards, op7_toxicity, op8_repeated_passages,
+        op9_pfair_mix, op10_language)}
 
 ORACLES: dict[str, str] = {"op1_line_templates": templates.ORACLE_SQL,
                            "op2_decontaminate": decontamination.ORACLE_SQL}
