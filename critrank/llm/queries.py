@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, language, mixing, passages, sharding, simhash, templates, toxicity
+from . import decontamination, fingerprints, language, mixing, passages, scoring, sharding, simhash, templates, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.digest(_documents(spark, sf_dir))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.digest(_documents(spark, sf_dir))
+
+
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(_documents(spark, sf_dir))
 
@@ -51,7 +55,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_line_templates, op2_decontaminate, op3_fingerprints, op5_simhash_groups,
+        op1_line_templates, op2_decontaminate, op3_fingerprints, op4_lm_score, op5_simhash_groups,
         op6_feistel_shards, op7_toxicity, op8_repeated_passages,
         op9_pfair_mix, op10_language)}
 
