@@ -46,8 +46,11 @@ class Chunk:
                     np.frombuffer(joined.encode(), np.uint8))
 
 
-def chunk_table(docs: DataFrame, flag=F.lit(False), size: int = CHUNK_BYTES, name: str = "chunks") -> DataFrame:
-    """(chunk, blob): ``docs`` (doc_id, text) and a flag of each row, in blocks of ``size`` bytes."""
+def chunk_table(docs: DataFrame, flag=None, size: int | None = None, name: str = "chunks") -> DataFrame:
+    """(chunk, blob): ``docs`` (doc_id, text) and a flag of each row, in blocks of ``size`` bytes (``CHUNK_BYTES``)."""
+
+    size = size or CHUNK_BYTES
+    flag = F.lit(False) if flag is None else flag
 
     def run(batches):
         part = TaskContext.get().partitionId()

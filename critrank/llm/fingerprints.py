@@ -80,7 +80,7 @@ def from_text(value: str) -> np.ndarray:
 def fingerprint(df: DataFrame, text: str, into: str, n: int = WORDS, scale: int = SCALE) -> DataFrame:
     """``df`` with the fingerprint of ``text``, as text, in column ``into``."""
     df = df.drop(*[c for c in df.columns if c.lower() == into.lower() and c.lower() != text.lower()])
-    schema = df.schema.add(into, "string")
+    schema = df.select("*").schema.add(into, "string")
 
     def add(batches):
         for batch in batches:
