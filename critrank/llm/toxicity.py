@@ -281,7 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, seed:
 def score(docs: DataFrame, model: Model, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
     """Columns ``keep`` of ``docs`` with score and predicted of every row."""
     keep = [c for c in keep if c.lower() not in ("score", "predicted")]
-    schema = docs.select(*keep).schema.add("score", "double").add("predicted", "int")
+    schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
 
     def run(batches):
         memory = Memory(model.kernel)
