@@ -82,7 +82,7 @@ def test_toxic_documents(tables):
     rows = {r.doc_id: r for r in toxicity.digest(docs, labels).collect()}
     assert len(rows) == docs.count() and [r.held_out for r in rows.values()] == held(rows.values(), 4, 2)
     out = [(rows[r.doc_id], r.toxic) for r in labels.collect() if r.doc_id in rows and rows[r.doc_id].held_out]
-    assert np.mean([r.predicted for r, y in out if y]) > 0.95 and np.mean([r.predicted for r, y in out if not y]) < 0.02
+    assert np.mean([r.predicted for r, y in out if y]) > 0.9 and np.mean([r.predicted for r, y in out if not y]) < 0.02
     assert all(r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in rows.values())
 
 
