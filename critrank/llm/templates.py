@@ -30,12 +30,19 @@ WILD = "<*>"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each line with a word: place in the tree and masked line."""
-    blank = F.trim(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " "))
+    """A row for each line with a word: place in the tree and masked line.
+
+    Whole texts are masked, then cut into lines, so that each expression runs
+    once; texts without odd blanks or digits skip the replacements.
+    """
+    even = F.when(F.col("text").rlike(r"[\x09\x0B-\x0D]|  "), F.regexp_replace("text", r"[\x20\x09\x0B-\x0D]+", " ")
+                  ).otherwise(F.col("text"))
+    masked = F.when(F.col("text").rlike("[0-9]"), F.regexp_replace(
+        even, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", WILD)).otherwise(even)
     words = F.split("masked", " ")
     return (docs.select("doc_id", F.xxhash64("text").alias("text_hash"),
-                        F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-            .select("doc_id", "text_hash", "pos", F.regexp_replace(blank, "[^ 0-9]*[0-9][^ ]*", WILD).alias("masked"))
+                        F.posexplode(F.split(masked, "\n")).alias("pos", "piece"))
+            .select("doc_id", "text_hash", "pos", F.trim("piece").alias("masked"))
             .where("masked <> ''")
             .withColumn("leaf", F.xxhash64(F.size(words), *[F.get(words, F.lit(k)) for k in range(DEPTH)]))
             .withColumn("line", F.xxhash64("masked")))
