@@ -11,7 +11,14 @@ Layout
 - ``streaming``    Structured Streaming ranking of arriving candidate batches
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from critrank.catalog import Catalog, default_catalog, probe_catalog  # noqa: F401
-from critrank.session import get_spark, materialize  # noqa: F401
+from critrank.session import get_spark, materialize, temporary_tables  # noqa: F401
+
+# task functions travel by value: executors need the public libraries only
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-__all__ = ["Catalog", "default_catalog", "probe_catalog", "get_spark", "materialize"]
+__all__ = ["Catalog", "default_catalog", "probe_catalog", "get_spark", "materialize", "temporary_tables"]

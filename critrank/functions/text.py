@@ -102,7 +102,7 @@ def jd_field(raw_text, label: str) -> Column:
 
 def jd_experience(raw_text) -> tuple[Column, Column]:
     """(min, max) years from 'Experience Required: a-b' (hyphen or en dash), else NULL."""
-    pattern = r"(?i)Experience Required:\s*(\d+)\s*[–-]\s*(\d+)"
+    pattern = r"(?i)Experience Required:(?U:\s*)([0-9]+)(?U:\s*)[–-](?U:\s*)([0-9]+)"
     t = col_(raw_text)
     lo = F.regexp_extract(t, pattern, 1)
     hi = F.regexp_extract(t, pattern, 2)

@@ -64,11 +64,18 @@ class OverlapScorer:
         return np.asarray(out, dtype=np.float64)
 
 
-def score_pairs(pairs: DataFrame, factory: Callable[[], object] | None = None,
-                batch_size: int = 128, partitions: int | None = None) -> DataFrame:
+def score_pairs(texts: DataFrame, factory: Callable[[], object] | None, catalog: Catalog, keys: list[str],
+                batch_size: int = 128) -> DataFrame:
+    """(keys, ordinal, dim, pair_raw): a model's score of each row's pairs.
+
+    ``texts`` has ``keys`` and ``text``; a text travels once, its pairs are made in
+    the task that scores them.  ``factory`` builds the model, once per worker.
+    """
     factory = factory or OverlapScorer
-    n = partitions or pairs.sparkSession.sparkContext.defaultParallelism
-    schema = T.StructType(list(pairs.schema.fields) + [T.StructField("pair_raw", T.DoubleType())])
+    kinds = T.StructType([*texts.select(*keys).schema.fields, T.StructField("ordinal", T.IntegerType()),
+                          T.StructField("dim", T.StringType()), T.StructField("pair_raw", T.DoubleType())])
+    queries = [(i, d.name, catalog.pair_query(d.name)) for i, d in enumerate(catalog.dimensions)
+               if catalog.pair_query(d.name) is not None]
     holder: dict = {}
 
     def run(batches):
@@ -76,14 +83,18 @@ def score_pairs(pairs: DataFrame, factory: Callable[[], object] | None = None,
         if model is None:
             model = holder["m"] = factory()
         for pdf in batches:
-            pairs_ = list(zip(pdf["query"].tolist(), pdf["text"].fillna("").tolist()))
-            scores = []
-            for i in range(0, len(pairs_), batch_size):
-                scores.extend(np.ravel(np.asarray(model.predict(pairs_[i:i + batch_size]),
-                                                  dtype=np.float64)).tolist())
-            yield pdf.assign(pair_raw=pd.Series(scores, index=pdf.index, dtype="float64"))
-
-    return pairs.repartition(n).mapInPandas(run, schema)
+            out = []
+            for i, dim, query in queries:
+                pairs_ = [(query, t) for t in pdf["text"].fillna("").tolist()]
+                scores = []
+                for a in range(0, len(pairs_), batch_size):
+                    scores.extend(np.ravel(np.asarray(model.predict(pairs_[a:a + batch_size]),
+                                                      dtype=np.float64)).tolist())
+                out.append(pdf[keys].assign(ordinal=np.int32(i), dim=dim, pair_raw=scores))
+            if out:
+                yield pd.concat(out)
+
+    return texts.select(*keys, "text").mapInPandas(run, kinds)
 
 
 def minmax(df: DataFrame, group: list[str], col: str = "pair_raw",

@@ -30,34 +30,14 @@ from critrank.session import materialize
 PROFILE = ("title", "years", "open_to_work", "response_rate")
 
 
-SPREAD_MAX_BYTES = 256 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a *small* input over all cores.
-
-    A small file is read as a few splits (one per row group), which would
-    leave cores idle for row-heavy work (tokenising, candidate x JD pairs).
-    The decision uses the optimizer's size estimate, so nothing is executed
-    to make it; inputs above ``SPREAD_MAX_BYTES`` already have enough splits
-    and are never reshuffled.
-    """
-    est = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    size = est if isinstance(est, int) else int(est.toString())
-    if size <= SPREAD_MAX_BYTES:
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    return df
-
-
 def raw_features(cands: DataFrame, catalog: Catalog, text_col: str = "text",
                  years_col: str = "years", employers_col: str = "employers",
                  profile: tuple[str, ...] = PROFILE, keep_text: bool = False) -> DataFrame:
     """Per-candidate raw scores (BM25 not yet normalised).  ``cands`` has ``doc_id``."""
     n = len(catalog.dimensions)
     extra = [c for c in profile if c in cands.columns]
-    base = spread(cands.select("doc_id", F.col(text_col).alias("_text"),
-                               F.col(years_col).alias("_years"),
-                               F.col(employers_col).alias("_employers"), *extra))
+    base = cands.select("doc_id", F.col(text_col).alias("_text"), F.col(years_col).alias("_years"),
+                        F.col(employers_col).alias("_employers"), *extra)
     tok = base.withColumn("tokens", tx.tokens("_text")).withColumn(
         "dl", F.size("tokens").cast("bigint"))
     queries = criteria.bm25_query(catalog)

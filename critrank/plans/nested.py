@@ -27,7 +27,7 @@ def nested_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
                      (i % 5) + 1).alias("proficiency"),
         F.length(w).alias("endorsements"),
         F.when(i % 2 == 0, i * 6).alias("duration_months")))
-    career = F.transform(F.slice(lines, 2, 1000000), lambda l, i: F.struct(
+    career = F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda l, i: F.struct(
         F.col("source").alias("company"),
         F.concat(F.lit("role "), i.cast("string")).alias("title"),
         F.lit("2020-01-01").alias("start_date"),
@@ -46,7 +46,8 @@ def nested_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("grade"),
         F.when(F.col("doc_id") % 3 == 0, F.lit("tier_1")).alias("tier")))
     cid = F.when(F.col("doc_id") % 50 == 7, F.concat(F.lit("CAND_"), F.col("doc_id").cast("string")))\
-        .otherwise(F.concat(F.lit("CAND_"), F.lpad(F.col("doc_id").cast("string"), 7, "0")))
+        .otherwise(F.concat(F.lit("CAND_"), F.when(F.length(F.col("doc_id").cast("string")) < 7, F.lpad(
+            F.col("doc_id").cast("string"), 7, "0")).otherwise(F.col("doc_id").cast("string"))))
     profile = F.struct(
         F.col("source").alias("anonymized_name"), lines[0].alias("headline"),
         F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit("")).alias("summary"),

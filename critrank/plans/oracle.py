@@ -189,7 +189,7 @@ fused AS (SELECT *, we * e + wb * b + ws * s AS f FROM src)"""
   SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line,
          unnest(range(len(string_split(text, chr(10))))) AS pos
   FROM conversations),
-paras AS (SELECT conv_id AS jd_id, turn * 1000000 + pos AS para_no, {strip('line')} AS text
+paras AS (SELECT conv_id AS jd_id, turn::BIGINT * 2147483648 + pos AS para_no, {strip('line')} AS text
           FROM lines WHERE {strip('line')} <> '')"""
 
     def weights(self) -> str:
@@ -331,7 +331,7 @@ SELECT doc_id, dim, round(CASE WHEN e > 0 THEN e ELSE 0.0 END, 6) AS embedding,
        round(CASE WHEN b > 0 THEN b ELSE 0.0 END, 6) AS bm25,
        round(CASE WHEN s > 0 THEN s ELSE 0.0 END, 6) AS structured
 FROM src WHERE e > 0 OR b > 0 OR s > 0"""
-    q["stage1"] = _with(rk) + "\nSELECT jd_id, doc_id, round(stage1, 6) AS stage1 FROM s1"
+    q["stage1"] = _with(rk) + "\nSELECT jd_id, doc_id, round(stage1, 6) AS stage1 FROM surv WHERE stage1_rank = 1"
     q["topk_per_group"] = _with(rk) + "\nSELECT jd_id, doc_id, stage1_rank, round(stage1, 6) AS stage1 FROM surv"
     q["topk"] = b + f"""
 SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, round(score, 6) AS score
@@ -458,22 +458,23 @@ ORACLES = build()
 
 RANKING_TABLE = """ok AS (
   SELECT o_orderkey,
-         CASE WHEN o_orderkey >= 5000 THEN (o_orderkey - 5000) // 97 + 50 ELSE o_orderkey // 100 END AS rid,
-         CASE WHEN o_orderkey >= 5000 THEN (o_orderkey - 5000) % 97 ELSE o_orderkey % 100 END AS pos
+         (o_orderkey // 197) * 2 + CASE WHEN o_orderkey % 197 >= 100 THEN 1 ELSE 0 END AS rid,
+         CASE WHEN o_orderkey % 197 >= 100 THEN o_orderkey % 197 - 100 ELSE o_orderkey % 197 END AS pos
   FROM orders),
 rt AS (
   SELECT rid AS ranking_id, pos + 2 AS row_num,
     CASE WHEN o_orderkey % 97 = 5 THEN 'CAND_' || CAST(o_orderkey AS VARCHAR)
          WHEN o_orderkey % 89 = 7 THEN ''
-         WHEN o_orderkey % 83 = 3 THEN 'CAND_' || lpad(CAST(o_orderkey - 1 AS VARCHAR), 7, '0')
-         ELSE 'CAND_' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') END AS cid,
+         WHEN o_orderkey % 83 = 3 THEN 'CAND_' || lpad(CAST(o_orderkey - 1 AS VARCHAR), greatest(7, length(CAST(o_orderkey - 1 AS VARCHAR)))::INTEGER, '0')
+         WHEN o_orderkey % 41 = 12 THEN 'CAND_' || lpad(CAST(o_orderkey - 2 AS VARCHAR), greatest(7, length(CAST(o_orderkey - 2 AS VARCHAR)))::INTEGER, '0')
+         ELSE 'CAND_' || lpad(CAST(o_orderkey AS VARCHAR), greatest(7, length(CAST(o_orderkey AS VARCHAR)))::INTEGER, '0') END AS cid,
     CASE WHEN o_orderkey % 101 = 4 THEN '0' || CAST(pos + 1 AS VARCHAR)
          WHEN o_orderkey % 103 = 9 THEN CAST(pos AS VARCHAR)
          WHEN o_orderkey % 107 = 2 THEN '101'
          ELSE CAST(pos + 1 AS VARCHAR) END AS rank_s,
     CASE WHEN o_orderkey % 127 = 6 THEN 'abc'
          ELSE printf('%.2f', CASE WHEN o_orderkey % 109 = 1 THEN 1000.0 - pos * 1.5 + 50.0
-                                  WHEN o_orderkey % 113 = 0 THEN 1000.0 - pos * 1.5 + 1.5
+                                  WHEN o_orderkey % 113 = 0 OR o_orderkey % 41 = 12 THEN 1000.0 - pos * 1.5 + 1.5
                                   ELSE 1000.0 - pos * 1.5 END) END AS score_s,
     o_orderkey % 131 = 10 AS bad_cells
   FROM ok),
@@ -520,7 +521,7 @@ def _rules_sql(rules: list[str], detail: bool = True) -> str:
 SCHEMA_VIOLATIONS = """WITH d AS (
   SELECT doc_id, n_chars, string_split(text, chr(10)) AS lines,
          CASE WHEN doc_id % 50 = 7 THEN 'CAND_' || CAST(doc_id AS VARCHAR)
-              ELSE 'CAND_' || lpad(CAST(doc_id AS VARCHAR), 7, '0') END AS cid
+              ELSE 'CAND_' || lpad(CAST(doc_id AS VARCHAR), greatest(7, length(CAST(doc_id AS VARCHAR)))::INTEGER, '0') END AS cid
   FROM documents),
 w AS (SELECT doc_id, list_filter(string_split(lines[1], ' '), lambda x: x <> '') AS ws FROM d),
 ci AS (SELECT doc_id, unnest(range(len(lines) - 1)) AS i FROM d),

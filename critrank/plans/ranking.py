@@ -7,14 +7,15 @@ Inputs
 
 Plan
   1. per candidate: similarity to the dimension vectors, fused source scores
-  2. per (candidate, JD): stage-1 = sum_d weight[d] * fused[d]; the JD weight
-     rows (bounded: ``max_jds_per_pass`` per pass) arrive as ONE scalar row, so
-     no join and no shuffle produce the pairs
-  3. top-k per JD: row_number <= k; the partial WindowGroupLimit runs before the
-     exchange, so at most k rows per JD per task are shuffled
-  4. rerank the k x J survivors: built-in pair scores come precomputed with the
-     features; a model scorer looks survivors' text up (id IN-list pushed to
-     the Parquet scan when the list is small) and runs in mapInPandas
+  2. stage-1 = sum_d weight[d] * fused[d], for all JDs in one scan of narrow
+     feature rows: each Arrow chunk of candidates meets the JD weights (blocks of
+     bounded bytes) as arrays, and passes on its k best rows of each JD.  No
+     candidate x JD row exists
+  3. the chunks' best rows are merged in two stages, salted by candidate, so that
+     even a single JD is merged by many tasks; the k x J survivors are written once
+  4. survivors join their features and their JD's weights (Spark picks the joins
+     by size); built-in pair scores come precomputed with the features, a model
+     scorer reads the survivors' text
   5. per (JD, dimension) min-max of pair scores, blend, final, rank, reason
 
 Ties: stage-1 by (score DESC, id ASC); the final rank by (score rounded to six
@@ -23,32 +24,28 @@ decimals DESC, id ASC) so that a six-decimal output is never out of id order.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from critrank.catalog import Catalog
 from critrank.operators import explain, fusion, rerank, topk
 from critrank.operators import vectors as vops
 from critrank.session import materialize
 
-MAX_JDS_PER_PASS = 10_000
-MAX_LOOKUP_IDS = 100_000
+#: Bytes of JD weights (and vectors) that one scan of the features carries.
+JD_BLOCK_BYTES = 64 << 20
+#: Cells (candidates x JDs) that a task scores at a time.
+CELLS = 1 << 21
 
 
-def _weights_scalar(jd_weights: DataFrame) -> Column:
-    return jd_weights.agg(F.collect_list(F.struct(F.col("jd_id"), F.col("weights")
-                                                  .cast("array<double>").alias("w")))).scalar()
-
-
-def _spread(df: DataFrame) -> DataFrame:
-    """Round-robin a narrow frame when it has fewer partitions than the cluster
-    has cores (a small feature table can be a single file); a large table
-    already has enough partitions and is left alone (no shuffle)."""
-    from critrank.plans.features import spread
-    return spread(df)
+def _per_jd(dim_vectors: DataFrame | None) -> bool:
+    return dim_vectors is not None and "jd_id" in dim_vectors.columns
 
 
 def _with_sources(feats: DataFrame, dim_vectors: DataFrame | None, catalog: Catalog) -> DataFrame:
@@ -69,66 +66,133 @@ def _with_sources(feats: DataFrame, dim_vectors: DataFrame | None, catalog: Cata
                                               catalog))
 
 
-def _jd_matrices(dim_vectors: DataFrame, n: int) -> Column:
-    mats = (dim_vectors.groupBy("jd_id").agg(F.map_from_entries(F.collect_list(
-        F.struct(F.col("ordinal").cast("int"), F.col("vec").cast("array<double>")))).alias("m"))
-        .select("jd_id", F.array(*[F.try_element_at(F.col("m"), F.lit(i)) for i in range(n)])
-                .alias("mat")))
-    return mats.agg(F.map_from_entries(F.collect_list(F.struct("jd_id", "mat")))).scalar()
-
+def jd_table(jd_weights: DataFrame, dim_vectors: DataFrame | None, catalog: Catalog) -> DataFrame:
+    """(jd_id, weights[, mat]): one row per JD, with its own dimension vectors if it has any."""
+    w = jd_weights.select("jd_id", F.col("weights").cast("array<double>").alias("weights"))
+    if not _per_jd(dim_vectors):
+        return w
+    n = len(catalog.dimensions)
+    vecs = dim_vectors.groupBy("jd_id").agg(F.map_from_entries(F.collect_list(F.struct(  # n entries a JD
+        F.col("ordinal").cast("int"), F.col("vec").cast("array<double>")))).alias("m"))
+    mats = vecs.select("jd_id", F.array(*[F.try_element_at("m", F.lit(i)) for i in range(n)]).alias("mat"))
+    return w.join(mats, "jd_id", "left")
+
+
+class _JDs:
+    """A block of JDs as arrays: weights (J, n), and vectors (J, n, dim) if JDs have their own."""
+
+    def __init__(self, rows: list, n: int, fusion_weights: list[tuple[float, float, float]]):
+        self.ids = [r.jd_id for r in rows]
+        self.fusion = fusion_weights
+        self.weights = np.array([[(r.weights[d] if d < len(r.weights) else None) or 0.0 for d in range(n)]
+                                 for r in rows]).reshape(len(rows), n)
+        self.mats = None
+        if rows and "mat" in rows[0]:
+            dim = max((len(v) for r in rows for v in r.mat or [] if v), default=0)
+            self.mats = np.zeros((len(rows), n, dim))
+            for j, r in enumerate(rows):
+                for d, v in enumerate(r.mat or []):
+                    if v:
+                        self.mats[j, d, :len(v)] = [x or 0.0 for x in v]
+
+    def scores(self, cols: dict[str, np.ndarray], a: int, b: int) -> np.ndarray:
+        """Stage-1 of the chunk's rows (columns) for JDs a..b (rows); sums run left to right."""
+        out = np.zeros((b - a, len(next(iter(cols.values())))))
+        for d in range(self.weights.shape[1]):
+            if self.mats is None:
+                fused = cols["fused"][:, d][None, :]
+            else:
+                emb = np.zeros_like(out)
+                for i in range(self.mats.shape[2]):
+                    emb += cols["embedding"][:, i][None, :] * self.mats[a:b, d, i][:, None]
+                we, wb, ws = self.fusion[d]
+                fused = we * emb + (wb * cols["bm25"][:, d])[None, :] + (ws * cols["structured"][:, d])[None, :]
+            out += self.weights[a:b, d][:, None] * fused
+        return out
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """A list column as (rows, width); what is null or absent is 0."""
+    out = np.zeros((len(column), width))
+    lengths = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
+    row = np.repeat(np.arange(len(column)), lengths)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    flat = np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+    out[row[at < width], at[at < width]] = flat[at < width]
+    return out
 
-def stage1(feats: DataFrame, jd_weights: DataFrame, dim_vectors: DataFrame | None,
-           catalog: Catalog) -> DataFrame:
-    """Narrow (jd_id, doc_id, stage1) for every candidate and JD.
 
-    Each candidate row meets every JD's weight row through ONE scalar row
-    (no join); the weight rows are exploded and stage-1 is an unrolled
-    arithmetic expression, so the per-pair work is compiled code.
-    """
-    n = len(catalog.dimensions)
-    per_jd_vectors = dim_vectors is not None and "jd_id" in dim_vectors.columns
-    if not per_jd_vectors:
-        f = _spread(_with_sources(feats, dim_vectors, catalog).select("doc_id", "fused"))
-        f = f.withColumn("_W", _weights_scalar(jd_weights))
-        pairs = f.select("doc_id", "fused", F.explode("_W").alias("_j"))
-        return pairs.select(F.col("_j.jd_id").alias("jd_id"), "doc_id",
-                            fusion.weighted_sum(F.col("_j.w"), F.col("fused"), n).alias("stage1"))
-    # per-JD dimension vectors: similarities depend on the JD as well
-    f = _spread(feats.select("doc_id", "bm25", "structured", "embedding"))
-    f = f.withColumn("_W", _weights_scalar(jd_weights)).withColumn("_M", _jd_matrices(dim_vectors, n))
-    pairs = f.select("doc_id", "bm25", "structured", "embedding", "_M", F.explode("_W").alias("_j"))
-    pairs = pairs.withColumn("_mat", F.try_element_at(F.col("_M"), F.col("_j.jd_id")))
-    pairs = pairs.withColumn("emb", vops.similarity(F.col("_mat"), F.col("embedding")))
-    pairs = pairs.withColumn("fused", fusion.fused(F.col("emb"), F.col("bm25"), F.col("structured"),
-                                                   catalog))
-    return pairs.select(F.col("_j.jd_id").alias("jd_id"), "doc_id",
-                        fusion.weighted_sum(F.col("_j.w"), F.col("fused"), n).alias("stage1"))
-
-
-def attach(survivors: DataFrame, feats: DataFrame, jd_weights: DataFrame,
-           dim_vectors: DataFrame | None, catalog: Catalog, bound: int) -> DataFrame:
-    """Bring scores and profile back for the k x J survivors only.
-
-    The survivor set is bounded by k x JDs per pass; below ``MAX_LOOKUP_IDS``
-    it is broadcast and the features are streamed past it (no shuffle of
-    the feature table), and only matching rows compute similarities.
-    """
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k best columns, ties to the left (columns are in ascending id)."""
+    if len(scores) > k:
+        least = np.partition(scores, len(scores) - k)[len(scores) - k]
+        some = np.flatnonzero(scores >= least)
+    else:
+        some = np.arange(len(scores))
+    return some[np.argsort(-scores[some], kind="stable")[:k]]
+
+
+def _scan(rows: DataFrame, jds: _JDs, k: int, widths: dict[str, int], schema: T.StructType) -> DataFrame:
+    """The k best rows of each Arrow chunk of ``rows`` for each JD of the block."""
+    matrix, best = _matrix, _best
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch.take(pc.sort_indices(batch.column("doc_id")))
+            cols = {c: matrix(batch.column(c), w if w >= 0 else jds.mats.shape[2]) for c, w in widths.items()}
+            step = max(1, CELLS // batch.num_rows)
+            for a in range(0, len(jds.ids), step):
+                block = jds.scores(cols, a, min(a + step, len(jds.ids)))
+                picks = [best(s, k) for s in block]
+                at = np.concatenate(picks)
+                jd = np.repeat(np.arange(a, a + len(picks)), [len(p) for p in picks])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([jds.ids[j] for j in jd]), batch.column("doc_id").take(pa.array(at)),
+                     pa.array(block[jd - a, at])], names=["jd_id", "doc_id", "stage1"]).cast(arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    arrow = to_arrow_schema(schema)
+    return rows.mapInArrow(run, schema)
+
+
+def top_candidates(feats: DataFrame, jds: DataFrame, dim_vectors: DataFrame | None, catalog: Catalog,
+                   k: int, jd_block_bytes: int = JD_BLOCK_BYTES) -> DataFrame:
+    """(jd_id, doc_id, stage1, stage1_rank): the k best candidates of each JD of ``jd_table``."""
     n = len(catalog.dimensions)
-    s = F.broadcast(survivors) if bound <= MAX_LOOKUP_IDS else survivors
-    j = feats.join(s, "doc_id")
-    per_jd_vectors = dim_vectors is not None and "jd_id" in dim_vectors.columns
-    if per_jd_vectors:
-        j = j.withColumn("_M", _jd_matrices(dim_vectors, n))
-        j = j.withColumn("emb", vops.similarity(F.try_element_at(F.col("_M"), F.col("jd_id")),
-                                                F.col("embedding"))).drop("_M")
-        j = j.withColumn("fused", fusion.fused(F.col("emb"), F.col("bm25"), F.col("structured"),
-                                               catalog))
+    per_jd = "mat" in jds.columns
+    if per_jd:
+        rows = feats.select("doc_id", "bm25", "structured", "embedding")
+        widths = {"bm25": n, "structured": n, "embedding": -1}
     else:
-        j = _with_sources(j, dim_vectors, catalog)
-    wmap = jd_weights.agg(F.map_from_entries(F.collect_list(
-        F.struct(F.col("jd_id"), F.col("weights").cast("array<double>"))))).scalar()
-    j = j.withColumn("_wm", wmap)
-    return j.withColumn("weights", F.try_element_at(F.col("_wm"), F.col("jd_id"))).drop("_wm")
+        rows, widths = _with_sources(feats, dim_vectors, catalog).select("doc_id", "fused"), {"fused": n}
+    size = F.lit(64 + 8 * n)
+    if per_jd:
+        size = size + F.coalesce(F.aggregate("mat", F.lit(0), lambda s, v: s + F.coalesce(F.size(v), F.lit(0)) * 8),
+                                 F.lit(0))
+    total = jds.agg(F.sum(size)).first()[0] or 0
+    blocks = total // jd_block_bytes + 1
+    schema = T.StructType([jds.schema["jd_id"], rows.schema["doc_id"], T.StructField("stage1", T.DoubleType())])
+    weights = [tuple(catalog.fusion_weights(d.name)) for d in catalog.dimensions]
+    part, found = F.pmod(F.xxhash64("jd_id"), F.lit(blocks)), None
+    for p in range(blocks):  # a block has about jd_block_bytes; almost always there is one
+        block = _JDs(jds.where(part == p).collect(), n, weights)
+        best = _scan(rows, block, k, widths, schema)
+        found = best if found is None else found.union(best)
+    return topk.topk_per_group(found, k, "jd_id", "stage1", "doc_id", "stage1_rank", salts=topk.SALTS)
+
+
+def attach(survivors: DataFrame, feats: DataFrame, jds: DataFrame, dim_vectors: DataFrame | None,
+           catalog: Catalog) -> DataFrame:
+    """Bring scores, profile and JD weights back for the k x J survivors only."""
+    j = feats.join(survivors, "doc_id").join(jds, "jd_id")
+    if "mat" not in jds.columns:
+        return _with_sources(j, dim_vectors, catalog)
+    j = j.withColumn("emb", vops.similarity(F.col("mat"), F.col("embedding"))).drop("mat")
+    none = F.array_repeat(F.lit(0.0), len(catalog.dimensions))
+    return j.withColumn("emb", F.coalesce("emb", none)).withColumn("fused", fusion.fused(
+        F.col("emb"), F.col("bm25"), F.col("structured"), catalog))
 
 
 def finish(survivors: DataFrame, catalog: Catalog) -> DataFrame:
@@ -151,61 +215,40 @@ def finish(survivors: DataFrame, catalog: Catalog) -> DataFrame:
 
 
 def survivors(feats: DataFrame, jd_weights: DataFrame, catalog: Catalog,
-              dim_vectors: DataFrame | None = None, k: int = 100) -> DataFrame:
-    """Top-k by stage-1 per JD with every score column attached (one pass)."""
-    s1 = stage1(feats, jd_weights, dim_vectors, catalog)
-    top = topk.topk_per_group(s1, k, "jd_id", "stage1", "doc_id", "stage1_rank")
-    return attach(top, feats, jd_weights, dim_vectors, catalog, k * MAX_JDS_PER_PASS)
+              dim_vectors: DataFrame | None = None, k: int = 100,
+              jd_block_bytes: int = JD_BLOCK_BYTES) -> DataFrame:
+    """Top-k by stage-1 per JD with every score column attached."""
+    jds = materialize(jd_table(jd_weights, dim_vectors, catalog), "jds")
+    top = materialize(top_candidates(feats, jds, dim_vectors, catalog, k, jd_block_bytes), "survivors")
+    return attach(top, feats, jds, dim_vectors, catalog)
 
 
 def rank(feats: DataFrame, jd_weights: DataFrame, catalog: Catalog,
          dim_vectors: DataFrame | None = None, k: int = 100,
          scorer: Callable[[], object] | None = None, texts: DataFrame | None = None,
-         max_jds_per_pass: int = MAX_JDS_PER_PASS) -> DataFrame:
+         jd_block_bytes: int = JD_BLOCK_BYTES) -> DataFrame:
     """Ranked top-k per JD with scores and reasons (see module doc).
 
     ``scorer=None`` uses the built-in pair scores stored in ``feats``;
     otherwise ``texts`` (doc_id, text) supplies the survivors' text.
     """
-    # The weight rows are read three times (count, stage-1 scalar, attach
-    # scalar); they are one row per JD, so computing them once is cheap.
-    jd_weights = materialize(jd_weights.select("jd_id", "weights"))
-    n_jds = jd_weights.count()
-    passes = max(1, math.ceil(n_jds / max_jds_per_pass))
-    results = []
-    for p in range(passes):
-        jw = jd_weights if passes == 1 else jd_weights.filter(
-            F.pmod(F.xxhash64("jd_id"), F.lit(passes)) == p)
-        dv = dim_vectors
-        if dv is not None and passes > 1 and "jd_id" in dv.columns:
-            dv = dv.filter(F.pmod(F.xxhash64("jd_id"), F.lit(passes)) == p)
-        s1 = stage1(feats, jw, dv, catalog)
-        top = topk.topk_per_group(s1, k, "jd_id", "stage1", "doc_id", "stage1_rank")
-        bound = k * min(n_jds, max_jds_per_pass)
-        surv = attach(top, feats, jw, dv, catalog, bound)
-        if scorer is not None:
-            surv = _model_pairs(surv, texts, catalog, scorer, bound)
-        results.append(finish(surv, catalog))
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out
+    surv = survivors(feats, jd_weights, catalog, dim_vectors, k, jd_block_bytes)
+    if scorer is not None:
+        surv = _model_pairs(materialize(surv, "attached"), texts, catalog, scorer)
+    return finish(surv, catalog)
 
 
-def _model_pairs(surv: DataFrame, texts: DataFrame, catalog: Catalog,
-                 scorer: Callable[[], object], bound: int) -> DataFrame:
-    """Replace ``pair_raw`` with model scores for the survivors."""
+def _model_pairs(surv: DataFrame, texts: DataFrame, catalog: Catalog, scorer: Callable[[], object]) -> DataFrame:
+    """Replace ``pair_raw`` with model scores for the (written) survivors.
+
+    Survivors' texts are found by a join; the pairs of a survivor are made after
+    that shuffle, in the task that scores them.
+    """
     n = len(catalog.dimensions)
     ids = surv.select("doc_id").distinct()
-    if bound <= MAX_LOOKUP_IDS:
-        # Early-exit lookup: the id list (bounded by k x JDs) prunes Parquet row groups.
-        id_list = [r[0] for r in ids.collect()]
-        t = texts.filter(F.col("doc_id").isin(id_list)).select("doc_id", "text")
-    else:
-        t = texts.join(ids, "doc_id", "left_semi").select("doc_id", "text")
-    with_text = surv.join(F.broadcast(t) if bound <= MAX_LOOKUP_IDS else t, "doc_id", "left")
-    pairs = rerank.pair_table(with_text, catalog, ["jd_id", "doc_id"])
-    scored = rerank.score_pairs(pairs, scorer)
+    found = texts.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    with_text = surv.select("jd_id", "doc_id").join(found, "doc_id", "left")
+    scored = rerank.score_pairs(with_text, scorer, catalog, ["jd_id", "doc_id"])
     packed = scored.groupBy("jd_id", "doc_id").agg(
         F.map_from_entries(F.collect_list(F.struct("ordinal", "pair_raw"))).alias("_pm"))
     arr = F.array(*[F.try_element_at(F.col("_pm"), F.lit(i)) for i in range(n)])

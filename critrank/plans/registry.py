@@ -20,6 +20,7 @@ from critrank.operators import bm25, criteria, explain, fusion, records, rerank,
 from critrank.operators import vectors as vops
 from critrank.plans import features, ranking, tables
 from critrank.plans.nested import nested_candidates
+from critrank.session import materialize
 
 CAT = probe_catalog()
 N = len(CAT.dimensions)
@@ -46,21 +47,21 @@ def _feats(spark, sf) -> DataFrame:
 
 
 def _ranked(spark, sf) -> DataFrame:
-    paras = tables.jd_paragraphs(spark, sf)
+    paras = tables.jd_paragraphs(spark, sf, keep_blank=True)
     w = criteria.weight_vectors(paras, CAT)
     dv = tables.dimension_vectors(spark, sf, N)
     return ranking.rank(_feats(spark, sf), w, CAT, dv, k=K)
 
 
-def _survivors(spark, sf) -> DataFrame:
-    paras = tables.jd_paragraphs(spark, sf)
+def _survivors(spark, sf, k: int = K) -> DataFrame:
+    paras = tables.jd_paragraphs(spark, sf, keep_blank=True)
     w = criteria.weight_vectors(paras, CAT)
     dv = tables.dimension_vectors(spark, sf, N)
-    return ranking.survivors(_feats(spark, sf), w, CAT, dv, K)
+    return ranking.survivors(_feats(spark, sf), w, CAT, dv, k)
 
 
 def _tok(spark, sf) -> DataFrame:
-    return bm25.doc_tokens(features.spread(tables.read(spark, sf, "documents")), "doc_id", "text")
+    return bm25.doc_tokens(tables.read(spark, sf, "documents"), "doc_id", "text")
 
 
 # ---------------------------------------------------------------- queries
@@ -76,7 +77,7 @@ def q_submission(spark, sf):
 
 
 def q_weights(spark, sf):
-    w = criteria.weights(tables.jd_paragraphs(spark, sf), CAT)
+    w = criteria.weights(tables.jd_paragraphs(spark, sf, keep_blank=True), CAT)
     return w.select("jd_id", "dim", "n_paragraphs", "anchor_hits", "emphasis", "score",
                     _r("weight").alias("weight"))
 
@@ -97,7 +98,7 @@ def q_jd_paragraphs(spark, sf):
 
 
 def q_dimension_text(spark, sf):
-    d = criteria.dimension_text(tables.jd_paragraphs(spark, sf), CAT)
+    d = criteria.dimension_text(tables.jd_paragraphs(spark, sf, keep_blank=True), CAT)
     return d.select("jd_id", "dim", "n_paragraphs", "text")
 
 
@@ -286,10 +287,9 @@ def q_source_outer(spark, sf):
 
 
 def q_stage1(spark, sf):
-    paras = tables.jd_paragraphs(spark, sf)
-    w = criteria.weight_vectors(paras, CAT)
-    s1 = ranking.stage1(_feats(spark, sf), w, tables.dimension_vectors(spark, sf, N), CAT)
-    return s1.select("jd_id", "doc_id", _r("stage1").alias("stage1"))
+    """Stage-1 of each JD's best candidate (no candidate x JD rows)."""
+    s = _survivors(spark, sf, k=1)
+    return s.select("jd_id", "doc_id", _r("stage1").alias("stage1"))
 
 
 def q_topk_per_group(spark, sf):
@@ -311,11 +311,10 @@ def q_limit_by_id(spark, sf):
 
 
 def q_topk_lookup(spark, sf):
-    s = _survivors(spark, sf).select("jd_id", "doc_id")
+    s = materialize(_survivors(spark, sf).select("jd_id", "doc_id"), "survivors")
     prof = _cands(spark, sf).select("doc_id", "title", "years")
     ids = s.select("doc_id").distinct()
-    # survivors are bounded by k x JDs: a broadcast semi join prunes the profile scan
-    found = prof.join(F.broadcast(ids), "doc_id", "left_semi")
+    found = prof.join(ids, "doc_id", "left_semi")
     return s.join(found, "doc_id", "left").select("jd_id", "doc_id", "title", "years")
 
 
@@ -418,25 +417,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 # ---------------------------------------------------------------- quality
+def _digits(key):
+    """A key with seven digits at least; longer ones stay whole."""
+    text = key.cast("string")
+    return F.when(F.length(text) < 7, F.lpad(text, 7, "0")).otherwise(text)
+
+
 def ranking_table(spark, sf) -> DataFrame:
-    """Rankings derived from orders (100 rows each for keys below 5000, 97 rows
-    after that), with deterministic defects injected by key arithmetic."""
+    """Rankings derived from orders, with deterministic defects injected by key
+    arithmetic: blocks of 197 keys form a ranking of 100 rows and one of 97."""
     o = tables.read(spark, sf, "orders").select("o_orderkey")
     k = F.col("o_orderkey")
-    # keys below 5000 form rankings of 100 rows; later keys rankings of 97 rows
-    big = k >= 5000
-    pos = F.when(big, (k - 5000) % 97).otherwise(k % 100)
-    rid = F.when(big, F.floor((k - 5000) / 97) + 50).otherwise(F.floor(k / 100))
+    short = k % 197 >= 100
+    pos = F.when(short, k % 197 - 100).otherwise(k % 197)
+    rid = F.floor(k / 197) * 2 + F.when(short, 1).otherwise(0)
     cid = (F.when(k % 97 == 5, F.concat(F.lit("CAND_"), k.cast("string")))
            .when(k % 89 == 7, F.lit(""))
-           .when(k % 83 == 3, F.concat(F.lit("CAND_"), F.lpad((k - 1).cast("string"), 7, "0")))
-           .otherwise(F.concat(F.lit("CAND_"), F.lpad(k.cast("string"), 7, "0"))))
+           .when(k % 83 == 3, F.concat(F.lit("CAND_"), _digits(k - 1)))
+           .when(k % 41 == 12, F.concat(F.lit("CAND_"), _digits(k - 2)))
+           .otherwise(F.concat(F.lit("CAND_"), _digits(k))))
     rank = (F.when(k % 101 == 4, F.concat(F.lit("0"), (pos + 1).cast("string")))
             .when(k % 103 == 9, pos.cast("string"))
             .when(k % 107 == 2, F.lit("101"))
             .otherwise((pos + 1).cast("string")))
     base = F.lit(1000.0) - pos.cast("double") * 1.5
-    sd = F.when(k % 109 == 1, base + 50.0).when(k % 113 == 0, base + 1.5).otherwise(base)
+    sd = F.when(k % 109 == 1, base + 50.0).when((k % 113 == 0) | (k % 41 == 12), base + 1.5).otherwise(base)
     score = F.when(k % 127 == 6, F.lit("abc")).otherwise(F.format_string("%.2f", sd))
     return o.select(rid.cast("bigint").alias("ranking_id"),
                     (pos + 2).cast("bigint").alias("row_num"), cid.alias("candidate_id"),

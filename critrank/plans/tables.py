@@ -9,10 +9,10 @@
 |                         | when the document has no label (no history)          |
 | JD paragraphs (many JDs)| conversations: one JD per conv_id; paragraphs are the|
 |                         | stripped non-empty lines of each turn, ordered by    |
-|                         | (turn, line): para_no = turn * 1e6 + line            |
+|                         | (turn, line): para_no = turn * 2^31 + line           |
 | candidate embeddings    | embeddings(vec_id = doc_id, embedding)               |
 | dimension vectors       | lowest vec_id of each label; label = dim ordinal     |
-| nested candidate record | customer + orders (career) + lineitem (skills)       |
+| nested candidate record | documents: lines are jobs, words of line 1 are skills|
 
 Years are derived with one decimal so that ``%.1f`` prints them exactly.
 """
@@ -26,7 +26,8 @@ from critrank.functions import text as tx
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
-PARA_STRIDE = 1_000_000
+#: A text has fewer lines than an array has places, so turns never overlap.
+PARA_STRIDE = 1 << 31
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,9 +35,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from critrank.plans.features import spread
-    # spread at the scan: its size estimate is the file size (a join's is not)
-    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
     labels = read(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("_lid"), "quality", "toxic")
     j = docs.join(labels, docs["doc_id"] == labels["_lid"], "left")
@@ -51,13 +50,14 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         rate.alias("response_rate"))
 
 
-def jd_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def jd_paragraphs(spark: SparkSession, sf_dir: str, keep_blank: bool = False) -> DataFrame:
+    """``keep_blank``: blank lines stay, so that a JD of blank text alone is known (weights 0)."""
     conv = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     lines = conv.select("conv_id", "turn", F.posexplode(F.split(F.col("text"), "\n")))
     return (lines.select(F.col("conv_id").alias("jd_id"),
-                         (F.col("turn") * PARA_STRIDE + F.col("pos")).alias("para_no"),
+                         (F.col("turn").cast("bigint") * PARA_STRIDE + F.col("pos")).alias("para_no"),
                          tx.strip(F.col("col")).alias("text"))
-            .filter(F.col("text") != ""))
+            .filter(F.lit(keep_blank) | (F.col("text") != "")))
 
 
 def dimension_vectors(spark: SparkSession, sf_dir: str, n_dims: int) -> DataFrame:

@@ -10,10 +10,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Open ``temporary_tables`` blocks of each thread.
+_SCOPES = threading.local()
+
 LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -27,21 +32,32 @@ LOCAL_DEFAULTS = {
 
 def get_spark(master: str | None = None, shuffle_partitions: int = 8,
               app_name: str = "critrank", extra: dict | None = None) -> SparkSession:
-    """Get or create a session with the settings this library expects."""
+    """The active session, untouched; otherwise a new one.
+
+    ``LOCAL_DEFAULTS`` and ``shuffle_partitions`` only go to a new session with a
+    local master; on a cluster, the cluster's own settings hold.
+    """
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    conf = dict(LOCAL_DEFAULTS)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.update(extra or {})
+    conf = dict(extra or {})
+    if master is not None and is_local(master):
+        conf = LOCAL_DEFAULTS | {"spark.sql.shuffle.partitions": str(shuffle_partitions)} | conf
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
+def is_local(master: str) -> bool:
+    """One machine, one JVM (``local-cluster`` isn't)."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, configuring it if needed.
 
@@ -59,7 +75,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if not is_local(sc.master):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; point it at a shared folder "
             "(HDFS/S3/ABFS) before running critrank jobs on a cluster")
@@ -68,17 +84,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", outlives: bool = False) -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder and cut its lineage.
 
-    Used where a derived table is read more than once (raw scores feed both
-    the BM25 maxima and the rows they normalise; features feed stage-1 and the
-    survivors).  The rows are written as Parquet under the session's
-    checkpoint folder and read back: one computation (``checkpoint()`` on an
-    un-persisted plan computes it twice), columnar reads with pruning, and
-    the files live on shared storage, so losing an executor loses nothing.
+    Used where a derived table is read more than once.  The rows are written as
+    Parquet under the session's checkpoint folder and read back: one computation,
+    columnar reads with pruning, and files on shared storage, so losing an
+    executor loses nothing.  Within ``temporary_tables`` the table goes at the end
+    of the block, or, if it ``outlives`` it, at the end of the block around that.
     """
     folder = ensure_checkpoint_dir(df.sparkSession)
     path = f"{folder.rstrip('/')}/critrank-{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.parquet(path)
+    scopes = getattr(_SCOPES, "open", [])
+    if len(scopes) > outlives:
+        scopes[-1 - outlives].append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession):
+    """Tables that ``materialize`` writes in this block are deleted at its end.
+
+    Results built on them must be written by then.
+    """
+    scopes = _SCOPES.__dict__.setdefault("open", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for table in scopes.pop():
+            path = jvm.org.apache.hadoop.fs.Path(table)
+            path.getFileSystem(conf).delete(path, True)

@@ -18,15 +18,17 @@ from critrank.catalog import Catalog
 from critrank.operators.records import to_candidates
 from critrank.plans import features, ranking
 from critrank.sources.schemas import candidate_schema
+from critrank.session import temporary_tables
 
 
 def rank_batch(batch: DataFrame, jd_weights: DataFrame, catalog: Catalog, k: int = 100,
                dim_vectors: DataFrame | None = None,
                embeddings: DataFrame | None = None) -> DataFrame:
     cands = to_candidates(batch)
+    own = dim_vectors is not None and "jd_id" in dim_vectors.columns
     feats = features.build_features(cands, catalog, embeddings=embeddings,
-                                    dim_vectors=dim_vectors)
-    return ranking.rank(feats, jd_weights, catalog, k=k)
+                                    dim_vectors=None if own else dim_vectors)
+    return ranking.rank(feats, jd_weights, catalog, dim_vectors if own else None, k=k)
 
 
 def start(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_dir: str,
@@ -39,10 +41,11 @@ def start(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_dir: st
     stream = reader.json(source_dir)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        ranked = rank_batch(batch, jd_weights, catalog, k, dim_vectors, embeddings)
-        (ranked.select("jd_id", "doc_id", "rank", "score", "reasoning")
-         .withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}"))
+        with temporary_tables(batch.sparkSession):
+            ranked = rank_batch(batch, jd_weights, catalog, k, dim_vectors, embeddings)
+            (ranked.select("jd_id", "doc_id", "rank", "score", "reasoning")
+             .withColumn("batch_id", F.lit(batch_id))
+             .write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}"))
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

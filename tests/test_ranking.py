@@ -54,10 +54,10 @@ def test_partitioning_does_not_change_results(spark, inputs):
     assert a == b
 
 
-def test_passes_split_many_jds(spark, inputs):
+def test_blocks_of_jds(spark, inputs):
     f, w, dv = inputs
     a = _rows(ranking.rank(f, w, CAT, dv, k=5))
-    b = _rows(ranking.rank(f, w, CAT, dv, k=5, max_jds_per_pass=3))
+    b = _rows(ranking.rank(f, w, CAT, dv, k=5, jd_block_bytes=400))
     assert a == b
 
 

@@ -84,7 +84,8 @@ def test_defaults_and_raw_text(spark):
     raw = df.select(records.raw_text().alias("r")).collect()[0]["r"]
     assert raw == ("AI Engineer headline\nranking\nAI Engineer\npython\nEngineer\n"
                    "built ranking at Acme\nBTech\nCS")
-    assert io.from_records(spark, [candidate(f"CAND_{i:07d}") for i in range(150)]).count() == 100
+    assert io.from_records(spark, [candidate(f"CAND_{i:07d}") for i in range(150)]).count() == 150
+    assert io.from_records(spark, [candidate(f"CAND_{i:07d}") for i in range(5)], limit=2).count() == 2
 
 
 def test_csv_sink_and_scan_roundtrip(spark):
@@ -172,3 +173,82 @@ def test_weights_report_order(spark, catalog):
     dims = [r["dim"] for r in criteria.weights_report(paras, catalog).collect()]
     assert dims[:3] == ["TECHNICAL_SKILLS", "RANKING_RETRIEVAL", "LEADERSHIP"]
     assert dims[3:] == [d for d in catalog.names if d not in dims[:3]]
+
+
+def test_ranking_csv_survives_quotes_and_lines(spark, tmp_path):
+    import csv
+    import glob
+    reasons = ['Sr "ML" Eng, x', "plain", "two\nlines, and a comma", 'back\\slash "quoted"']
+    df = spark.createDataFrame([("jd", i, i + 1, 1.0 / (i + 1), r) for i, r in enumerate(reasons)],
+                               "jd_id string, doc_id long, rank int, score double, reasoning string")
+    io.write_ranking_csv(df, str(tmp_path / "out"))
+    files = glob.glob(str(tmp_path / "out" / "*" / "*.csv"))
+    rows = [r for f in files for r in list(csv.reader(open(f, newline="")))[1:]]
+    assert [r[3] for r in rows] == reasons and all(len(r) == 4 for r in rows)
+    back = io.read_ranking_csv(spark, str(tmp_path / "out" / "*")).collect()
+    assert [r.reasoning for r in sorted(back, key=lambda r: int(r["rank"]))] == reasons
+    assert not any(r.bad_cells for r in back)
+    assert io.check_ranking_files(spark, str(tmp_path / "out")).where("rule = 'header'").count() == 0
+
+
+def test_file_check_reports_headers_and_bytes(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"candidate_id,rank,score\n")
+    (tmp_path / "b.csv").write_bytes(b"\xff\xfe\x00candidate_id\n")
+    (tmp_path / "c.csv").write_bytes(b"candidate_id,rank,score,reasoning\r\nCAND_0000001,1,0.5,r\r\n")
+    (tmp_path / "d.csv").write_bytes(b"")
+    (tmp_path / "e.txt").write_bytes(b'"candidate_id","rank","score","reasoning"\n')
+    got = {(r.path.rsplit("/", 1)[1], r.rule) for r in io.check_ranking_files(spark, str(tmp_path)).collect()}
+    assert got == {("a.csv", "header"), ("b.csv", "header"), ("d.csv", "empty"), ("e.txt", "suffix")}
+
+
+def test_experience_with_no_break_spaces(spark):
+    from critrank.functions import text as tx
+    from pyspark.sql import functions as F
+    lo, hi = tx.jd_experience(F.col("t"))
+    df = spark.createDataFrame([("Experience Required: 5 – 9 years",), ("experience required: 2-3",), ("no",)], "t string")
+    assert [tuple(r) for r in df.select(lo, hi).collect()] == [(5.0, 9.0), (2.0, 3.0), (None, None)]
+
+
+def test_stored_table_is_never_overwritten(spark, tmp_path):
+    import pytest
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "part.parquet").write_bytes(b"")
+    (tmp_path / "t" / "x").write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        io.load_or_build(spark, str(tmp_path / "t"), lambda: spark.range(3)).count()
+    assert (tmp_path / "t" / "x").exists()
+    new = str(tmp_path / "new")
+    assert io.load_or_build(spark, new, lambda: spark.range(3)).count() == 3
+    assert io.load_or_build(spark, new, lambda: spark.range(9)).count() == 3
+
+
+def test_get_spark_leaves_a_session_alone(spark):
+    from critrank.session import get_spark
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        again = get_spark("local[2]", shuffle_partitions=77)
+        assert again.conf.get("spark.sql.session.timeZone") == "Asia/Tokyo"
+        assert again.conf.get("spark.sql.shuffle.partitions") != "77"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_temporary_tables_go_at_the_end(spark):
+    import os
+    from critrank.session import materialize, temporary_tables
+    with temporary_tables(spark):
+        with temporary_tables(spark):
+            inner = materialize(spark.range(3), "inner").inputFiles()[0].removeprefix("file://")
+            kept = materialize(spark.range(3), "kept", outlives=True)
+            assert os.path.exists(inner)
+        assert not os.path.exists(inner) and kept.count() == 3
+        path = kept.inputFiles()[0].removeprefix("file://")
+    assert not os.path.exists(path)
+
+
+def test_a_jd_of_blank_text_has_zero_weights(spark, probe, tmp_path):
+    from critrank.operators import criteria
+    (tmp_path / "blank.txt").write_text(" \n\n")
+    (tmp_path / "full.txt").write_text("You must know things\n")
+    rows = criteria.weight_vectors(io.read_jd_text(spark, str(tmp_path), keep_blank=True), probe).collect()
+    assert len(rows) == 2 and any(r.jd_id.endswith("blank.txt") and not any(r["weights"]) for r in rows)
