@@ -1,12 +1,4 @@
 """Training-data operators: one module per operator, queries in ``queries``.
 
-Nothing outside this package (and ``corpus_pipeline.py``) imports it.  Task
-functions travel to the executors by value, so executors need the public
-libraries only, not this repository.
+Nothing outside this package (and ``corpus_pipeline.py``) imports it.
 """
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules["critrank"])

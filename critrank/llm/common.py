@@ -1,6 +1,6 @@
 """Helpers shared by the training-data operators.
 
-* ``save`` / ``release``: intermediate tables under ``spark.checkpoint.dir``.
+* ``save``: an intermediate table under ``spark.checkpoint.dir``.
 * ``flat_words`` and ``hash_strings``: word splitting on Arrow columns, used
   inside ``mapInArrow`` tasks.
 * ``number_rows``: global, reproducible row numbers without a global window.
@@ -10,7 +10,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,30 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from critrank.session import ensure_checkpoint_dir
+from critrank.session import materialize
 
-_TABLES: list[str] = []
 
-
-# ------------------------------------------------------------------ scratch
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared checkpoint folder and reread it."""
-    folder = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{folder}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _TABLES.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the intermediate tables written so far.
+    """Write ``df`` once as Parquet in the shared checkpoint folder and reread it.
 
-    Call it once the results that were built on them are written out.
+    ``critrank.temporary_tables`` deletes such tables when their results are written.
     """
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _TABLES:
-        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
-        path.getFileSystem(conf).delete(path, True)
+    return materialize(df, f"llm-{name}")
 
 
 # -------------------------------------------------------------------- words

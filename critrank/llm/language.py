@@ -26,8 +26,8 @@ from .common import pack, unpack
 from .linear import labelled_ids, remainder, train_svm
 
 DIMENSIONS = 1 << 13
-PER_LANGUAGE = 500
-SAMPLE_ROWS = 3000
+PER_LANGUAGE = 400
+SAMPLE_ROWS = 2000
 UNKNOWN = "und"
 #: Language families; a language that isn't listed is a family of its own.
 FAMILIES = {
@@ -68,8 +68,8 @@ class Duel:
         self.pairs = list(combinations(range(len(classes)), 2))
         w, b = [], []
         for i, j in self.pairs:
-            mine = (y == classes[i]) | (y == classes[j])
-            weights, bias = train_svm(x[mine], np.where(y[mine] == classes[i], 1, -1).astype(np.float32))
+            side = (y == classes[i]).astype(np.float32) - (y == classes[j])
+            weights, bias = train_svm(x, side)
             w.append(weights)
             b.append(bias)
         self.w = np.array(w, np.float32).reshape(len(w), x.shape[1])
@@ -93,7 +93,7 @@ class Model:
     def __init__(self, x: np.ndarray, langs: np.ndarray):
         families = np.array([family_of(g) for g in langs])
         self.family = Duel(sorted(set(families)), x, families) if len(langs) else None
-        self.within = {f: Duel(sorted(set(langs[families == f])), x[families == f], langs[families == f])
+        self.within = {f: Duel(sorted(set(langs[families == f])), x, langs)
                        for f in sorted(set(families))}
 
     def predict(self, text: str | None) -> tuple[str, float]:

@@ -7,33 +7,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts in which the rows of a label are ranked first.
+PARTS = 32
+
+
 def train_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear SVM by accelerated gradient descent; ``y`` is +1 or -1.
+    """Squared-hinge linear SVM by accelerated gradient descent; ``y`` is +1 or -1, 0 for rows left out.
 
-    Both classes carry the same weight.  Returns (weights, bias).
+    Both classes carry the same weight, the bias is regularised with the
+    weights, and ``x`` is never copied.  Returns (weights, bias).
     """
     n_pos, n_neg = max(1, int((y > 0).sum())), max(1, int((y < 0).sum()))
-    cost = np.where(y > 0, 0.5 / n_pos, 0.5 / n_neg).astype(np.float32) * c
-    xb = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
+    cost = (c * np.where(y > 0, 0.5 / n_pos, np.where(y < 0, 0.5 / n_neg, 0))).astype(np.float32)
     # the step is one over a bound of the curvature
-    scale = 1.0 + 2.0 * float((cost * (xb * xb).sum(1)).sum())
-    w = np.zeros(xb.shape[1], np.float32)
-    v, t = w.copy(), 1.0
+    scale = 1.0 + 2.0 * float((cost * (np.einsum("ij,ij->i", x, x) + 1)).sum())
+    w, w0 = np.zeros(x.shape[1], np.float32), 0.0
+    v, v0, t = w.copy(), 0.0, 1.0
     for _ in range(steps):
-        slack = np.maximum(0, 1 - y * (xb @ v))
-        grad = v - 2 * (xb.T @ (cost * y * slack))
-        new = v - grad / scale
+        pull = cost * y * np.maximum(0, 1 - y * (x @ v + np.float32(v0)))
+        new, new0 = v - (v - 2 * (pull @ x)) / scale, v0 - (v0 - 2 * float(pull.sum())) / scale
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        v = new + (t - 1) / t_new * (new - w)
-        w, t = new, t_new
-    return w[:-1], float(w[-1])
+        ahead = (t - 1) / t_new
+        v, v0 = new + ahead * (new - w), new0 + ahead * (new0 - w0)
+        w, w0, t = new, new0, t_new
+    return w, float(w0)
 
 
-def fit_sigmoid(margin: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """Platt's sigmoid p = 1 / (1 + exp(-(a*margin + b))) by Newton steps."""
+def fit_sigmoid(margin: np.ndarray, y: np.ndarray, rate: float, steps: int = 60) -> tuple[float, float]:
+    """Platt's sigmoid p = 1 / (1 + exp(-(a*margin + b))) by Newton steps.
+
+    ``rate``: the share of positive rows where the machine will be used.
+    """
     n_pos, n_neg = int((y > 0).sum()), int((y <= 0).sum())
     target = np.where(y > 0, (n_pos + 1) / (n_pos + 2), 1 / (n_neg + 2))
-    weight = np.where(y > 0, 0.5 / max(1, n_pos), 0.5 / max(1, n_neg)) * len(y)
+    weight = np.where(y > 0, rate / max(1, n_pos), (1 - rate) / max(1, n_neg)) * len(y)
     a, b = 1.0, 0.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
@@ -50,11 +57,14 @@ def labelled_ids(rows: DataFrame, label: str, per_label: int, seed: int) -> Data
     """At most ``per_label`` ids of each label: the first by a seeded hash of doc_id.
 
     ``rows`` is narrow (doc_id, label).  Every task passes on ``per_label`` rows
-    of a label at most.
+    of a label at most, and a frequent label is first ranked in ``PARTS`` parts.
     """
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), F.col("doc_id"))
-    return (rows.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= per_label)
-            .select("doc_id", label))
+    order = (F.xxhash64(F.lit(seed), F.col("doc_id")), F.col("doc_id"))
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
+    for groups in ((label, "_part"), (label,)):
+        best = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+        rows = rows.withColumn("_at", best).where(F.col("_at") <= per_label).drop("_at")
+    return rows.select("doc_id", label)
 
 
 def remainder(modulus: int) -> F.Column:

@@ -44,6 +44,8 @@ PIECE = 24
 FLOOR = 0.5
 #: The kernel is multiplied with itself, which sets exact words off from distant ones.
 POWER = 2
+#: Least evidence of a landmark (documents times log-odds): more than chance finds in a large vocabulary.
+EVIDENCE = 16.0
 #: Words that a task keeps kernel values of.
 MEMORY = 500_000
 _MARKS = ".,;:!?|\"'()[]{}<>*_~`-"
@@ -138,8 +140,13 @@ class Kernel:
     def values(self, words: list[str]) -> np.ndarray:
         """A row for each word: its kernel with each landmark, 0 below ``FLOOR``."""
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        if not words or not self.landmarks:
-            return out
+        for k, row in self.near(words).items():
+            out[k] = row
+        return out
+
+    def near(self, words: list[str]) -> dict[int, np.ndarray]:
+        """The rows of ``values`` that aren't all 0."""
+        out: dict[int, np.ndarray] = {}
         order = sorted(range(len(words)), key=lambda k: len(words[k]))
         for start in range(0, len(order), 20_000):  # words of like length together
             index = np.array(order[start:start + 20_000])
@@ -155,6 +162,7 @@ class Kernel:
                         least[k] |= least[k - 1] & hit
                     least[0] |= hit
             near = np.zeros((len(index), len(self.codes)), bool)
+            value = np.zeros((len(index), len(self.codes)), np.float32)
             for k in range(len(self.codes)):
                 near[:, k] = least[self.need[k] - 1] >> np.uint64(k) & np.uint64(1)
             rows = np.flatnonzero(near.any(axis=1))
@@ -165,9 +173,10 @@ class Kernel:
             for k, landmark in enumerate(self.codes):
                 part = np.flatnonzero(near[:, k])
                 if len(part):
-                    out[index[part], k] = subsequence_kernel(codes[part], landmark) / (own[part] * self.own[k])
-        out[out < FLOOR] = 0
-        return out ** POWER
+                    value[part, k] = subsequence_kernel(codes[part], landmark) / (own[part] * self.own[k])
+            value[value < FLOOR] = 0
+            out |= {int(index[k]): value[k] ** POWER for k in np.flatnonzero(value.any(axis=1))}
+        return out
 
 
 def choose_landmarks(docs: list[tuple[str, int]]) -> list[str]:
@@ -177,7 +186,7 @@ def choose_landmarks(docs: list[tuple[str, int]]) -> list[str]:
         seen[toxic].update({w for t in tokens(text) for w in pieces(t) if len(w) > LENGTH})
     n = [max(1, sum(toxic == k for _, toxic in docs)) for k in (0, 1)]
     evidence = {w: c * np.log((c + 0.5) / n[1] / ((seen[0][w] + 0.5) / n[0])) for w, c in seen[1].items() if c >= 3}
-    ranked = sorted((w for w, e in evidence.items() if e > 0), key=lambda w: (-evidence[w], w))[:1000]
+    ranked = sorted((w for w, e in evidence.items() if e > EVIDENCE), key=lambda w: (-evidence[w], w))[:1000]
     chosen: list[str] = []
     if ranked:
         codes, _ = _codes(ranked)
@@ -192,6 +201,8 @@ def choose_landmarks(docs: list[tuple[str, int]]) -> list[str]:
 
 
 class Model:
+    """Fitted on (text, 0 or 1)."""
+
     def __init__(self, docs: list[tuple[str, int]]):
         self.rate = float(np.mean([y for _, y in docs])) if docs else 0.0
         self.kernel = None
@@ -205,8 +216,11 @@ class Model:
         value, vector = np.linalg.eigh(((among + among.T) / 2).astype(np.float64))
         root = (vector / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
         memory = Memory(self.kernel)
-        memory.learn(set().union(*(tokens(t) for t, _ in docs)))
-        rows = [memory.pooled(t) for t, _ in docs]
+        rows = []
+        for k in range(0, len(docs), 300):  # some documents at a time bound the driver's memory
+            part = [t for t, _ in docs[k:k + 300]]
+            memory.learn(set().union(*map(tokens, part)))
+            rows += map(memory.pooled, part)
         owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         values = np.concatenate(rows)
         x = (values @ root).astype(np.float32)
@@ -224,7 +238,7 @@ class Model:
             np.maximum.at(worst, owner, margin)
             positive = (y > 0) & telling & ((margin >= 0) | (margin >= worst[owner]))
         self.weights, self.bias = (root @ w).astype(np.float32), b
-        self.sigmoid = fit_sigmoid(worst, np.where(toxic > 0, 1, -1))
+        self.sigmoid = fit_sigmoid(worst, np.where(toxic > 0, 1, -1), self.rate)
 
     def score(self, texts: list[str | None], memory: "Memory") -> np.ndarray:
         """The probability that each text is toxic."""
@@ -252,8 +266,7 @@ class Memory:
         if len(self.known) + len(new) > MEMORY:
             self.known, self.values, new = set(), {}, found
         words = sorted({w for t in new for w in pieces(t)})
-        values = self.kernel.values(words)
-        near = {words[k]: values[k] for k in np.flatnonzero(values.any(axis=1)).tolist()}
+        near = {words[k]: row for k, row in self.kernel.near(words).items()}
         if near:
             for t in new:
                 if own := [near[w] for w in pieces(t) if w in near]:
