@@ -123,6 +123,19 @@ def dimension_text(paras: DataFrame, catalog: Catalog) -> DataFrame:
                       F.concat(F.col("anchor_text"), F.lit("\n"), para_text).alias("text"))
 
 
+def dimension_tokens(paras: DataFrame, catalog: Catalog) -> DataFrame:
+    """(jd_id, ordinal, dim, tokens): the tokens of ``dimension_text``, a row per paragraph.
+
+    Encoders that only count tokens need no gathered text: one row has the anchors'
+    tokens, and each mapped paragraph has a row of its own.
+    """
+    mapped = anchor_map(paras, catalog).select("jd_id", "ordinal", "dim", tx.tokens("text").alias("tokens"))
+    cat = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(d.name).alias("dim"), tx.tokens(
+        F.lit("\n".join(d.anchors))).alias("tokens")) for i, d in enumerate(catalog.dimensions)])
+    anchors = paras.select("jd_id").distinct().select("jd_id", F.explode(cat).alias("c")).select("jd_id", "c.*")
+    return anchors.unionByName(mapped)
+
+
 def bm25_query(catalog: Catalog) -> dict[str, list[str]]:
     """Query tokens per BM25 dimension: tokens of all anchors, duplicates kept."""
     return {d.name: tx.py_tokens("\n".join(d.anchors))

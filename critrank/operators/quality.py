@@ -15,8 +15,8 @@ Ranking validation (L3-L10) over a table of rankings
   The adjacency checks use rows with a parsed rank, a parsed score and a
   non-empty id, ordered by (rank, row_num) as a stable sort would.
 
-  Duplicates and adjacency are windows partitioned by ranking; missing ranks
-  are an anti join against a generated 1..expected range per ranking.
+  Duplicates and adjacency are windows, counts and missing ranks an aggregate,
+  all within one partitioning by ranking.
 
 Record conformance (C5): ``schema_violations`` evaluates the candidate JSON
 Schema rules (required, pattern, enum, minimum/maximum, minItems/maxItems,
@@ -55,53 +55,46 @@ def parse_ranking(df: DataFrame) -> DataFrame:
 
 
 def validate_rankings(df: DataFrame, expected: int = 100) -> DataFrame:
-    d = parse_ranking(df)
+    """All rules from one shuffle: rows meet by ranking once, and every window and
+    aggregate works within that partitioning."""
+    ok = ~F.col("bad_cells")
+    in_range = F.col("rank_i").between(1, expected)
+    d = (parse_ranking(df).repartition("ranking_id")
+         .withColumn("in_range", F.coalesce(ok & in_range, F.lit(False)))
+         .withColumn("placed", F.coalesce(ok & F.col("rank_i").isNotNull() & F.col("score_d").isNotNull()
+                                          & (F.col("cid") != ""), F.lit(False))))
     rid, rn = F.col("ranking_id"), F.col("row_num")
-    good = d.filter(~F.col("bad_cells"))
     # first occurrence wins: later rows with the same valid id / in-range rank are duplicates
-    w_id = Window.partitionBy("ranking_id", "cid").orderBy("row_num")
-    w_rank = Window.partitionBy("ranking_id", "rank_i").orderBy("row_num")
-    in_range = F.col("rank_i").between(1, expected)
-    good = (good.withColumn("id_seq", F.when(F.col("id_ok"), F.row_number().over(w_id)))
-                .withColumn("rank_seq", F.when(in_range, F.row_number().over(w_rank))))
-    row_rules = F.array(
-        F.when(F.col("cid") == "", _v(rid, rn, "id_required", F.lit("")))
-        .when(~F.col("id_ok"), _v(rid, rn, "id_pattern", F.col("cid")))
-        .when(F.col("id_seq") > 1, _v(rid, rn, "id_duplicate", F.col("cid"))),
-        F.when(F.col("rank_i").isNull(), _v(rid, rn, "rank_integer", F.col("rank_s")))
-        .when(~in_range, _v(rid, rn, "rank_range", F.col("rank_s")))
-        .when(F.col("rank_seq") > 1, _v(rid, rn, "rank_duplicate", F.col("rank_s"))),
-        F.when(F.col("score_d").isNull(), _v(rid, rn, "score_float", F.col("score_s"))))
-    per_row = good.select(F.explode(F.filter(row_rules, lambda x: x.isNotNull())).alias("v"))
-
-    cells = d.filter(F.col("bad_cells")).select(_v(rid, rn, "cells", F.lit("")).alias("v"))
-
-    counts = d.groupBy("ranking_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") != expected)
-    count_v = counts.select(_v(rid, F.lit(None), "count", F.col("n")).alias("v"))
-
-    # missing ranks: generated 1..expected per ranking, anti join with the seen ranks
-    seen = good.filter(in_range).select("ranking_id", F.col("rank_i").alias("r")).distinct()
-    allr = d.select("ranking_id").distinct().select(
-        "ranking_id", F.explode(F.sequence(F.lit(1), F.lit(expected)).cast("array<bigint>")).alias("r"))
-    missing = allr.join(seen, ["ranking_id", "r"], "left_anti")
-    miss_v = (missing.groupBy("ranking_id")
-              .agg(F.array_join(F.array_sort(F.collect_list("r")), ",").alias("m"))
-              .select(_v(rid, F.lit(None), "missing_ranks", F.col("m")).alias("v")))
-
+    w_id = Window.partitionBy("ranking_id", "bad_cells", "cid").orderBy("row_num")
+    w_rank = Window.partitionBy("ranking_id", "in_range", "rank_i").orderBy("row_num")
     # adjacency over rows with a parsed rank, a parsed score and an id
-    adj = good.filter(F.col("rank_i").isNotNull() & F.col("score_d").isNotNull() & (F.col("cid") != ""))
-    w = Window.partitionBy("ranking_id").orderBy("rank_i", "row_num")
-    adj = adj.withColumn("prev_s", F.lag("score_d").over(w)).withColumn("prev_c", F.lag("cid").over(w))
-    mono = adj.filter(F.col("prev_s") < F.col("score_d")).select(
-        _v(rid, rn, "not_monotonic", F.concat_ws(" < ", F.col("prev_s").cast("string"),
-                                                 F.col("score_d").cast("string"))).alias("v"))
-    ties = adj.filter((F.col("prev_s") == F.col("score_d")) & (F.col("prev_c") > F.col("cid"))).select(
-        _v(rid, rn, "tie_order", F.concat_ws(" > ", F.col("prev_c"), F.col("cid"))).alias("v"))
-
-    out = per_row
-    for part in (cells, count_v, miss_v, mono, ties):
-        out = out.unionByName(part)
-    return out.select("v.*")
+    w = Window.partitionBy("ranking_id", "placed").orderBy("rank_i", "row_num")
+    rows = (d.withColumn("id_seq", F.row_number().over(w_id)).withColumn("rank_seq", F.row_number().over(w_rank))
+            .withColumn("prev_s", F.lag("score_d").over(w)).withColumn("prev_c", F.lag("cid").over(w)))
+    row_rules = F.array(
+        F.when(~ok, _v(rid, rn, "cells", F.lit(""))),
+        F.when(ok, F.when(F.col("cid") == "", _v(rid, rn, "id_required", F.lit("")))
+               .when(~F.col("id_ok"), _v(rid, rn, "id_pattern", F.col("cid")))
+               .when(F.col("id_seq") > 1, _v(rid, rn, "id_duplicate", F.col("cid")))),
+        F.when(ok, F.when(F.col("rank_i").isNull(), _v(rid, rn, "rank_integer", F.col("rank_s")))
+               .when(~in_range, _v(rid, rn, "rank_range", F.col("rank_s")))
+               .when(F.col("rank_seq") > 1, _v(rid, rn, "rank_duplicate", F.col("rank_s")))),
+        F.when(ok & F.col("score_d").isNull(), _v(rid, rn, "score_float", F.col("score_s"))),
+        F.when(F.col("placed") & (F.col("prev_s") < F.col("score_d")), _v(rid, rn, "not_monotonic", F.concat_ws(
+            " < ", F.col("prev_s").cast("string"), F.col("score_d").cast("string")))),
+        F.when(F.col("placed") & (F.col("prev_s") == F.col("score_d")) & (F.col("prev_c") > F.col("cid")),
+               _v(rid, rn, "tie_order", F.concat_ws(" > ", F.col("prev_c"), F.col("cid")))))
+    per_row = rows.select(F.explode(F.filter(row_rules, lambda x: x.isNotNull())).alias("v"))
+
+    # at most ``expected`` ranks of a ranking are kept
+    whole = d.groupBy("ranking_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set(
+        F.when(F.col("in_range"), F.col("rank_i"))).alias("seen"))
+    absent = F.array_except(F.sequence(F.lit(1), F.lit(expected)).cast("array<bigint>"), "seen")
+    table_rules = F.array(
+        F.when(F.col("n") != expected, _v(rid, F.lit(None), "count", F.col("n"))),
+        F.when(F.size(absent) > 0, _v(rid, F.lit(None), "missing_ranks", F.array_join(absent, ","))))
+    per_table = whole.select(F.explode(F.filter(table_rules, lambda x: x.isNotNull())).alias("v"))
+    return per_row.unionByName(per_table).select("v.*")
 
 
 def missing_ranks(df: DataFrame, expected: int = 100) -> DataFrame:

@@ -333,6 +333,33 @@ SELECT doc_id, dim, round(CASE WHEN e > 0 THEN e ELSE 0.0 END, 6) AS embedding,
 FROM src WHERE e > 0 OR b > 0 OR s > 0"""
     q["stage1"] = _with(rk) + "\nSELECT jd_id, doc_id, round(stage1, 6) AS stage1 FROM surv WHERE stage1_rank = 1"
     q["topk_per_group"] = _with(rk) + "\nSELECT jd_id, doc_id, stage1_rank, round(stage1, 6) AS stage1 FROM surv"
+    pq = [(d.name, o.c.pair_query(d.name)) for d in o.c.dimensions if o.c.pair_query(d.name) is not None]
+    q["pair_generate"] = _with(rk) + (
+        "\nSELECT s.jd_id, s.doc_id, t.dim, t.query, length(d.text) AS n_chars FROM surv s "
+        f"JOIN documents d ON d.doc_id = s.doc_id CROSS JOIN {_values(pq, 'dim, query')} WHERE s.stage1_rank <= 10")
+    vec = """{name}_tk AS (SELECT {keys}, unnest(tokens) AS t FROM {src}),
+{name}_hb AS (SELECT {keys}, CAST(CAST(('0x' || substr(md5(t), 1, 8)) AS UBIGINT) % 64 AS BIGINT) AS i,
+  sum(CASE WHEN CAST(('0x' || substr(md5(t), 9, 1)) AS INTEGER) < 8 THEN 1.0 ELSE -1.0 END) AS x
+  FROM {name}_tk GROUP BY ALL),
+{name}_raw AS (SELECT {keys}, r.i, CAST(coalesce(h.x, 0.0) AS DOUBLE) AS x FROM (SELECT DISTINCT {keys} FROM {src})
+  CROSS JOIN range(64) r(i) LEFT JOIN {name}_hb h USING ({keys}, i)),
+{name} AS (SELECT {keys}, list(CASE WHEN n > 0 THEN x / n ELSE x END ORDER BY i) AS vec
+  FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY {keys})) AS n FROM {name}_raw) GROUP BY {keys})"""
+    texts = q["dimension_text"]
+    texts = texts[texts.index("anc AS ("):].replace("\nSELECT j.jd_id, anc.dim", ",\njd_text AS (SELECT j.jd_id, anc.ordinal", 1)
+    own = texts + "),\njd_tok AS (SELECT jd_id, ordinal, " + tokens("text") + " AS tokens FROM jd_text),\n" \
+        + vec.format(name="jdvec", keys="jd_id, ordinal", src="jd_tok") + ",\n" \
+        + vec.format(name="cvec", keys="doc_id", src="tok") + """,
+fused2 AS (
+  SELECT v.jd_id, s.*, s.we * list_reduce(list_transform(range(64), lambda i: c.vec[i + 1] * v.vec[i + 1]),
+    lambda a, b: a + b) + s.wb * s.b + s.ws * s.s AS f
+  FROM src s JOIN cvec c ON c.doc_id = s.doc_id JOIN jdvec v ON v.ordinal = s.ordinal),
+s1 AS ("""
+    per_jd = rk.replace("s1 AS (", own, 1).replace(
+        "JOIN fused f ON f.ordinal = w.ordinal", "JOIN fused2 f ON f.ordinal = w.ordinal AND f.jd_id = w.jd_id").replace(
+        "JOIN fused f ON f.doc_id = s.doc_id", "JOIN fused2 f ON f.doc_id = s.doc_id AND f.jd_id = s.jd_id").replace(
+        f"stage1_rank <= {K}", "stage1_rank <= 10")
+    q["rank_jd_vectors"] = _with(per_jd) + "\nSELECT jd_id, doc_id, rank, round(score, 6) AS score FROM ranked"
     q["topk"] = b + f"""
 SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, round(score, 6) AS score
 FROM bm25_raw WHERE dim = 'TECHNICAL_SKILLS' ORDER BY score DESC, doc_id LIMIT {K}"""

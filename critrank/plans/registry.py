@@ -71,6 +71,24 @@ def q_rank(spark, sf):
                     F.col("score_6").alias("score"), "reasoning")
 
 
+def q_rank_jd_vectors(spark, sf):
+    """Ranking with each JD's own dimension vectors: texts are hash-encoded, not looked up."""
+    paras = tables.jd_paragraphs(spark, sf, keep_blank=True)
+    dv = vops.hash_encode_grouped(criteria.dimension_tokens(paras, CAT), ["jd_id", "ordinal"], "tokens", "vec", 64)
+    own = vops.hash_encode_grouped(_tok(spark, sf), ["doc_id"], "tokens", "embedding", 64)
+    feats = features.build_features(tables.candidates(spark, sf), CAT, embeddings=own, emb_id="doc_id")
+    r = ranking.rank(feats, criteria.weight_vectors(paras, CAT), CAT, dv, k=10)
+    return r.select("jd_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.col("score_6").alias("score"))
+
+
+def q_pair_generate(spark, sf):
+    """Survivors with their text and each pair query."""
+    s = materialize(_survivors(spark, sf, k=10).select("jd_id", "doc_id"), "survivors")
+    texts = tables.read(spark, sf, "documents").select("doc_id", "text")
+    p = rerank.pair_table(s.join(texts, "doc_id"), CAT, ["jd_id", "doc_id"])
+    return p.select("jd_id", "doc_id", "dim", "query", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def q_submission(spark, sf):
     s = ranking.to_submission(_ranked(spark, sf))
     return s.withColumn("rank", F.col("rank").cast("bigint"))
@@ -235,9 +253,8 @@ def q_embedding_scores(spark, sf):
 
 
 def q_hash_encode(spark, sf):
-    d = criteria.dimension_text(tables.jd_paragraphs(spark, sf), CAT)
-    v = vops.hash_encode_grouped(d.withColumn("tokens", tx.tokens("text")), ["jd_id", "dim"],
-                                 "tokens", "vec", 64)
+    d = criteria.dimension_tokens(tables.jd_paragraphs(spark, sf, keep_blank=True), CAT)
+    v = vops.hash_encode_grouped(d, ["jd_id", "dim"], "tokens", "vec", 64)
     return v.select("jd_id", "dim", F.posexplode("vec")).select(
         "jd_id", "dim", F.col("pos").cast("bigint").alias("i"), _r("col").alias("v"))
 
@@ -401,6 +418,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "source_fusion": q_source_fusion,
     "confidence": q_confidence,
     "source_outer": q_source_outer,
+    "rank_jd_vectors": q_rank_jd_vectors,
+    "pair_generate": q_pair_generate,
     "stage1": q_stage1,
     "topk_per_group": q_topk_per_group,
     "topk": q_topk,
