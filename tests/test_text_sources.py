@@ -252,3 +252,13 @@ def test_a_jd_of_blank_text_has_zero_weights(spark, probe, tmp_path):
     (tmp_path / "full.txt").write_text("You must know things\n")
     rows = criteria.weight_vectors(io.read_jd_text(spark, str(tmp_path), keep_blank=True), probe).collect()
     assert len(rows) == 2 and any(r.jd_id.endswith("blank.txt") and not any(r["weights"]) for r in rows)
+
+
+def test_header_values_over_several_paragraphs(spark):
+    rows = [(1, 0, "Job Description: A"), (1, 1, "Company:"), (1, 2, "Acme"), (1, 3, "Experience Required:"),
+            (1, 4, "5"), (1, 5, "- 9 years"), (1, 6, "Company: other"), (2, 0, "B"), (2, 7, "location: Here"),
+            (2, 9, "Experience Required: several"), (2, 11, "Experience Required: 2-4"), (3, 0, "Company:")]
+    got = {r.jd_id: r for r in io.jd_header(spark.createDataFrame(rows, "jd_id long, para_no long, text string")).collect()}
+    assert (got[1].title, got[1].company, got[1].min_years, got[1].max_years) == ("A", "Acme", 5.0, 9.0)
+    assert (got[2].title, got[2].location, got[2].min_years) == ("B", "Here", 2.0)
+    assert (got[3].title, got[3].company, got[3].location) == ("Company:", "", "")
