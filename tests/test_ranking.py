@@ -164,3 +164,77 @@ def test_readme_flow_default_catalog(spark):
     assert rows[0]["reasoning"].startswith("AI Engineer with 3.0 years experience. Strong ranking/retrieval")
     io.write_ranking_csv(ranked, f"{d}/out")
     assert any(n.startswith("jd_id=") for n in os.listdir(f"{d}/out"))
+
+
+def _flat_features(spark, n, parts=3):
+    """Features of n candidates with few distinct scores, so that many tie."""
+    d = len(CAT.dimensions)
+    rows = [(i, [float(i % 3)] * d, [0.0] * d, [1.0 if CAT.pair_query(x.name) else None for x in CAT.dimensions])
+            for i in range(n)]
+    from pyspark.sql import functions as F
+    return spark.createDataFrame(rows, "doc_id long, bm25 array<double>, structured array<double>, "
+                                 "pair_raw array<double>").withColumn(
+        "embedding", F.lit(None).cast("array<double>")).repartition(parts)
+
+
+def test_ties_across_the_last_place(spark):
+    """Ids decide among equal scores, over chunks, blocks of JDs and salts."""
+    d = len(CAT.dimensions)
+    w = spark.createDataFrame([(j, [1.0 / d] * d) for j in range(7)], "jd_id long, weights array<double>")
+    f = _flat_features(spark, 200)
+    for size in (64 << 20, 300):
+        got = ranking.survivors(f, w, CAT, None, 70, jd_block_bytes=size).select("jd_id", "doc_id", "stage1_rank").collect()
+        best = [i for i in range(200) if i % 3 == 2] + [i for i in range(200) if i % 3 == 1]
+        for j in range(7):
+            assert [r.doc_id for r in sorted(got, key=lambda r: r.stage1_rank) if r.jd_id == j] == best[:70]
+
+
+def test_salted_merge_equals_the_plain_one(spark):
+    import random
+    from critrank.operators import topk
+    r = random.Random(1)
+    df = spark.createDataFrame([(r.randrange(3), i, float(r.randrange(9))) for i in range(600)],
+                               "g int, doc_id long, score double").repartition(5)
+    plain = sorted(map(tuple, topk.topk_per_group(df, 17, "g").collect()))
+    assert plain == sorted(map(tuple, topk.topk_per_group(df, 17, "g", salts=8).collect()))
+
+
+def test_one_candidate_and_none_with_a_model(spark):
+    d = len(CAT.dimensions)
+    w = spark.createDataFrame([(1, [1.0 / d] * d)], "jd_id long, weights array<double>")
+
+    class Model:
+        def predict(self, pairs):
+            return [0.5] * len(pairs)
+
+    for n in (1, 0):
+        f = _flat_features(spark, n, 1)
+        texts = f.selectExpr("doc_id", "'some text' AS text")
+        out = ranking.rank(f, w, CAT, k=5, scorer=Model, texts=texts).collect()
+        assert len(out) == n and all(r["rank"] == 1 and all(x in (None, 0.0) for x in r["ce"]) for r in out)
+
+
+def test_vectors_of_each_jd(spark):
+    """A JD's own vectors decide its similarities; the plain product is the check."""
+    import random
+    r, d = random.Random(2), len(CAT.dimensions)
+    vec = {i: [r.uniform(-1, 1) for _ in range(5)] for i in range(30)}
+    mats = {(j, o): [r.uniform(-1, 1) for _ in range(5)] for j in range(4) for o in range(d) if (j, o) != (2, 1)}
+    f = _flat_features(spark, 30).drop("embedding").join(spark.createDataFrame(
+        list(vec.items()), "doc_id long, embedding array<double>"), "doc_id")
+    w = spark.createDataFrame([(j, [r.random() for _ in range(d)]) for j in range(4)], "jd_id long, weights array<double>")
+    dv = spark.createDataFrame([(j, o, v) for (j, o), v in mats.items()], "jd_id long, ordinal int, vec array<double>")
+    weights = {x.jd_id: x["weights"] for x in w.collect()}
+    got = ranking.survivors(f, w, CAT, dv, 6, jd_block_bytes=2000).select("jd_id", "doc_id", "stage1").collect()
+    for j in range(4):
+        def score(i):
+            total = 0.0
+            for o, x in enumerate(CAT.dimensions):
+                we, wb, _ = CAT.fusion_weights(x.name)
+                e = sum(a * b for a, b in zip(vec[i], mats.get((j, o), [0.0] * 5)))
+                total += weights[j][o] * (we * e + wb * float(i % 3))
+            return total
+        best = sorted(range(30), key=lambda i: (-score(i), i))[:6]
+        mine = sorted((x for x in got if x.jd_id == j), key=lambda x: -x.stage1)
+        assert [x.doc_id for x in mine] == best
+        assert all(abs(x.stage1 - score(x.doc_id)) < 1e-9 for x in mine)
