@@ -76,12 +76,6 @@ def contained_terms(text: Column, terms: Iterable[str]) -> Column:
     return F.array_sort(F.filter(arr, lambda t: F.contains(text, t)))
 
 
-def split_paragraphs(text) -> Column:
-    """ARRAY<STRING> of stripped, non-empty lines of a text (order kept)."""
-    lines = F.split(col_(text), "\n")
-    return F.filter(F.transform(lines, lambda x: strip(x)), lambda x: x != F.lit(""))
-
-
 # --- JD header fields -------------------------------------------------------
 def jd_title(first_paragraph) -> Column:
     """Text after 'Job Description:' in the first paragraph, else the paragraph."""

@@ -60,17 +60,3 @@ def hash_vector(tokens_col, dim: int = 64) -> Column:
     return F.aggregate(hashed, F.array_repeat(F.lit(0.0), dim),
                        lambda acc, h: F.transform(acc, lambda x, i: x + F.when(i == h["b"], h["s"])
                                                   .otherwise(F.lit(0.0))))
-
-
-def with_hash_encoding(df, tokens_col: str, out: str, dim: int = 64):
-    """Add the unit feature-hash vector of ``tokens_col`` as column ``out``.
-
-    Staged over three projections: the raw vector and its norm are each
-    referenced more than once, so Catalyst keeps them as computed columns
-    instead of re-evaluating the hashing inside the scaling lambda.
-    """
-    staged = df.withColumn("_hv", hash_vector(tokens_col, dim))
-    staged = staged.withColumn("_hn", l2norm("_hv"))
-    scaled = F.when(F.col("_hn") > 0, F.transform("_hv", lambda v: v / F.col("_hn"))) \
-        .otherwise(F.col("_hv"))
-    return staged.withColumn(out, scaled).drop("_hv", "_hn")

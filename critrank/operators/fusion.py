@@ -36,11 +36,6 @@ def fused(emb: Column, bm: Column, st: Column, catalog: Catalog) -> Column:
     return F.array(*out)
 
 
-def fuse_value(e: Column, b: Column, s: Column, weights: tuple[float, float, float]) -> Column:
-    we, wb, ws = weights
-    return F.lit(we) * e + F.lit(wb) * b + F.lit(ws) * s
-
-
 def weighted_sum(weights: Column, values: Column, n: int | None = None) -> Column:
     """sum_d weights[d] * values[d], added left to right from 0.0.
 

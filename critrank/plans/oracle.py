@@ -51,10 +51,6 @@ def tokens(x: str) -> str:
     return TOKENS.format(x=x)
 
 
-def r6(x: str) -> str:
-    return f"round({x}, 6)"
-
-
 class Oracle:
     def __init__(self, catalog: Catalog = CAT):
         self.c = catalog

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from critrank.catalog import probe_catalog
 from critrank.functions import text as tx
 from critrank.functions import vectors as vx
-from critrank.operators import bm25, criteria, explain, fusion, records, rerank, rules, topk
+from critrank.operators import bm25, criteria, fusion, records, rerank, rules, topk
 from critrank.operators import vectors as vops
 from critrank.plans import features, ranking, tables
 from critrank.plans.nested import nested_candidates
