@@ -149,12 +149,6 @@ def unpack(value: bytes) -> list[np.ndarray]:
     return out
 
 
-def batches_of(rows: dict, schema: pa.Schema, step: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Columns (lists or arrays) as Arrow batches of at most ``step`` rows."""
-    table = pa.table({f.name: pa.array(rows[f.name], f.type) for f in schema}, schema=schema)
-    yield from table.to_batches(max_chunksize=step)
-
-
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
     """Groups of consecutive rows with the same ``key`` (rows sorted by it)."""
     now, held = None, []
@@ -205,18 +199,26 @@ def number_rows(df: DataFrame, order: list[str], number: str, name: str) -> tupl
 
 
 # --------------------------------------------------------------- components
+def _is_stars(links: DataFrame) -> bool:
+    """Whether every node has one link down, to a node without any."""
+    ends = (links.select(F.col("a").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("centre"))
+            .union(links.select(F.col("b"), F.lit(0), F.lit(1))))
+    return not (ends.groupBy("n").agg(F.sum("down").alias("down"), F.max("centre").alias("centre"))
+                .where("down > 1 or down > 0 and centre > 0").limit(1).count())
+
+
 def components(links: DataFrame, name: str) -> DataFrame:
     """Connected components: (node, root), root = the smallest node reachable.
 
     ``links`` has columns ``a``, ``b`` (any integers, either order, repeats
-    allowed); only nodes with a link appear in the result.  Rounds of large-star
-    and small-star steps; every round is one written table, and the rounds end
-    when a round changes nothing.  No star is gathered in one place: each step
-    is a ``min`` per node and a join back.
+    allowed).  The result has every node that isn't the root of its component.
+    Rounds of large-star and small-star steps, each one written table, until every
+    component is a star around its smallest node.  No star is gathered in one place:
+    each step is a ``min`` per node and a join back.
     """
     now = save(links.where("a <> b")
                .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    while True:
+    while not _is_stars(now):
         # large star: every larger neighbour of a node goes to the node's smallest neighbour
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -226,8 +228,5 @@ def components(links: DataFrame, name: str) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        then = save(small, name)
-        if not now.exceptAll(then).limit(1).count() and not then.exceptAll(now).limit(1).count():
-            break
-        now = then
-    return then.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+        now = save(small, name)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
