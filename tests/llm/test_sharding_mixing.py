@@ -88,3 +88,50 @@ def test_odd_and_empty_tables(odd, none):
     assert set(odd.columns) <= set(out.columns) and out.count() == odd.count()
     assert out.select("position").distinct().count() == odd.count()
     assert mixing.digest(none).count() == 0
+
+
+def mixed_by_hand(sizes, cap=Fraction(1, 4)):
+    """Rows of each source in the mix, by an independent count: capped ones a share of all, the others whole."""
+    capped = set()
+    while True:
+        free = sum(n for s, n in sizes.items() if s not in capped)
+        total = free / (1 - cap * len(capped))
+        more = {s for s, n in sizes.items() if s not in capped and n > cap * total}
+        if not more:
+            return {s: cap * total if s in capped else Fraction(n) for s, n in sizes.items()}
+        capped |= more
+
+
+@pytest.mark.parametrize("sizes", [{**{f"s{k}": 2500 for k in range(8)}, "tiny": 3},
+                                   {f"z{k}": 6000 // (k + 1) for k in range(60)},
+                                   {"hot": 9000, "b": 1100, "c": 700, "d": 600, None: 41, "e": 1}], ids=["tiny", "zipf", "hot"])
+def test_no_source_is_cut_by_rounding(spark, sizes):
+    """With 300 slots a period, rounded weights ended the mix early."""
+    df = spark.createDataFrame([(n, s) for n, s in enumerate(s for s, k in sizes.items() for _ in range(k))],
+                               "doc_id long, source string").repartition(4)
+    rows = mixing.mix_sources(df, period=300).collect()
+    total = sum(sizes.values())
+    assert len(rows) == total and len({r.position for r in rows}) == total
+    kept, wanted = Counter(r.source for r in rows if r.in_mix), mixed_by_hand(sizes)
+    for s, n in sizes.items():
+        if wanted[s] == n:
+            assert kept[s] == n
+        else:
+            assert abs(kept[s] - wanted[s]) <= 12  # three blocks
+    share = {s: x / sum(wanted.values()) for s, x in wanted.items()}
+    for r in rows:
+        assert r.release == r.block / share[r.source] // 1 and r.deadline == -(-(r.block + 1) / share[r.source] // 1)
+        if r.in_mix:
+            assert abs(share[r.source] * r.slot - r.block) < 3
+
+
+def test_segments_join_without_breaking_a_window():
+    for weights in ([1, 2, 4], [333, 333, 334], [5], [1, 1, 50, 48, 7, 3], list(range(3, 23))):
+        shares = [Fraction(w, sum(weights)) for w in weights]
+        length, done = 2 * sum(weights) // min(weights) + 1, Counter()
+        for start in range(0, 4 * length, length):
+            found = mixing.segment(shares, start, start + length)
+            assert [t for _, _, t in found] == list(range(start, start + length))
+            for n, i, t in found:
+                assert i == done[n] and i / shares[n] // 1 <= t < -(-(i + 1) / shares[n] // 1)
+                done[n] += 1
