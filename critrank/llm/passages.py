@@ -13,9 +13,10 @@ content, then partitioned by prefix, and every group gets a subtree of its own:
    before it, backwards.  Common prefixes of neighbours give the internal nodes
    of both subtrees at each depth; a pair of nodes whose depths add up to 20
    words is a repeated window, and all its starts but the first are removed.
-4. A prefix that more than ``GROUP`` chunks share would be too much for a group;
-   it is extended to all 20 words of the window, where the node is the repeat
-   itself and its first start is a minimum that Spark aggregates.
+4. A prefix with more than ``GROUP`` entries (different words around it, in one
+   chunk or several) would be too much for a group; it is extended to all 20 words
+   of the window, where the node is the repeat itself and its first start is a
+   minimum that Spark aggregates.
 
 Within a chunk, a passage that was met before is removed at once and asked for
 only once.
@@ -37,11 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Chunk, answer, ask, chunk_table, deal, meet, n_buckets
-from .common import flat_words, join_words, pack, save, shingle_hashes, unpack, word_hashes
+from .common import flat_words, join_words, mix, pack, save, shingle_hashes, unpack, word_hashes
 
 WINDOW = 20
 PREFIX = 8
-#: Chunks that may share a prefix before it is extended.
+#: Entries that a prefix may have, each chunk's different ones counted, before it is extended.
 GROUP = 20_000
 
 
@@ -55,7 +56,7 @@ class Suffixes:
 
     def __init__(self, chunk: Chunk):
         self.offsets, self.words = flat_words(chunk.texts)
-        hashes = word_hashes(self.words)
+        self.hashes = hashes = word_hashes(self.words)
         n = len(hashes)
         if n < WINDOW:
             self.first = self.windows = self.anchor = self.row = np.zeros(0, np.int64)
@@ -76,6 +77,14 @@ class Suffixes:
         self.windows = np.diff(np.concatenate((new, [len(start)])))
         self.key = prefix[self.anchor]
 
+    def contexts(self, k: np.ndarray) -> np.ndarray:
+        """A row of numbers for each entry of ``k``, equal for equal words around equal anchors."""
+        ends = np.zeros((2, len(k)), np.uint64)
+        for row, at in zip(ends, (self.first[k], self.first[k] + self.windows[k] - 1)):  # its first and last window
+            for d in range(WINDOW):
+                row[:] = mix(row + self.hashes[at + d] + np.uint64(d + 1))
+        return np.column_stack((self.key[k], *ends, self.anchor[k] - self.first[k], self.windows[k])).astype(np.uint64)
+
     def text(self, k: np.ndarray) -> list[str]:
         """The words of all windows of entries ``k``, joined by blanks."""
         lengths = self.windows[k] + WINDOW - 1
@@ -90,22 +99,34 @@ def _ids(chunk: Chunk) -> np.ndarray:
 
 def ask_anchors(buckets: int):
     def question(_, chunk):
-        key, counts = np.unique(Suffixes(chunk).key, return_counts=True)
+        suffixes = Suffixes(chunk)
+        key, inverse, counts = np.unique(suffixes.key, return_inverse=True, return_counts=True)
+        different = np.ones(len(key), np.int64)
+        often = np.flatnonzero(counts[inverse] > 1) if len(key) else np.zeros(0, np.int64)
+        if len(often):
+            rows = suffixes.contexts(often)
+            order = np.lexsort(rows.T[::-1])
+            new = np.concatenate(([True], (rows[order][1:] != rows[order][:-1]).any(axis=1)))
+            times = np.bincount(inverse[often[order[new]]], minlength=len(key))
+            different = np.maximum(different, times)
+        # entries that go on to a group if the prefix is repeated, and whether some are there again
+        counts = (different << 1 | (counts > different)).astype(np.uint32)
         order, starts = deal(key, buckets)
         for b in np.flatnonzero(np.diff(starts)):
             own = order[starts[b]:starts[b + 1]]
-            yield int(b), pack(key[own], np.minimum(counts[own], 255).astype(np.uint8))
+            yield int(b), pack(key[own], counts[own])
     return question
 
 
 def count_anchors(group: int):
-    """0: occurs once; 1: repeated; 2: in more than ``group`` chunks."""
+    """0: occurs once; 1: repeated; 2: has more than ``group`` entries."""
     def reply(chunks, blobs):
         parts = [unpack(b) for b in blobs]
         keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        times = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(keys))
-        shared = np.bincount(inverse, minlength=len(keys))
-        code = np.where(shared > group, 2, np.where(times > 1, 1, 0)).astype(np.uint8)[inverse]
+        counts = np.concatenate([p[1] for p in parts])
+        entries = np.bincount(inverse, counts >> 1, len(keys))
+        again = np.bincount(inverse, counts & 1, len(keys))
+        code = np.where(entries > group, 2, np.where(entries + again > 1, 1, 0)).astype(np.uint8)[inverse]
         ends = np.cumsum([len(p[0]) for p in parts])
         return [(c, pack(x)) for c, x in zip(chunks, np.split(code, ends[:-1]))]
     return reply
@@ -215,7 +236,10 @@ def repeated_windows(chunks: list[int], blobs: list[bytes]) -> list[tuple[int, b
 
 
 def _extended(buckets: int):
-    """Windows of prefixes that too many chunks share, by the hash of all their words."""
+    """Windows of prefixes with too many entries, by the hash of all their words.
+
+    ``again``: whether the window starts earlier in its chunk.
+    """
     def act(name, chunk, answers):
         suffixes = Suffixes(chunk)
         entries = np.flatnonzero(_codes(suffixes, buckets, answers) == 2)
@@ -224,19 +248,28 @@ def _extended(buckets: int):
         first = np.concatenate([np.arange(a, a + w) for a, w in zip(suffixes.first[entries], suffixes.windows[entries])])
         words = suffixes.words.to_pylist()
         row = np.searchsorted(suffixes.offsets, first, side="right") - 1
+        window = [xxhash.xxh3_128_digest(" ".join(words[a:a + WINDOW])) for a in first]
+        met: set[bytes] = set()
+        again = np.zeros(len(first), bool)
+        for k in np.lexsort((first, row, _ids(chunk)[row])).tolist():
+            again[k] = window[k] in met
+            met.add(window[k])
         yield pa.record_batch([
             pa.array([name] * len(first), pa.int64()), pa.array(_ids(chunk)[row]), pa.array(row.astype(np.int32)),
-            pa.array(first), pa.array([xxhash.xxh3_128_digest(" ".join(words[a:a + WINDOW])) for a in first], pa.binary())],
-            names=["chunk", "id", "row", "start", "window"])
+            pa.array(first), pa.array(window, pa.binary()), pa.array(again)],
+            names=["chunk", "id", "row", "start", "window", "again"])
     return act
 
 
 def extended_answers(chunks: DataFrame, counted: DataFrame, buckets: int) -> DataFrame:
     """For each chunk, the windows of over-full prefixes that also start earlier (bucket -1)."""
     rows = save(meet(chunks, counted, _extended(buckets),
-                     "chunk long, id long, row int, start long, window binary"), "passages-extended")
-    first = rows.groupBy("window").agg(F.min(F.struct("id", "chunk", "row", "start")).alias("first"))
-    later = rows.join(first, "window").where(F.struct("id", "chunk", "row", "start") != F.col("first"))
+                     "chunk long, id long, row int, start long, window binary, again boolean"),
+                "passages-extended")
+    once = rows.where("not again")  # a window has one such row for each chunk at most
+    first = once.groupBy("window").agg(F.min(F.struct("id", "chunk", "row", "start")).alias("first"))
+    later = once.join(first, "window").where(F.struct("id", "chunk", "row", "start") != F.col("first"))
+    later = later.select("chunk", "start").union(rows.where("again").select("chunk", "start"))
 
     def gather(key, batches):
         starts = np.sort(np.concatenate([b.column("start").to_numpy() for b in batches.to_batches()]))

@@ -64,3 +64,30 @@ def test_odd_and_empty_tables(odd, none, rows_of):
 
 def test_small_table(small, rows_of):
     assert Counter(map(tuple, passages.digest(small).collect())) == brute(sorted(rows_of(small)))
+
+
+def test_a_prefix_with_many_entries_in_few_chunks_is_extended(spark, rows_of, monkeypatch):
+    """All documents are one chunk, so the count of chunks never made a group too large."""
+    phrase = "this text was placed here under a licence that lets all people copy it and pass it on"
+    rows = [(k, f"{prose(k, 14)} {phrase} {prose(k + 500, 14)}") for k in range(120)]
+    rows += [(k + 200, f"{prose(7, 30)} same {phrase} {prose(8, 30)}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    sizes, whole = [], passages.extended_answers
+
+    def watched(chunks, counted, buckets):
+        out = whole(chunks, counted, buckets)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(passages, "extended_answers", watched)
+    got = passages.remove_repeats(docs, group=50).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute(sorted(rows_of(docs)))
+    assert sizes
+
+
+def test_copies_of_a_passage_in_a_chunk_are_one_entry(spark):
+    text = prose(11, 40)
+    docs = spark.createDataFrame([(k, text) for k in range(30)], "doc_id long, text string").repartition(1)
+    blob = chunks.chunk_table(docs).first().blob
+    found = [passages.unpack(b) for _, b in passages.ask_anchors(4)(0, chunks.Chunk(bytes(blob)))]
+    assert {int(n) for _, counts in found for n in counts} == {1 << 1 | 1}
