@@ -70,18 +70,17 @@ def smallest(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
     low, high, n = df.agg(F.min(key), F.max(key), F.count(key)).first()
     if n < k:
         return df.orderBy(*order).limit(k)
+    below = 0  # rows under ``low``; the k-th lies from ``low`` to ``high``
     while n > SPARE * k and low < high:
         width = (high - low) // BUCKETS + 1
         place = F.expr(f"cast((cast(`{key}` as decimal(20, 0)) - {low}) div {width} as int)")
-        counts = dict(df.where(F.col(key) <= high).groupBy(place.alias("b")).count().collect())  # BUCKETS rows
-        before = n
-        n, b = 0, -1
-        while n < k:
-            b += 1
-            n += counts.get(b, 0)
-        high = min(high, low + (b + 1) * width - 1)
-        if width == 1 and n == before:
-            break
+        counts = dict(df.where(F.col(key).between(low, high)).groupBy(place.alias("b")).count().collect())
+        for b in sorted(counts):  # BUCKETS rows
+            n = below + counts[b]
+            if n >= k:
+                break
+            below = n
+        low, high = low + b * width, min(high, low + (b + 1) * width - 1)
     return df.where(F.col(key) <= high).orderBy(*order).limit(k)
 
 
