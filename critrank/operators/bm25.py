@@ -51,11 +51,14 @@ def idf_expr(df: Column, n_docs: Column) -> Column:
 
 
 def corpus_stats(tok: DataFrame, terms: DataFrame) -> DataFrame:
-    """One row: n_docs, avgdl, mean_idf."""
+    """One row: n_docs, avgdl, mean_idf.  ``tok`` needs ``dl`` only, and is read once."""
     base = tok.agg(F.count(F.lit(1)).alias("n_docs"),
                    F.avg(F.col("dl").cast("double")).alias("avgdl"))
-    n = tok.agg(F.count(F.lit(1)).cast("double")).scalar()
-    mean_idf = terms.agg(F.avg(idf_expr(F.col("df").cast("double"), n))).scalar()
+    # the number of documents joins the few rows of df counts: one row for each df that occurs
+    counts = terms.groupBy("df").agg(F.count(F.lit(1)).alias("m"))
+    n = base.select(F.col("n_docs").cast("double")).scalar()
+    raw = idf_expr(F.col("df").cast("double"), n)
+    mean_idf = counts.agg(F.try_divide(F.sum(raw * F.col("m")), F.sum("m"))).scalar()
     return base.select("n_docs", "avgdl", mean_idf.alias("mean_idf"))
 
 
@@ -111,6 +114,16 @@ def bm25_expr(tf_map: Column, dl: Column, query: list[str], idf_map: Column,
     return F.aggregate(qarr, F.lit(0.0), add)
 
 
+def query_tf(tok: DataFrame, vocabulary: list[str], keep: list[Column | str], name: str = "tf") -> DataFrame:
+    """``keep`` and MAP<term, INT> ``name``: how often each query term occurs in ``tokens``.
+
+    Staged projections: the query-term occurrences are computed once and referenced
+    twice, so Catalyst keeps them as a column.
+    """
+    out = tok.select(*keep, query_term_occurrences(F.col("tokens"), vocabulary).alias("_tq"))
+    return out.withColumn(name, term_frequencies(F.col("_tq"))).drop("_tq")
+
+
 def bm25_raw(tok: DataFrame, queries: dict[str, list[str]], terms: DataFrame | None = None,
              stats: DataFrame | None = None, k1: float = K1, b: float = B,
              eps: float = EPS, keep: list[str] | None = None) -> DataFrame:
@@ -127,12 +140,8 @@ def bm25_raw(tok: DataFrame, queries: dict[str, list[str]], terms: DataFrame | N
     idf_map = query_idf_map(terms, stats, vocab, eps)
     avgdl = stats.select("avgdl").scalar()
     cols = [F.col(c) for c in (keep or ["doc_id", "dl"])]
-    # Staged projections: the query-term occurrences are computed once and
-    # referenced twice (so Catalyst keeps them as a column); scalar subqueries
-    # may not appear inside lambdas, so they are projected as columns too.
-    out = tok.select(*cols, query_term_occurrences(F.col("tokens"), vocab).alias("_tq"),
-                     idf_map.alias("_idf"), avgdl.alias("_avgdl"))
-    out = out.withColumn("_tf", term_frequencies(F.col("_tq"))).drop("_tq")
+    # scalar subqueries may not appear inside lambdas, so they are projected as columns too
+    out = query_tf(tok, vocab, [*cols, idf_map.alias("_idf"), avgdl.alias("_avgdl")], "_tf")
     for dim, q in queries.items():
         out = out.withColumn(f"bm25_raw__{dim}",
                              bm25_expr(F.col("_tf"), F.col("dl"), q, F.col("_idf"),

@@ -15,13 +15,14 @@ Ranking validation (L3-L10) over a table of rankings
   The adjacency checks use rows with a parsed rank, a parsed score and a
   non-empty id, ordered by (rank, row_num) as a stable sort would.
 
-  Duplicates and adjacency are windows, counts and missing ranks an aggregate,
-  all within one partitioning by ranking.
+  Adjacency and repeated ranks follow from a sort by range with a carry over its
+  parts, repeated ids, counts and missing ranks from aggregates.
 
 Record conformance (C5): ``schema_violations`` evaluates the candidate JSON
 Schema rules (required, pattern, enum, minimum/maximum, minItems/maxItems,
-date format) as one projection that builds an array of violations per record,
-then explodes it: (record_key, path, rule).
+date format) on typed records, as one projection that builds an array of violations
+per record, then explodes it: (record_key, path, rule).  ``conformance`` judges raw
+JSON by a schema document, types included.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from critrank.functions.text import strip
+from critrank.session import materialize
+from critrank.sources.schemas import COMPANY_SIZES, LANGUAGE_LEVELS, SKILL_LEVELS, TIERS, WORK_MODES
 
 ID_PATTERN = r"^CAND_[0-9]{7}$"
 INT_PATTERN = r"^(0|-?[1-9][0-9]*)$"
@@ -55,30 +58,54 @@ def parse_ranking(df: DataFrame) -> DataFrame:
 
 
 def validate_rankings(df: DataFrame, expected: int = 100) -> DataFrame:
-    """All rules from one shuffle: rows meet by ranking once, and every window and
-    aggregate works within that partitioning."""
+    """All rules; a ranking may have any number of rows, and no task needs a whole one.
+
+    Rows are dealt out by range of (ranking, rank, row number) and sorted, so the row
+    before is in the same part, or is what the parts before it end with: one row for
+    each part is carried over.  Later rows with the same rank follow the first.
+    Repeated ids are the rows after the least row number of an id that occurs twice.
+    """
     ok = ~F.col("bad_cells")
     in_range = F.col("rank_i").between(1, expected)
-    d = (parse_ranking(df).repartition("ranking_id")
+    d = (parse_ranking(df)
          .withColumn("in_range", F.coalesce(ok & in_range, F.lit(False)))
          .withColumn("placed", F.coalesce(ok & F.col("rank_i").isNotNull() & F.col("score_d").isNotNull()
-                                          & (F.col("cid") != ""), F.lit(False))))
+                                          & (F.col("cid") != ""), F.lit(False)))
+         .select("ranking_id", "row_num", "bad_cells", "cid", "id_ok", "rank_s", "rank_i", "score_s", "score_d",
+                 "in_range", "placed"))
+    keys = [F.col(c).asc_nulls_first() for c in ("ranking_id", "rank_i", "row_num")]
+    d = materialize(d.repartitionByRange(*keys).sortWithinPartitions(*keys)
+                    .withColumn("at", F.monotonically_increasing_id()), "ranking-rows").withColumn(
+        "part", F.shiftright("at", 33))
     rid, rn = F.col("ranking_id"), F.col("row_num")
-    # first occurrence wins: later rows with the same valid id / in-range rank are duplicates
-    w_id = Window.partitionBy("ranking_id", "bad_cells", "cid").orderBy("row_num")
-    w_rank = Window.partitionBy("ranking_id", "in_range", "rank_i").orderBy("row_num")
-    # adjacency over rows with a parsed rank, a parsed score and an id
-    w = Window.partitionBy("ranking_id", "placed").orderBy("rank_i", "row_num")
-    rows = (d.withColumn("id_seq", F.row_number().over(w_id)).withColumn("rank_seq", F.row_number().over(w_rank))
-            .withColumn("prev_s", F.lag("score_d").over(w)).withColumn("prev_c", F.lag("cid").over(w)))
+    ranked = F.when(F.col("in_range"), F.struct("ranking_id", "rank_i"))
+    placed = F.when(F.col("placed"), F.struct("ranking_id", "score_d", "cid"))
+    before = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    ends = d.groupBy("part").agg(F.max_by(ranked, F.when(F.col("in_range"), F.col("at"))).alias("r"),
+                                 F.max_by(placed, F.when(F.col("placed"), F.col("at"))).alias("p"))
+    parts_before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    carried = ends.select("part", F.last("r", True).over(parts_before).alias("r"),
+                          F.last("p", True).over(parts_before).alias("p"))
+    rows = (d.withColumn("prev_r", F.last(ranked, True).over(before)).withColumn("prev_p", F.last(placed, True).over(before))
+            .join(F.broadcast(carried), "part")  # as many rows as parts
+            .withColumn("prev_r", F.coalesce("prev_r", "r")).withColumn("prev_p", F.coalesce("prev_p", "p")))
+    same = F.col("prev_p.ranking_id").eqNullSafe(rid)
+    rows = (rows.withColumn("prev_s", F.when(same, F.col("prev_p.score_d")))
+            .withColumn("prev_c", F.when(same, F.col("prev_p.cid")))
+            .withColumn("rank_again", F.col("in_range") & F.coalesce(
+                F.col("prev_r.ranking_id").eqNullSafe(rid) & (F.col("prev_r.rank_i") == F.col("rank_i")), F.lit(False))))
+    twice = (d.where(ok & F.col("id_ok")).groupBy(rid.alias("_rid"), F.col("cid").alias("_cid"))
+             .agg(F.min("row_num").alias("first_row"), F.count(F.lit(1)).alias("m")).where("m > 1"))
+    rows = rows.join(twice, rid.eqNullSafe(F.col("_rid")) & (F.col("cid") == F.col("_cid")), "left").withColumn(
+        "id_again", F.coalesce(F.col("row_num") > F.col("first_row"), F.lit(False)))
     row_rules = F.array(
         F.when(~ok, _v(rid, rn, "cells", F.lit(""))),
         F.when(ok, F.when(F.col("cid") == "", _v(rid, rn, "id_required", F.lit("")))
                .when(~F.col("id_ok"), _v(rid, rn, "id_pattern", F.col("cid")))
-               .when(F.col("id_seq") > 1, _v(rid, rn, "id_duplicate", F.col("cid")))),
+               .when(F.col("id_again"), _v(rid, rn, "id_duplicate", F.col("cid")))),
         F.when(ok, F.when(F.col("rank_i").isNull(), _v(rid, rn, "rank_integer", F.col("rank_s")))
                .when(~in_range, _v(rid, rn, "rank_range", F.col("rank_s")))
-               .when(F.col("rank_seq") > 1, _v(rid, rn, "rank_duplicate", F.col("rank_s")))),
+               .when(F.col("rank_again"), _v(rid, rn, "rank_duplicate", F.col("rank_s")))),
         F.when(ok & F.col("score_d").isNull(), _v(rid, rn, "score_float", F.col("score_s"))),
         F.when(F.col("placed") & (F.col("prev_s") < F.col("score_d")), _v(rid, rn, "not_monotonic", F.concat_ws(
             " < ", F.col("prev_s").cast("string"), F.col("score_d").cast("string")))),
@@ -109,11 +136,6 @@ def missing_ranks(df: DataFrame, expected: int = 100) -> DataFrame:
 
 # ----------------------------------------------------------------------------- C5
 # FIXED VALUES: constraints of the candidate JSON Schema.
-COMPANY_SIZES = ("1-10", "11-50", "51-200", "201-500", "501-1000", "1001-5000", "5001-10000", "10001+")
-TIERS = ("tier_1", "tier_2", "tier_3", "tier_4", "unknown")
-SKILL_LEVELS = ("beginner", "intermediate", "advanced", "expert")
-LANGUAGE_LEVELS = ("basic", "conversational", "professional", "native")
-WORK_MODES = ("remote", "hybrid", "onsite", "flexible")
 DATE_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 
 PROFILE_REQUIRED = ("anonymized_name", "headline", "summary", "location", "country",

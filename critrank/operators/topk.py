@@ -35,14 +35,15 @@ def topk_per_group(df: DataFrame, k: int, group: str | list[str], score: str = "
                    id_col: str = "doc_id", rank_col: str = "rank", salts: int = 1) -> DataFrame:
     """The first ``k`` rows of each group; with ``salts``, merged in two stages.
 
-    The first stage ranks each group in ``salts`` parts (by a hash of the id), so
-    one group's rows from very many tasks don't meet in one; the second stage
-    sees k x salts rows of a group at most.
+    The first stage merges each group in ``salts`` parts, dealt by task: a task's rows
+    of a group stay together, so it passes on k of them at most, and one group's rows
+    from very many tasks don't meet in one.  The second stage sees k x salts rows of a
+    group at most.  The order is total, so the parts make no difference to the result.
     """
     groups = [group] if isinstance(group, str) else list(group)
     if salts > 1:
         part = Window.partitionBy(*groups, "_salt").orderBy(*_order(score, id_col))
-        df = (df.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)))
+        df = (df.withColumn("_salt", F.spark_partition_id() % F.lit(salts))
               .withColumn("_at", F.row_number().over(part)).filter(F.col("_at") <= k).drop("_salt", "_at"))
     w = Window.partitionBy(*groups).orderBy(*_order(score, id_col))
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)

@@ -61,3 +61,38 @@ def nested_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         skills.alias("skills"),
         F.lit(None).cast("array<struct<name:string,issuer:string,year:int>>").alias("certifications"),
         F.lit(None).cast("array<struct<language:string,proficiency:string>>").alias("languages"))
+
+
+def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, record): the nested records as JSON texts with signals, some of them broken.
+
+    Nulls are written out, so a missing tier is a null of the wrong type; text surgery
+    makes values of a wrong type, a missing salary end, and texts that aren't JSON.
+    """
+    k = F.col("doc_id")
+    d = nested_candidates(spark, sf_dir).join(
+        read(spark, sf_dir, "documents").select(F.col("doc_id").alias("_id"), F.col("n_chars").alias("_n")),
+        F.col("doc_id") == F.col("_id"))
+    lit = F.lit
+    signals = F.struct(
+        (k % 105).alias("profile_completeness_score"), lit("2020-01-01").alias("signup_date"),
+        F.when(k % 19 == 3, "2020-13-01").otherwise("2020-12-01").alias("last_active_date"),
+        lit(True).alias("open_to_work_flag"), F.when(k % 29 == 5, -1).otherwise(k % 10).alias("profile_views_received_30d"),
+        lit(1).alias("applications_submitted_30d"), lit(0.5).alias("recruiter_response_rate"),
+        lit(2.5).alias("avg_response_time_hours"),
+        F.create_map(lit("a"), F.col("_n") % 130, lit("b b"), lit(50).cast("bigint")).alias("skill_assessment_scores"),
+        F.when(k % 31 == 4, 1.5).otherwise(3.0).alias("connection_count"), lit(1).alias("endorsements_received"),
+        (k % 200).alias("notice_period_days"),
+        F.struct(F.when(k % 7 == 0, -1.0).otherwise(5.0).alias("min"),
+                 F.when(k % 5 != 2, 9.0).alias("max")).alias("expected_salary_range_inr_lpa"),
+        F.when(k % 13 == 6, "moon").otherwise("remote").alias("preferred_work_mode"), lit(True).alias("willing_to_relocate"),
+        lit(-1).alias("github_activity_score"), lit(0).alias("search_appearance_30d"), lit(0).alias("saved_by_recruiters_30d"),
+        lit(0.5).alias("interview_completion_rate"), lit(-1).alias("offer_acceptance_rate"),
+        lit(True).alias("verified_email"), lit(True).alias("verified_phone"), lit(True).alias("linkedin_connected"))
+    whole = F.to_json(F.struct("candidate_id", "profile", "career_history", "education", "skills",
+                               signals.alias("redrob_signals")), {"ignoreNullFields": "false"})
+    text = F.replace(whole, lit(',"max":null'), lit(""))
+    text = F.when(k % 17 == 2, F.replace(text, lit('"verified_email":true'), lit('"verified_email":"yes"'))).otherwise(text)
+    text = F.when(k % 37 == 1, F.replace(text, lit('"verified_phone":true'), lit('"verified_phone":null'))).otherwise(text)
+    text = F.when(k % 23 == 6, F.substring(text, lit(1), F.length(text) - 1)).otherwise(text)
+    return d.select("doc_id", text.alias("record"))

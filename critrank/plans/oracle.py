@@ -2,15 +2,15 @@
 
 Each oracle is written independently in SQL over the raw tables; the only
 shared inputs are the catalog's values (lexicons and weights), inlined as
-literals.  Sums that must follow template or query order use
+literals (their tokens are made here).  Sums that must follow template or query order use
 ``list_reduce(list(x ORDER BY k), +)``, a left fold like a sequential loop.
 """
 
 from __future__ import annotations
 
+import re
+
 from critrank.catalog import Catalog, probe_catalog
-from critrank.functions.text import py_tokens
-from critrank.operators.criteria import bm25_query
 
 CAT = probe_catalog()
 K = 100
@@ -20,6 +20,10 @@ def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def words(text: str) -> list[str]:
+    return re.findall("[a-z0-9]+", text.lower())
+
+
 def dbl(x: float) -> str:
     return f"CAST({x!r} AS DOUBLE)"
 
@@ -85,17 +89,19 @@ class Oracle:
         return f"""tok AS (SELECT doc_id, {tokens('text')} AS tokens FROM documents)"""
 
     def bm25_stats(self) -> str:
-        return """terms AS (SELECT w AS term, count(*) AS df
-                   FROM (SELECT unnest(list_distinct(tokens)) AS w FROM tok) GROUP BY w),
-stats AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM tok),
+        # one scan, no list for each document: (document, word) pairs, then counts
+        return """pairs AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
+terms AS (SELECT w AS term, count(*) AS df FROM pairs GROUP BY w),
+stats AS (SELECT count(*) AS n, avg(len(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS avgdl FROM documents),
 idf_all AS (SELECT term, df, ln(CAST(n AS DOUBLE) - df + 0.5) - ln(CAST(df AS DOUBLE) + 0.5) AS idf_raw
             FROM terms, stats),
 mean_idf AS (SELECT avg(idf_raw) AS m FROM idf_all),
-idf AS (SELECT term, idf_raw, CASE WHEN idf_raw < 0 THEN CAST(0.25 AS DOUBLE) * m ELSE idf_raw END AS idf
+idf AS (SELECT term, df, idf_raw, CASE WHEN idf_raw < 0 THEN CAST(0.25 AS DOUBLE) * m ELSE idf_raw END AS idf
         FROM idf_all, mean_idf)"""
 
     def bm25_query(self) -> str:
-        rows = [(dim, i, t) for dim, q in bm25_query(self.c).items() for i, t in enumerate(q)]
+        rows = [(d.name, i, t) for d in self.c.dimensions if d.name in self.c.bm25_dims
+                for i, t in enumerate(words(" ".join(d.anchors)))]
         return "q AS (SELECT * FROM " + _values(rows, "dim, pos, term") + ")"
 
     def bm25_raw(self) -> str:
@@ -140,7 +146,7 @@ bm25_norm AS (
             q = self.c.pair_query(d.name)
             if q is None:
                 continue
-            qt = sorted(set(py_tokens(q)))
+            qt = sorted(set(words(q)))
             arr = "[" + ", ".join(lit(t) for t in qt) + "]"
             parts.append(f"SELECT doc_id, {lit(d.name)} AS dim, "
                          f"CAST(len(list_filter({arr}, lambda w: list_contains(tokens, w))) AS DOUBLE)"
@@ -296,7 +302,7 @@ LEFT JOIN mapped m ON m.jd_id = j.jd_id AND m.ordinal = anc.ordinal"""
                                       "md5(array_to_string(tokens, ' ')) AS tokens_md5 FROM tok")
     q["normalize_ws"] = ("SELECT doc_id, CAST(length(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS BIGINT) "
                          "AS n_chars, md5(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS norm_md5 FROM documents")
-    st = _with(o.tok(), o.bm25_stats())
+    st = _with(o.bm25_stats())
     q["term_stats"] = st + "\nSELECT term, df FROM terms"
     q["bm25_idf"] = st + "\nSELECT term, round(idf_raw, 6) AS idf_raw, round(idf, 6) AS idf FROM idf"
     b = _with(o.bm25_raw())
@@ -327,12 +333,12 @@ SELECT doc_id, dim, round(CASE WHEN e > 0 THEN e ELSE 0.0 END, 6) AS embedding,
        round(CASE WHEN b > 0 THEN b ELSE 0.0 END, 6) AS bm25,
        round(CASE WHEN s > 0 THEN s ELSE 0.0 END, 6) AS structured
 FROM src WHERE e > 0 OR b > 0 OR s > 0"""
-    q["stage1"] = _with(rk) + "\nSELECT jd_id, doc_id, round(stage1, 6) AS stage1 FROM surv WHERE stage1_rank = 1"
+    q["stage1"] = _with(rk) + "\nSELECT jd_id, doc_id, round(stage1, 6) AS stage1 FROM surv"
     q["topk_per_group"] = _with(rk) + "\nSELECT jd_id, doc_id, stage1_rank, round(stage1, 6) AS stage1 FROM surv"
     pq = [(d.name, o.c.pair_query(d.name)) for d in o.c.dimensions if o.c.pair_query(d.name) is not None]
     q["pair_generate"] = _with(rk) + (
         "\nSELECT s.jd_id, s.doc_id, t.dim, t.query, length(d.text) AS n_chars FROM surv s "
-        f"JOIN documents d ON d.doc_id = s.doc_id CROSS JOIN {_values(pq, 'dim, query')} WHERE s.stage1_rank <= 10")
+        f"JOIN documents d ON d.doc_id = s.doc_id CROSS JOIN {_values(pq, 'dim, query')}")
     vec = """{name}_tk AS (SELECT {keys}, unnest(tokens) AS t FROM {src}),
 {name}_hb AS (SELECT {keys}, CAST(CAST(('0x' || substr(md5(t), 1, 8)) AS UBIGINT) % 64 AS BIGINT) AS i,
   sum(CASE WHEN CAST(('0x' || substr(md5(t), 9, 1)) AS INTEGER) < 8 THEN 1.0 ELSE -1.0 END) AS x
@@ -353,8 +359,7 @@ fused2 AS (
 s1 AS ("""
     per_jd = rk.replace("s1 AS (", own, 1).replace(
         "JOIN fused f ON f.ordinal = w.ordinal", "JOIN fused2 f ON f.ordinal = w.ordinal AND f.jd_id = w.jd_id").replace(
-        "JOIN fused f ON f.doc_id = s.doc_id", "JOIN fused2 f ON f.doc_id = s.doc_id AND f.jd_id = s.jd_id").replace(
-        f"stage1_rank <= {K}", "stage1_rank <= 10")
+        "JOIN fused f ON f.doc_id = s.doc_id", "JOIN fused2 f ON f.doc_id = s.doc_id AND f.jd_id = s.jd_id")
     q["rank_jd_vectors"] = _with(per_jd) + "\nSELECT jd_id, doc_id, rank, round(score, 6) AS score FROM ranked"
     q["topk"] = b + f"""
 SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, round(score, 6) AS score
@@ -369,6 +374,22 @@ FROM bm25_raw WHERE dim = 'TECHNICAL_SKILLS' ORDER BY score DESC, doc_id LIMIT {
 SELECT jd_id, doc_id, dim, round(f, 6) AS source_score, round(e, 6) AS embedding_score,
        round(b, 6) AS bm25_score, round(s, 6) AS structured_score,
        round(coalesce(ce, 0.0), 6) AS cross_encoder_score, round(blended, 6) AS final_score FROM bl2"""
+    q["result_nested"] = _with(rk) + RESULT_NESTED_TAIL
+    q["topk_threshold"] = q["topk_per_group"]
+    q["anchor_map_lexicon"] = q["anchor_map"]
+    q["bm25_refresh"] = st + "\nSELECT term, df, round(idf_raw, 6) AS idf_raw, round(idf, 6) AS idf FROM idf"
+    q["features_refresh"] = q["bm25_norm"]
+    q["bm25_index_topk"] = b + f"""
+SELECT dim, doc_id, rank, round(score, 6) AS score FROM (
+  SELECT b.*, row_number() OVER (PARTITION BY b.dim ORDER BY b.score DESC, b.doc_id) AS rank FROM bm25_raw b
+  WHERE EXISTS (SELECT 1 FROM pairs p JOIN q ON q.term = p.w WHERE p.doc_id = b.doc_id AND q.dim = b.dim))
+WHERE rank <= {K}"""
+    q["lexicon_hits"] = """WITH lex AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term
+  FROM benchmark),
+terms AS (SELECT DISTINCT term FROM lex),
+held AS (SELECT d.doc_id, t.term FROM documents d, terms t WHERE contains(lower(d.text), t.term))
+SELECT h.doc_id, l.item_id, count(*) AS hits, md5(string_agg(h.term, ' ' ORDER BY h.term)) AS terms_md5
+FROM held h JOIN lex l ON l.term = h.term GROUP BY h.doc_id, l.item_id"""
     q["project_defaults"] = PROJECT_DEFAULTS
     q["raw_text"] = RAW_TEXT
     del n
@@ -414,6 +435,15 @@ cf AS (SELECT *, CASE WHEN n = 0 THEN 0.0 ELSE
            * sqrt(n / 3.0) END AS conf FROM st)
 SELECT jd_id, doc_id, dim, round(wconf1 * (f * conf) + wconf * coalesce(ce, 0.0), 6) AS value FROM cf"""
 
+RESULT_NESTED_TAIL = CONF_BLEND_TAIL[:CONF_BLEND_TAIL.index("\nSELECT")] + """
+SELECT jd_id, doc_id, '{' || string_agg('"' || dim || '":{"source_score":"' || printf('%.6f', round(f, 6) + 0.0)
+    || '","embedding_score":"' || printf('%.6f', round(e, 6) + 0.0) || '","bm25_score":"' || printf('%.6f', round(b, 6) + 0.0)
+    || '","structured_score":"' || printf('%.6f', round(s, 6) + 0.0)
+    || '","cross_encoder_score":"' || printf('%.6f', round(coalesce(ce, 0.0), 6) + 0.0)
+    || '","confidence_score":"' || printf('%.6f', round(conf, 6) + 0.0)
+    || '","final_score":"' || printf('%.6f', round(blended, 6) + 0.0) || '"}', ',' ORDER BY ordinal) || '}' AS dimension_scores
+FROM cf GROUP BY jd_id, doc_id"""
+
 HASH_TAIL = """),
 tk AS (SELECT jd_id, dim, unnest(""" + tokens("text") + """) AS t FROM dt),
 hb AS (SELECT jd_id, dim, CAST(CAST(('0x' || substr(md5(t), 1, 8)) AS UBIGINT) % 64 AS BIGINT) AS i,
@@ -572,3 +602,48 @@ ORACLES.update({
     "missing_ranks": f"WITH {RANKING_TABLE}\nSELECT ranking_id, r AS rank FROM missing",
     "schema_violations": SCHEMA_VIOLATIONS,
 })
+
+
+#: The ranking table's SQL with all orders as one ranking of 20,000 rows.
+WHOLE_TABLE = (RANKING_TABLE
+               .replace("(o_orderkey // 197) * 2 + CASE WHEN o_orderkey % 197 >= 100 THEN 1 ELSE 0 END AS rid", "0 AS rid")
+               .replace("CASE WHEN o_orderkey % 197 >= 100 THEN o_orderkey % 197 - 100 ELSE o_orderkey % 197 END AS pos",
+                        "o_orderkey AS pos")
+               .replace("BETWEEN 1 AND 100", "BETWEEN 1 AND 20000").replace("range(1, 101)", "range(1, 20001)")
+               .replace("count(*) <> 100", "count(*) <> 20000"))
+
+CONFORMANCE = """WITH d AS (
+  SELECT doc_id AS k, n_chars, string_split(text, chr(10)) AS lines FROM documents),
+ok AS (SELECT * FROM d WHERE k % 23 <> 6),
+ci AS (SELECT k, unnest(range(len(lines) - 1)) AS i FROM ok),
+si AS (SELECT k, unnest(range(len(list_filter(string_split(lines[1], ' '), lambda x: x <> '')))) AS i FROM ok)
+SELECT k AS record_key, '' AS path, 'json' AS rule FROM d WHERE k % 23 = 6
+UNION ALL SELECT k, 'candidate_id', 'pattern' FROM ok WHERE k % 50 = 7 AND length(CAST(k AS VARCHAR)) <> 7
+UNION ALL SELECT k, 'profile.years_of_experience', 'maximum' FROM ok WHERE n_chars / 500.0 > 50
+UNION ALL SELECT k, 'career_history', 'minItems' FROM ok WHERE len(lines) - 1 < 1
+UNION ALL SELECT k, 'career_history', 'maxItems' FROM ok WHERE len(lines) - 1 > 10
+UNION ALL SELECT k, 'career_history[' || CAST(i AS VARCHAR) || '].company_size', 'enum' FROM ci WHERE i % 4 = 3
+UNION ALL SELECT k, 'education[0].start_year', 'minimum' FROM ok WHERE 1965 + k % 70 < 1970
+UNION ALL SELECT k, 'education[0].start_year', 'maximum' FROM ok WHERE 1965 + k % 70 > 2030
+UNION ALL SELECT k, 'education[0].end_year', 'maximum' FROM ok WHERE 1970 + k % 70 > 2035
+UNION ALL SELECT k, 'education[0].tier', 'type' FROM ok WHERE k % 3 <> 0
+UNION ALL SELECT k, 'education[0].tier', 'enum' FROM ok WHERE k % 3 <> 0
+UNION ALL SELECT k, 'skills[' || CAST(i AS VARCHAR) || '].proficiency', 'enum' FROM si WHERE i % 5 = 4
+UNION ALL SELECT k, 'skills[' || CAST(i AS VARCHAR) || '].duration_months', 'type' FROM si WHERE i % 2 = 1
+UNION ALL SELECT k, 'redrob_signals.profile_completeness_score', 'maximum' FROM ok WHERE k % 105 > 100
+UNION ALL SELECT k, 'redrob_signals.last_active_date', 'format' FROM ok WHERE k % 19 = 3
+UNION ALL SELECT k, 'redrob_signals.profile_views_received_30d', 'minimum' FROM ok WHERE k % 29 = 5
+UNION ALL SELECT k, 'redrob_signals.skill_assessment_scores.a', 'maximum' FROM ok WHERE n_chars % 130 > 100
+UNION ALL SELECT k, 'redrob_signals.connection_count', 'type' FROM ok WHERE k % 31 = 4
+UNION ALL SELECT k, 'redrob_signals.notice_period_days', 'maximum' FROM ok WHERE k % 200 > 180
+UNION ALL SELECT k, 'redrob_signals.expected_salary_range_inr_lpa.min', 'minimum' FROM ok WHERE k % 7 = 0
+UNION ALL SELECT k, 'redrob_signals.expected_salary_range_inr_lpa.max', 'required' FROM ok WHERE k % 5 = 2
+UNION ALL SELECT k, 'redrob_signals.preferred_work_mode', 'enum' FROM ok WHERE k % 13 = 6
+UNION ALL SELECT k, 'redrob_signals.verified_email', 'type' FROM ok WHERE k % 17 = 2
+UNION ALL SELECT k, 'redrob_signals.verified_phone', 'type' FROM ok WHERE k % 37 = 1"""
+
+ORACLES.update({
+    "conformance": CONFORMANCE,
+    "validate_whole": f"WITH {WHOLE_TABLE}\nSELECT CAST(ranking_id AS BIGINT) AS ranking_id, CAST(row_num AS BIGINT) AS "
+                      "row_num, rule, CASE WHEN rule <> 'not_monotonic' THEN detail END AS detail FROM viol",
+})

@@ -9,10 +9,10 @@ Plan
   1. per candidate: similarity to the dimension vectors, fused source scores
   2. stage-1 = sum_d weight[d] * fused[d], for all JDs in one scan of narrow
      feature rows: each Arrow chunk of candidates meets the JD weights (blocks of
-     bounded bytes) as arrays, and passes on its k best rows of each JD.  No
-     candidate x JD row exists
-  3. the chunks' best rows are merged in two stages, salted by candidate, so that
-     even a single JD is merged by many tasks; the k x J survivors are written once
+     bounded bytes) as arrays, and a task holds the k best rows of each JD that it has
+     seen.  No candidate x JD row exists
+  3. the tasks' best rows are merged in two stages, salted by task, so that even a
+     single JD is merged by many tasks; the k x J survivors are written once
   4. survivors join their features and their JD's weights (Spark picks the joins
      by size); built-in pair scores come precomputed with the features, a model
      scorer reads the survivors' text
@@ -25,6 +25,7 @@ decimals DESC, id ASC) so that a six-decimal output is never out of id order.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from critrank.operators import explain, fusion, rerank, topk
 from critrank.operators import vectors as vops
 from critrank.session import materialize
 
-#: Bytes of JD weights (and vectors) that one scan of the features carries.
+#: Bytes of JD weights (and vectors), and of the k best rows of each, in one scan of the features.
 JD_BLOCK_BYTES = 64 << 20
 #: Cells (candidates x JDs) that a task scores at a time.
 CELLS = 1 << 21
@@ -122,53 +123,71 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """The k best columns, ties to the left (columns are in ascending id)."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = np.flatnonzero(scores >= least)
-    else:
-        some = np.arange(len(scores))
-    return some[np.argsort(-scores[some], kind="stable")[:k]]
+class _Kept:
+    """The k best (score DESC, id ASC) of each JD among the chunks that a task has seen."""
+
+    def __init__(self, n_jds: int, k: int):
+        self.k, self.rows = k, [None] * n_jds  # (scores, ids) of each JD, best first
+        self.least = np.full(n_jds, -np.inf)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray, first: int) -> None:
+        """``scores`` (JDs from ``first`` on, rows of the chunk): only rows that reach a JD's k-th are looked at."""
+        jd, at = np.nonzero(scores >= self.least[first:first + len(scores), None])
+        cuts = np.searchsorted(jd, np.arange(len(scores) + 1))
+        for j in np.flatnonzero(cuts[1:] > cuts[:-1]):
+            some = at[cuts[j]:cuts[j + 1]]
+            s, i = scores[j, some], ids[some]
+            if len(s) > self.k:  # all that tie with the k-th stay for the order of ids
+                enough = s >= np.partition(s, len(s) - self.k)[len(s) - self.k]
+                s, i = s[enough], i[enough]
+            old = self.rows[first + j]
+            if old is not None:
+                s, i = np.concatenate([old[0], s]), np.concatenate([old[1], i])
+            order = np.lexsort((i, -s))[:self.k]
+            self.rows[first + j] = s[order], i[order]
+            if len(order) == self.k:
+                self.least[first + j] = s[order[-1]]
 
 
 def _scan(rows: DataFrame, jds: _JDs, k: int, widths: dict[str, int], schema: T.StructType) -> DataFrame:
-    """The k best rows of each Arrow chunk of ``rows`` for each JD of the block."""
-    matrix, best = _matrix, _best
+    """The k best rows that each task saw for each JD of the block: k x JDs rows leave a task at most."""
+    matrix, keep = _matrix, _Kept
+    from pyspark.sql.pandas.types import to_arrow_schema
+    arrow = to_arrow_schema(schema)
 
     def run(batches):
+        kept = keep(len(jds.ids), k)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            batch = batch.take(pc.sort_indices(batch.column("doc_id")))
-            cols = {c: matrix(batch.column(c), w if w >= 0 else jds.mats.shape[2]) for c, w in widths.items()}
-            step = max(1, CELLS // batch.num_rows)
-            for a in range(0, len(jds.ids), step):
-                block = jds.scores(cols, a, min(a + step, len(jds.ids)))
-                picks = [best(s, k) for s in block]
-                at = np.concatenate(picks)
-                jd = np.repeat(np.arange(a, a + len(picks)), [len(p) for p in picks])
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            size = max(1, CELLS // max(1, len(jds.ids)))  # rows and JDs are cut so that a step has about CELLS
+            for r in range(0, batch.num_rows, max(size, 4096)):
+                part = batch.slice(r, max(size, 4096))
+                cols = {c: matrix(part.column(c), w if w >= 0 else jds.mats.shape[2]) for c, w in widths.items()}
+                step = max(1, CELLS // part.num_rows)
+                for a in range(0, len(jds.ids), step):
+                    kept.add(jds.scores(cols, a, min(a + step, len(jds.ids))), ids[r:r + part.num_rows], a)
+        for a in range(0, len(jds.ids), 1024):
+            some = [(j, kept.rows[j]) for j in range(a, min(a + 1024, len(jds.ids))) if kept.rows[j] is not None]
+            if some:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([jds.ids[j] for j in jd]), batch.column("doc_id").take(pa.array(at)),
-                     pa.array(block[jd - a, at])], names=["jd_id", "doc_id", "stage1"]).cast(arrow)
+                    [pa.array([jds.ids[j] for j, (s, _) in some for _ in s]),
+                     pa.array(np.concatenate([i for _, (_, i) in some])),
+                     pa.array(np.concatenate([s for _, (s, _) in some]))], names=["jd_id", "doc_id", "stage1"]).cast(arrow)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    arrow = to_arrow_schema(schema)
     return rows.mapInArrow(run, schema)
 
 
-def top_candidates(feats: DataFrame, jds: DataFrame, dim_vectors: DataFrame | None, catalog: Catalog,
-                   k: int, jd_block_bytes: int = JD_BLOCK_BYTES) -> DataFrame:
-    """(jd_id, doc_id, stage1, stage1_rank): the k best candidates of each JD of ``jd_table``."""
+def best_of_tasks(rows: DataFrame, widths: dict[str, int], jds: DataFrame, catalog: Catalog, k: int,
+                  jd_block_bytes: int = JD_BLOCK_BYTES) -> DataFrame:
+    """(jd_id, doc_id, stage1): the k best rows of each JD that each task saw, not merged yet.
+
+    ``rows``: doc_id and the columns of ``widths`` (entries a row; -1: of the JDs' vectors).
+    Rows without an id can't be ranked and are left out.
+    """
     n = len(catalog.dimensions)
-    per_jd = "mat" in jds.columns
-    if per_jd:
-        rows = feats.select("doc_id", "bm25", "structured", "embedding")
-        widths = {"bm25": n, "structured": n, "embedding": -1}
-    else:
-        rows, widths = _with_sources(feats, dim_vectors, catalog).select("doc_id", "fused"), {"fused": n}
-    size = F.lit(64 + 8 * n)
-    if per_jd:
+    rows = rows.where("doc_id is not null")
+    size = F.lit(64 + 8 * n + 32 * k)  # weights, and the k best rows that a task holds
+    if "mat" in jds.columns:
         size = size + F.coalesce(F.aggregate("mat", F.lit(0), lambda s, v: s + F.coalesce(F.size(v), F.lit(0)) * 8),
                                  F.lit(0))
     total = jds.agg(F.sum(size)).first()[0] or 0
@@ -176,13 +195,102 @@ def top_candidates(feats: DataFrame, jds: DataFrame, dim_vectors: DataFrame | No
     schema = T.StructType([jds.schema["jd_id"], rows.schema["doc_id"], T.StructField("stage1", T.DoubleType())])
     weights = [tuple(catalog.fusion_weights(d.name)) for d in catalog.dimensions]
     part, found = F.pmod(F.xxhash64("jd_id"), F.lit(blocks)), None
-    for p in range(blocks):  # a block has about jd_block_bytes; almost always there is one
+    for p in range(blocks):  # one block is on the driver and in the tasks at a time
         block = _JDs(jds.where(part == p).collect(), n, weights)
         best = _scan(rows, block, k, widths, schema)
+        if blocks > 1:
+            best = materialize(best, "block-survivors")
         found = best if found is None else found.union(best)
+    return found
+
+
+def top_candidates(feats: DataFrame, jds: DataFrame, dim_vectors: DataFrame | None, catalog: Catalog,
+                   k: int, jd_block_bytes: int = JD_BLOCK_BYTES) -> DataFrame:
+    """(jd_id, doc_id, stage1, stage1_rank): the k best candidates of each JD of ``jd_table``."""
+    n = len(catalog.dimensions)
+    if "mat" in jds.columns:
+        rows = feats.select("doc_id", "bm25", "structured", "embedding")
+        widths = {"bm25": n, "structured": n, "embedding": -1}
+    else:
+        rows, widths = _with_sources(feats, dim_vectors, catalog).select("doc_id", "fused"), {"fused": n}
+    found = best_of_tasks(rows, widths, jds, catalog, k, jd_block_bytes)
     return topk.topk_per_group(found, k, "jd_id", "stage1", "doc_id", "stage1_rank", salts=topk.SALTS)
 
 
+class Layers:
+    """Features in layers of falling value, for a threshold algorithm over many JDs.
+
+    Each dimension has a descending list of cuts (quantiles of its fused scores, from
+    ``SHARES``); a candidate is in the first layer in which any dimension exceeds its
+    cut.  What no layer up to l holds is at most cut[l] in every dimension, so with
+    weights of 0 or more its stage-1 is at most sum_d weight[d] * cut[l][d].  A JD is
+    finished after layer l if its k-th best so far is greater than that; equal isn't
+    enough, as a smaller id could still tie.  Quantiles may be approximate: cuts decide
+    how much is read, never what comes out.  Layers are Parquet folders, so a layer
+    that no JD needs isn't opened.
+    """
+
+    #: About the share of candidates that exceed a cut, in each dimension.
+    SHARES = tuple(4.0 ** -j for j in (6, 5, 4, 3, 2, 1))
+
+    def __init__(self, rows: DataFrame, cuts: list[list[float]], sizes: dict[int, int]):
+        self.rows, self.cuts, self.sizes = rows, cuts, sizes
+
+    @classmethod
+    def write(cls, feats: DataFrame, catalog: Catalog, path: str, dim_vectors: DataFrame | None = None) -> Layers:
+        """Write the narrow feature rows of ``feats`` in layers below ``path``."""
+        n = len(catalog.dimensions)
+        narrow = _with_sources(feats, dim_vectors, catalog).select("doc_id", "fused")
+        value = [F.nanvl(F.coalesce(F.get("fused", F.lit(d)), F.lit(0.0)), F.lit(0.0)) for d in range(n)]
+        found = narrow.agg(*[F.percentile_approx(v, [1 - s for s in cls.SHARES], 10_000) for v in value]).first()
+        cuts = [[(found[d] or [0.0] * len(cls.SHARES))[i] for d in range(n)] for i in range(len(cls.SHARES))]
+        layer = F.lit(len(cuts))
+        for i in reversed(range(len(cuts))):
+            above = F.lit(False)
+            for v, c in zip(value, cuts[i]):
+                above = above | (v > F.lit(c))
+            layer = F.when(above, F.lit(i)).otherwise(layer)
+        narrow.withColumn("layer", layer).write.mode("error").partitionBy("layer").parquet(path)
+        rows = feats.sparkSession.read.schema(narrow.withColumn("layer", layer).schema).parquet(path)
+        sizes = {r["layer"]: r["count"] for r in rows.groupBy("layer").count().collect()}
+        return cls(rows, cuts, sizes)
+
+    def top(self, jds: DataFrame, catalog: Catalog, k: int,
+            jd_block_bytes: int = JD_BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+        """((jd_id, doc_id, stage1, stage1_rank), (jd_id, layers, rows_read)): equal to ``top_candidates``."""
+        jds = jds.select("jd_id", "weights")
+        widths, done, report, kept, read = {"fused": len(catalog.dimensions)}, [], [], None, 0
+        for i in range(len(self.cuts) + 1):
+            read += self.sizes.get(i, 0)
+            best = best_of_tasks(self.rows.where(F.col("layer") == i).select("doc_id", "fused"), widths, jds, catalog,
+                                 k, jd_block_bytes)
+            if kept is not None:
+                best = best.unionByName(kept.select("jd_id", "doc_id", "stage1"))
+            best = materialize(topk.topk_per_group(best, k, "jd_id", "stage1", "doc_id", "stage1_rank",
+                                                   salts=topk.SALTS), "layer")
+            if i == len(self.cuts):
+                ready, left = jds.select("jd_id"), None
+            else:
+                sound = F.forall("weights", lambda w: F.coalesce(w >= 0, F.lit(False)))
+                cut = F.array(*[F.lit(float(c)) for c in self.cuts[i]])
+                most = F.aggregate(F.zip_with("weights", cut, lambda w, c: F.coalesce(w * c, F.lit(0.0))), F.lit(0.0),
+                                   lambda s, x: s + x)
+                bound = F.when(sound & (F.size("weights") == len(self.cuts[i])), most).otherwise(float("inf"))
+                least = best.where(F.col("stage1_rank") == k).select(F.col("jd_id").alias("_jd"), "stage1")
+                state = materialize(jds.join(least, F.col("jd_id").eqNullSafe(F.col("_jd")), "left").select(
+                    "jd_id", "weights", F.coalesce(F.col("stage1") > bound, F.lit(False)).alias("ready")), "layer-jds")
+                ready, left = state.where("ready").select("jd_id"), state.where("not ready").select("jd_id", "weights")
+            finished = ready.withColumnRenamed("jd_id", "_jd")
+            done.append(best.join(finished, F.col("jd_id").eqNullSafe(F.col("_jd")), "left_semi"))
+            report.append(ready.select("jd_id", F.lit(i + 1).alias("layers"), F.lit(read).cast("bigint").alias("rows_read")))
+            if left is None or left.isEmpty():
+                break
+            jds, kept = left, best.join(left.select(F.col("jd_id").alias("_jd")),
+                                        F.col("jd_id").eqNullSafe(F.col("_jd")), "left_semi")
+        return (materialize(reduce(DataFrame.unionByName, done), "survivors"),
+                reduce(DataFrame.unionByName, report))
+
+
 def attach(survivors: DataFrame, feats: DataFrame, jds: DataFrame, dim_vectors: DataFrame | None,
            catalog: Catalog) -> DataFrame:
     """Bring scores, profile and JD weights back for the k x J survivors only."""
@@ -216,23 +324,30 @@ def finish(survivors: DataFrame, catalog: Catalog) -> DataFrame:
 
 def survivors(feats: DataFrame, jd_weights: DataFrame, catalog: Catalog,
               dim_vectors: DataFrame | None = None, k: int = 100,
-              jd_block_bytes: int = JD_BLOCK_BYTES) -> DataFrame:
-    """Top-k by stage-1 per JD with every score column attached."""
+              jd_block_bytes: int = JD_BLOCK_BYTES, layers: Layers | None = None) -> DataFrame:
+    """Top-k by stage-1 per JD with every score column attached.
+
+    ``layers`` (of the same features; dimension vectors shared by all JDs) reads no
+    more of them than the threshold needs.
+    """
     jds = materialize(jd_table(jd_weights, dim_vectors, catalog), "jds")
-    top = materialize(top_candidates(feats, jds, dim_vectors, catalog, k, jd_block_bytes), "survivors")
+    if layers is not None and "mat" not in jds.columns:
+        top = layers.top(jds, catalog, k, jd_block_bytes)[0]
+    else:
+        top = materialize(top_candidates(feats, jds, dim_vectors, catalog, k, jd_block_bytes), "survivors")
     return attach(top, feats, jds, dim_vectors, catalog)
 
 
 def rank(feats: DataFrame, jd_weights: DataFrame, catalog: Catalog,
          dim_vectors: DataFrame | None = None, k: int = 100,
          scorer: Callable[[], object] | None = None, texts: DataFrame | None = None,
-         jd_block_bytes: int = JD_BLOCK_BYTES) -> DataFrame:
+         jd_block_bytes: int = JD_BLOCK_BYTES, layers: Layers | None = None) -> DataFrame:
     """Ranked top-k per JD with scores and reasons (see module doc).
 
     ``scorer=None`` uses the built-in pair scores stored in ``feats``;
     otherwise ``texts`` (doc_id, text) supplies the survivors' text.
     """
-    surv = survivors(feats, jd_weights, catalog, dim_vectors, k, jd_block_bytes)
+    surv = survivors(feats, jd_weights, catalog, dim_vectors, k, jd_block_bytes, layers)
     if scorer is not None:
         surv = _model_pairs(materialize(surv, "attached"), texts, catalog, scorer)
     return finish(surv, catalog)
@@ -256,6 +371,22 @@ def _model_pairs(surv: DataFrame, texts: DataFrame, catalog: Catalog, scorer: Ca
             .withColumn("pair_raw", arr).drop("_pm"))
 
 
+def results(ranked: DataFrame, catalog: Catalog) -> DataFrame:
+    """Nested result records (A14, K2) of a ranking, one row for each candidate of a JD.
+
+    (jd_id, candidate_id, rank, final_score, reasoning, dimension_scores MAP<dim, STRUCT<source_score,
+    embedding_score, bm25_score, structured_score, cross_encoder_score, confidence_score, final_score>>);
+    row-local, so ``write_results_json`` writes them without a shuffle.
+    """
+    n = len(catalog.dimensions)
+    sure = F.array(*[fusion.confidence(F.col("emb")[i], F.col("bm25")[i], F.col("structured")[i])["value"]
+                     for i in range(n)])
+    record = explain.result_record(catalog, F.col("emb"), F.col("bm25"), F.col("structured"), F.col("fused"),
+                                   F.col("ce"), sure, F.col("blended"))
+    return ranked.select("jd_id", F.col("doc_id").alias("candidate_id"), "rank", F.col("score").alias("final_score"),
+                         "reasoning", record.alias("dimension_scores"))
+
+
 def to_submission(ranked: DataFrame) -> DataFrame:
     """candidate_id, rank, score (six decimals, text), reasoning — per JD."""
     return ranked.select("jd_id", F.col("doc_id").alias("candidate_id"), "rank",

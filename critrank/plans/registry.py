@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 from critrank.catalog import probe_catalog
 from critrank.functions import text as tx
 from critrank.functions import vectors as vx
-from critrank.operators import bm25, criteria, fusion, records, rerank, rules, topk
+from critrank.operators import bm25, criteria, fusion, lexicon, records, rerank, rules, topk
+from critrank.operators.postings import PostingsIndex
 from critrank.operators import vectors as vops
 from critrank.plans import features, ranking, tables
-from critrank.plans.nested import nested_candidates
-from critrank.session import materialize
+from critrank.plans.nested import nested_candidates, raw_records
+from critrank.session import materialize, scratch_path
+from critrank.sources import io
+from critrank.sources.schemas import CANDIDATE_JSON_SCHEMA
 
 CAT = probe_catalog()
 N = len(CAT.dimensions)
@@ -77,13 +80,13 @@ def q_rank_jd_vectors(spark, sf):
     dv = vops.hash_encode_grouped(criteria.dimension_tokens(paras, CAT), ["jd_id", "ordinal"], "tokens", "vec", 64)
     own = vops.hash_encode_grouped(_tok(spark, sf), ["doc_id"], "tokens", "embedding", 64)
     feats = features.build_features(tables.candidates(spark, sf), CAT, embeddings=own, emb_id="doc_id")
-    r = ranking.rank(feats, criteria.weight_vectors(paras, CAT), CAT, dv, k=10)
+    r = ranking.rank(feats, criteria.weight_vectors(paras, CAT), CAT, dv, k=K)
     return r.select("jd_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.col("score_6").alias("score"))
 
 
 def q_pair_generate(spark, sf):
     """Survivors with their text and each pair query."""
-    s = materialize(_survivors(spark, sf, k=10).select("jd_id", "doc_id"), "survivors")
+    s = materialize(_survivors(spark, sf).select("jd_id", "doc_id"), "survivors")
     texts = tables.read(spark, sf, "documents").select("doc_id", "text")
     p = rerank.pair_table(s.join(texts, "doc_id"), CAT, ["jd_id", "doc_id"])
     return p.select("jd_id", "doc_id", "dim", "query", F.length("text").cast("bigint").alias("n_chars"))
@@ -184,7 +187,6 @@ def q_bm25_scores(spark, sf):
 
 
 def q_bm25_norm(spark, sf):
-    from critrank.session import materialize
     raw = materialize(_bm25_raw(spark, sf))
     dims = list(criteria.bm25_query(CAT))
     norm = bm25.normalize_max(raw, dims)
@@ -229,13 +231,11 @@ def q_rule_evidence(spark, sf):
 
 
 def q_none_of_list(spark, sf):
-    """Customers none of whose orders carries an excluded priority (anti join)."""
+    """Customers none of whose orders carries an excluded priority; no orders at all is true."""
     c = tables.read(spark, sf, "customer").select("c_custkey")
-    o = tables.read(spark, sf, "orders")
-    excluded = ["1-urgent", "2-high"]
-    bad = (o.filter(F.lower("o_orderpriority").isin(excluded))
-           .select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("hit", F.lit(True)))
-    return c.join(bad, "c_custkey", "left").select("c_custkey", F.col("hit").isNull().alias("none_of"))
+    o = tables.read(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("employers"))
+    met = c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return met.select("c_custkey", rules.none_of(F.col("employers"), ("1-URGENT", "2-HIGH")).alias("none_of"))
 
 
 def q_embedding_lookup(spark, sf):
@@ -304,8 +304,8 @@ def q_source_outer(spark, sf):
 
 
 def q_stage1(spark, sf):
-    """Stage-1 of each JD's best candidate (no candidate x JD rows)."""
-    s = _survivors(spark, sf, k=1)
+    """Stage-1 of each JD's survivors (no candidate x JD rows)."""
+    s = _survivors(spark, sf)
     return s.select("jd_id", "doc_id", _r("stage1").alias("stage1"))
 
 
@@ -324,7 +324,7 @@ def q_topk(spark, sf):
 
 def q_limit_by_id(spark, sf):
     d = tables.read(spark, sf, "documents")
-    return d.orderBy("doc_id").limit(K).select("doc_id", "lang", "n_chars")
+    return io.first_rows(d, "doc_id", K).select("doc_id", "lang", "n_chars")
 
 
 def q_topk_lookup(spark, sf):
@@ -364,15 +364,88 @@ def q_top_dims(spark, sf):
                     F.col("top_dims")[1].alias("top2"))
 
 
+def _results(spark, sf) -> DataFrame:
+    return ranking.results(_ranked(spark, sf), CAT)
+
+
 def q_result_json(spark, sf):
-    r = _ranked(spark, sf)
-    long = _dims_long(r, ["jd_id", "doc_id"], {"e": "emb", "b": "bm25", "s": "structured",
-                                               "f": "fused", "ce": "ce", "final": "blended"})
-    return long.select("jd_id", "doc_id", "dim", _r("f").alias("source_score"),
-                       _r("e").alias("embedding_score"), _r("b").alias("bm25_score"),
-                       _r("s").alias("structured_score"),
-                       _r(F.coalesce("ce", F.lit(0.0))).alias("cross_encoder_score"),
-                       _r("final").alias("final_score"))
+    """The nested records of a ranking, taken apart."""
+    long = _results(spark, sf).select("jd_id", F.col("candidate_id").alias("doc_id"), F.explode("dimension_scores"))
+    return long.select("jd_id", "doc_id", F.col("key").alias("dim"), *[_r(f"value.{c}").alias(c) for c in (
+        "source_score", "embedding_score", "bm25_score", "structured_score", "cross_encoder_score", "final_score")])
+
+
+def q_result_nested(spark, sf):
+    """The nested records as written: JSON lines read back as text, scores printed with six decimals."""
+    fields = ("source_score", "embedding_score", "bm25_score", "structured_score", "cross_encoder_score",
+              "confidence_score", "final_score")
+    path = scratch_path(spark, "results")
+    printed = F.transform_values("dimension_scores", lambda k, v: F.struct(
+        *[F.format_string("%.6f", _r(v[f]) + F.lit(0.0)).alias(f) for f in fields]))
+    io.write_results_json(_results(spark, sf).withColumn("dimension_scores", printed).drop("reasoning"), path)
+    lines = spark.read.text(path).select("value", F.from_json("value", "jd_id bigint, candidate_id bigint").alias("k"))
+    return lines.select("k.jd_id", F.col("k.candidate_id").alias("doc_id"), F.regexp_extract(
+        "value", r'"dimension_scores":(.*)\}$', 1).alias("dimension_scores"))
+
+
+def q_bm25_index_topk(spark, sf):
+    """Top documents of each BM25 query from a stored postings index, blocks skipped by bound."""
+    path = scratch_path(spark, "bm25-index")
+    index = PostingsIndex.build(tables.read(spark, sf, "documents"), "doc_id", "text", path)
+    best, _ = index.topk(criteria.bm25_query(CAT), K)
+    return best.select(F.col("query").alias("dim"), "doc_id", F.col("rank").cast("bigint").alias("rank"),
+                       _r("score").alias("score"))
+
+
+def q_bm25_refresh(spark, sf):
+    """idf after documents arrived in three parts: statistics merged over the index's segments."""
+    docs = tables.read(spark, sf, "documents")
+    path = scratch_path(spark, "bm25-refresh")
+    parts = [docs.where(F.pmod("doc_id", F.lit(3)) == i) for i in range(3)]
+    index = PostingsIndex.build(parts[0], "doc_id", "text", path)
+    for p in parts[1:]:
+        index.append(p, "doc_id", "text")
+    return bm25.idf_table(index.terms(), index.corpus()).select(
+        "term", "df", _r("idf_raw").alias("idf_raw"), _r("idf").alias("idf"))
+
+
+def q_features_refresh(spark, sf):
+    """BM25 features after two appends: old partial rows, an index grown by segments, no old text read again."""
+    cands = tables.candidates(spark, sf)
+    path = scratch_path(spark, "refresh-index")
+    parts = [cands.where(F.pmod("doc_id", F.lit(3)) == i) for i in range(3)]
+    index = PostingsIndex.build(parts[0], "doc_id", "text", path)
+    rows = materialize(features.partials(parts[0], CAT), "partials")
+    for p in parts[1:]:
+        index.append(p, "doc_id", "text")
+        rows = rows.unionByName(materialize(features.partials(p, CAT), "partials"))
+    feats = features.finish_features(rows, CAT, index)
+    long = _dims_long(feats, ["doc_id"], {"v": "bm25"}).where(F.col("dim").isin(list(criteria.bm25_query(CAT))))
+    return long.select("doc_id", "dim", _r("v").alias("bm25_norm"))
+
+
+def q_topk_threshold(spark, sf):
+    """Top candidates of each JD by the threshold algorithm over layers of the features."""
+    dv = tables.dimension_vectors(spark, sf, N)
+    layers = ranking.Layers.write(_feats(spark, sf), CAT, scratch_path(spark, "layers"), dv)
+    jds = materialize(criteria.weight_vectors(tables.jd_paragraphs(spark, sf, keep_blank=True), CAT), "jds")
+    return layers.top(jds, CAT, K)[0].select(
+        "jd_id", "doc_id", F.col("stage1_rank").cast("bigint").alias("stage1_rank"), _r("stage1").alias("stage1"))
+
+
+def q_lexicon_hits(spark, sf):
+    """How many different words of each benchmark item a document contains, as substrings."""
+    words = tables.read(spark, sf, "benchmark").select(F.col("item_id").alias("group"), F.explode(tx.tokens("text")).alias("term"))
+    texts = tables.read(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    hits = lexicon.lexicon_hits(texts, ["doc_id"], "text", words)
+    return hits.select("doc_id", F.col("group").alias("item_id"), "hits",
+                       F.md5(F.array_join("terms", " ")).alias("terms_md5"))
+
+
+def q_anchor_map_lexicon(spark, sf):
+    """The paragraph-to-dimension mapping with the anchors as a table."""
+    anchors = spark.createDataFrame([(d.name, a) for d in CAT.dimensions for a in d.anchors], "dim string, anchor string")
+    return lexicon.anchor_map(tables.jd_paragraphs(spark, sf), anchors)
 
 
 def q_project_defaults(spark, sf):
@@ -430,6 +503,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "confidence_blend": q_confidence_blend,
     "top_dims": q_top_dims,
     "result_json": q_result_json,
+    "result_nested": q_result_nested,
+    "bm25_index_topk": q_bm25_index_topk,
+    "bm25_refresh": q_bm25_refresh,
+    "features_refresh": q_features_refresh,
+    "topk_threshold": q_topk_threshold,
+    "lexicon_hits": q_lexicon_hits,
+    "anchor_map_lexicon": q_anchor_map_lexicon,
     "project_defaults": q_project_defaults,
     "raw_text": q_raw_text,
 }
@@ -442,14 +522,17 @@ def _digits(key):
     return F.when(F.length(text) < 7, F.lpad(text, 7, "0")).otherwise(text)
 
 
-def ranking_table(spark, sf) -> DataFrame:
+def ranking_table(spark, sf, whole: bool = False) -> DataFrame:
     """Rankings derived from orders, with deterministic defects injected by key
-    arithmetic: blocks of 197 keys form a ranking of 100 rows and one of 97."""
+    arithmetic: blocks of 197 keys form a ranking of 100 rows and one of 97, or
+    (``whole``) all orders are one ranking."""
     o = tables.read(spark, sf, "orders").select("o_orderkey")
     k = F.col("o_orderkey")
     short = k % 197 >= 100
     pos = F.when(short, k % 197 - 100).otherwise(k % 197)
     rid = F.floor(k / 197) * 2 + F.when(short, 1).otherwise(0)
+    if whole:
+        pos, rid = k, F.lit(0)
     cid = (F.when(k % 97 == 5, F.concat(F.lit("CAND_"), k.cast("string")))
            .when(k % 89 == 7, F.lit(""))
            .when(k % 83 == 3, F.concat(F.lit("CAND_"), _digits(k - 1)))
@@ -477,6 +560,17 @@ def q_validate(spark, sf):
     return _violations(spark, sf).select("ranking_id", "row_num", "rule")
 
 
+#: Rows that the one ranking of all orders should have.
+WHOLE = 20_000
+
+
+def q_validate_whole(spark, sf):
+    """All orders as one ranking: no task holds a ranking."""
+    from critrank.operators.quality import validate_rankings
+    v = validate_rankings(ranking_table(spark, sf, whole=True), WHOLE)
+    return v.select("ranking_id", "row_num", "rule", F.when(F.col("rule") != "not_monotonic", F.col("detail")).alias("detail"))
+
+
 def _rules(spark, sf, rules_, detail=True):
     v = _violations(spark, sf).filter(F.col("rule").isin(rules_))
     cols = ["ranking_id", "row_num", "rule"] + (["detail"] if detail else [])
@@ -517,8 +611,16 @@ def q_schema_violations(spark, sf):
     return schema_violations(nested_candidates(spark, sf), key="doc_id")
 
 
+def q_conformance(spark, sf):
+    """Raw JSON records judged by the compiled schema document."""
+    from critrank.operators.conformance import conformance
+    return conformance(raw_records(spark, sf), "doc_id", "record", CANDIDATE_JSON_SCHEMA)
+
+
 QUERIES.update({
     "validate": q_validate,
+    "validate_whole": q_validate_whole,
+    "conformance": q_conformance,
     "validate_count": q_validate_count,
     "validate_ids": q_validate_ids,
     "validate_dups": q_validate_dups,

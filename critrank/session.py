@@ -93,13 +93,18 @@ def materialize(df: DataFrame, name: str = "table", outlives: bool = False) -> D
     executor loses nothing.  Within ``temporary_tables`` the table goes at the end
     of the block, or, if it ``outlives`` it, at the end of the block around that.
     """
-    folder = ensure_checkpoint_dir(df.sparkSession)
-    path = f"{folder.rstrip('/')}/critrank-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name, outlives)
     df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch_path(spark: SparkSession, name: str, outlives: bool = False) -> str:
+    """A new path in the shared checkpoint folder; what is written there goes as with ``materialize``."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/critrank-{name}-{uuid.uuid4().hex}"
     scopes = getattr(_SCOPES, "open", [])
     if len(scopes) > outlives:
         scopes[-1 - outlives].append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
 
 
 @contextmanager

@@ -112,22 +112,42 @@ def test_read_jd_text(spark):
     assert h["title"] == "ML Engineer" and h["company"] == "Acme"
 
 
-def test_bm25_index_roundtrip_and_cache(spark):
-    from critrank.operators import bm25
+def test_feature_cache(spark):
     d = tempfile.mkdtemp(prefix="cr-idx-")
     docs = spark.createDataFrame([("A", "faiss bm25 ranking"), ("B", "python ranking python")],
                                  "id STRING, text STRING")
-    tok = bm25.doc_tokens(docs, "id", "text")
-    io.write_bm25_index(tok, d + "/idx")
-    terms, stats = io.read_bm25_index(spark, d + "/idx")
-    assert {r["term"]: r["df"] for r in terms.collect()}["ranking"] == 2
-    assert stats.collect()[0]["n_docs"] == 2
     built = []
     t = io.load_or_build(spark, d + "/cache", lambda: built.append(1) or docs)
     t2 = io.load_or_build(spark, d + "/cache", lambda: built.append(1) or docs)
     assert t.count() == t2.count() == 2 and built == [1]
 
 
+def test_stamped():
+    from datetime import datetime
+    assert io.stamped("out/ranking.csv", datetime(2025, 1, 31, 9, 45)) == "out/ranking_20250131_094500.csv"
+    assert io.stamped("ranking", datetime(2025, 1, 31, 9, 45)) == "ranking_20250131_094500"
+
+
+def test_header_values_after_blank_paragraphs(spark):
+    rows = [(1, n, t) for n, t in enumerate(["", "Engineer", "Company:", "", " ", "", "Acme", "", "Location: Pune"])] + [(2, 0, " ")]
+    got = {r["jd_id"]: r for r in io.jd_header(spark.createDataFrame(rows, "jd_id int, para_no long, text string")).collect()}
+    assert (got[1]["title"], got[1]["company"], got[1]["location"]) == ("Engineer", "Acme", "Pune")
+    assert (got[2]["title"], got[2]["company"], got[2]["min_years"]) == ("", "", None)
+
+
+def test_encoding_of_ranking_files(spark):
+    d = tempfile.mkdtemp(prefix="cr-enc-")
+    head = b"candidate_id,rank,score,reasoning\n"
+    with open(os.path.join(d, "good.csv"), "wb") as f:
+        f.write(b"\xef\xbb\xbf" + head + "CAND_0000001,1,0.5,\u00e9t\u00e9\n".encode())
+    with open(os.path.join(d, "bad.csv"), "wb") as f:
+        f.write(head + b"CAND_0000001,1,0.5,x\n" * 48 + b"CAND_0000001,1,0.5,\xff\n")
+    with open(os.path.join(d, "long.csv"), "wb") as f:
+        f.write("\u00e9".encode() * 5000 + b"\n")
+    v = {(os.path.basename(r["path"]), r["rule"], r["detail"][:3]) for r in io.check_ranking_files(spark, d).collect()}
+    assert v == {("bad.csv", "encoding", "50"), ("long.csv", "header", "\u00e9\u00e9\u00e9")}
+
+
 def test_ranking_file_checks(spark):
     d = tempfile.mkdtemp(prefix="cr-files-")
     with open(os.path.join(d, "team.csv"), "w") as f:
