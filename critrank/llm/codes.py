@@ -38,78 +38,85 @@ DEGREE, LEAF = 16, 16
 SLACK = 1e-12
 
 
+#: Below this, squared distances by way of products are exact in doubles.
+EXACT = 1 << 22
+
+
 def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     off = x - y
     return (off * off).sum(axis=-1)
 
 
+def _all_squares(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Exact squared distances (rows, points).  Doubles below ``EXACT``, integers above."""
+    if x.dtype == np.float64:
+        p = points.astype(np.float64)
+        return ((x * x).sum(axis=1)[:, None] - 2 * (x @ p.T) + (p * p).sum(axis=1)[None]).astype(np.int64)
+    return np.stack([_squares(x, p) for p in points], 1)
+
+
 class Gnat:
-    """A tree over the rows of ``points`` (integers); ``numbers`` are their indexes."""
+    """A tree over the rows of ``points`` (integers); ``numbers`` are their indexes, ascending."""
 
     def __init__(self, points: np.ndarray, numbers: np.ndarray | None = None):
         numbers = np.arange(len(points)) if numbers is None else numbers
         self.measured = 0  # distances computed, for tests and tuning
+        self.exact = bool(np.abs(points).max(initial=0) < EXACT)
         self.children: list[Gnat | None] = []
-        if len(points) <= LEAF:
-            self.splits, self.numbers = points, numbers
-            self.low = self.high = None
+        if len(points) <= LEAF or (points == points[0]).all():
+            self.splits, self.numbers, self.low = points, numbers, None
             return
         chosen, least = [0], _squares(points, points[0])
         while len(chosen) < DEGREE and least.max() > 0:  # the entry farthest from the chosen ones
             chosen.append(int(least.argmax()))
             least = np.minimum(least, _squares(points, points[chosen[-1]]))
+        chosen.sort()
         self.splits, self.numbers = points[chosen], numbers[chosen]
-        to = np.stack([_squares(points, s) for s in self.splits], 1)
+        to = _all_squares(points, self.splits)
         home = to.argmin(axis=1)
         home[chosen] = np.arange(len(chosen))
         rest = np.ones(len(points), bool)
         rest[chosen] = False
         m = len(chosen)
-        self.low, self.high = np.zeros((m, m)), np.zeros((m, m))
+        self.low, self.high = np.full((m, m), np.inf), np.full((m, m), -np.inf)
         for j in range(m):
-            far = np.sqrt(to[home == j].astype(np.float64))
-            self.low[:, j], self.high[:, j] = far.min(axis=0) * (1 - SLACK), far.max(axis=0) * (1 + SLACK)
             mine = rest & (home == j)
-            same = m == 1  # all entries are equal: a list, or the tree wouldn't end
-            self.children.append(None if not mine.any() else _List(points[mine], numbers[mine]) if same
-                                 else Gnat(points[mine], numbers[mine]))
+            self.children.append(Gnat(points[mine], numbers[mine]) if mine.any() else None)
+            if mine.any():
+                far = np.sqrt(to[mine].astype(np.float64))
+                self.low[:, j], self.high[:, j] = far.min(axis=0) * (1 - SLACK), far.max(axis=0) * (1 + SLACK)
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number, squared distance) of each row's nearest entry."""
         best, which = np.full(len(x), np.iinfo(np.int64).max), np.full(len(x), np.iinfo(np.int64).max)
+        if self.exact and np.abs(x).max(initial=0) < EXACT:
+            x = x.astype(np.float64)
         self._visit(x, np.arange(len(x)), best, which)
         return which, best
 
-    def _measure(self, x, rows, i, best, which) -> np.ndarray:
-        d = _squares(x[rows], self.splits[i])
-        self.measured += len(rows)
-        better = (d < best[rows]) | (d == best[rows]) & (self.numbers[i] < which[rows])
-        best[rows[better]], which[rows[better]] = d[better], self.numbers[i]
-        return d
-
     def _visit(self, x: np.ndarray, rows: np.ndarray, best: np.ndarray, which: np.ndarray) -> None:
+        squares = _all_squares(x[rows], self.splits)
+        self.measured += squares.size
+        first = squares.argmin(axis=1)  # numbers ascend, so of equal distances the lower number
+        d, number = squares[np.arange(len(rows)), first], self.numbers[first]
+        better = (d < best[rows]) | (d == best[rows]) & (number < which[rows])
+        best[rows[better]], which[rows[better]] = d[better], number[better]
         if self.low is None:
-            for i in range(len(self.splits)):
-                self._measure(x, rows, i, best, which)
             return
+        away = np.sqrt(squares.astype(np.float64))
         m = len(self.splits)
-        bound = np.zeros((len(rows), m))  # no entry of child j is closer
-        away = np.full((len(rows), m), np.inf)
+        bound = np.full((len(rows), m), -np.inf)  # no entry of child j is closer than this; inf where it has none
         for i in range(m):
-            at = np.flatnonzero(bound[:, i] <= self._radius(best[rows]))
-            d = np.sqrt(self._measure(x, rows[at], i, best, which).astype(np.float64))
-            away[at, i] = d
-            misses = np.maximum(self.low[i] - d[:, None] * (1 + SLACK), d[:, None] * (1 - SLACK) - self.high[i])
-            bound[at] = np.maximum(bound[at], misses)
+            near, far = away[:, i, None] * (1 - SLACK), away[:, i, None] * (1 + SLACK)
+            np.maximum(bound, np.maximum(self.low[i] - far, near - self.high[i]), out=bound)
         order = np.argsort(away, axis=1, kind="stable")
         for r in range(m):  # each query's children, nearest split point first
-            for j in range(m):
-                if self.children[j] is None:
-                    continue
-                at = np.flatnonzero(order[:, r] == j)
-                at = at[bound[at, j] <= self._radius(best[rows[at]])]
-                if len(at):
-                    self.children[j]._visit(x, rows[at], best, which)
+            child = order[:, r]
+            live = np.flatnonzero(bound[np.arange(len(rows)), child] <= self._radius(best[rows]))
+            live = live[np.argsort(child[live], kind="stable")]
+            cuts = np.searchsorted(child[live], np.arange(m + 1))
+            for j in np.flatnonzero(cuts[1:] > cuts[:-1]):
+                self.children[j]._visit(x, rows[live[cuts[j]:cuts[j + 1]]], best, which)
 
     @staticmethod
     def _radius(best: np.ndarray) -> np.ndarray:
@@ -119,13 +126,6 @@ class Gnat:
         return self.measured + sum(c.total_measured() for c in self.children if c is not None)
 
 
-class _List(Gnat):
-    """Equal entries: all are measured."""
-
-    def __init__(self, points: np.ndarray, numbers: np.ndarray):
-        self.splits, self.numbers, self.low, self.children, self.measured = points, numbers, None, [], 0
-
-
 def start(table: DataFrame, id_col: str, entries: int, parts: int, dim: int) -> list[np.ndarray]:
     first = lloyd.smallest(table.select(id_col, "v"), id_col, [F.col(id_col).asc_nulls_last(), F.col("v").asc()],
                            entries).collect()  # ``entries`` rows

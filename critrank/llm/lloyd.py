@@ -24,7 +24,7 @@ from .common import save
 #: Components beyond this count as this, so that squared distances fit 64 bits.
 LIMIT = 1 << 24
 #: Vectors that a task searches at a time.
-STEP = 4096
+STEP = 16384
 #: Buckets of a counting pass of ``smallest``, and how many times k rows may be left to sort.
 BUCKETS, SPARE = 1024, 8
 
