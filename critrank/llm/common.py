@@ -30,6 +30,24 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, f"llm-{name}")
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores until no column of ``taken`` has it (in any case)."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
+def shielded(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns under names of their own, so that no helper column clashes; {column: name}."""
+    names = {c: f"own_{n}" for n, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(names[c]) for c in df.columns]), names
+
+
+def bare(df: DataFrame, names: dict[str, str], *more: str) -> DataFrame:
+    """The way back from ``shielded``, with the columns ``more`` behind."""
+    return df.select(*[F.col(f"`{n}`").alias(c) for c, n in names.items()], *more)
+
+
 # -------------------------------------------------------------------- words
 def lower_ascii(texts: pa.Array) -> pa.Array:
     return pc.ascii_lower(texts)

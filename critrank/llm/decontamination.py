@@ -11,9 +11,13 @@ Jaccard similarity is 0.19, and a pair agrees in none of 40 filled bins once in
 5,000 times, with whole items far less often.  Every candidate is then
 verified: the share of the item's shingles, as text, that the whole document has.
 
+Items of few shingles (``DIRECT``) need no signature: each of their hashes leads to
+them, since a window's neighbours could hide the only one.
+
 A window is only given a signature where one of its hashes occurs in an item;
-no other window could agree.  Items are handled in blocks of bounded size, each
-searched against all documents.
+no other window could agree.  Items are handled in blocks of bounded size, one at a time:
+a block is on the driver, is searched against all documents, and its result is written
+before the next one comes.
 
 Defined results: A-Z count as lower case; words are ``[^\\x20\\x09-\\x0D]+``; an
 item of fewer than 5 words is one shingle of all its words; null and empty
@@ -24,17 +28,20 @@ stay in ``clean`` and are left out of ``matches``.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, flat_words, lower_ascii, shingle_hashes, word_hashes
+from .common import blocks, flat_words, lower_ascii, save, shingle_hashes, word_hashes
 
 WORDS = 5
 THRESHOLD = 0.8
 BINS = 64
+#: Items of so many shingles at most are indexed by every hash.
+DIRECT = 4
 #: Bytes of items that one pass over the documents carries.
 ITEM_BLOCK = 16 << 20
 _SHIFT = np.uint64(64 - 6)
@@ -56,6 +63,7 @@ class Items:
         self.shingles: list[set[str]] = []
         self.ids = [r[0] for r in rows]
         self.classes: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        self.direct: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         marked = defaultdict(list)
         offsets, words = flat_words(lower_ascii(pa.array([r[1] for r in rows], pa.large_string())))
         hashes, text = word_hashes(words), words.to_pylist()
@@ -66,9 +74,14 @@ class Items:
                 own = np.unique(shingle_hashes(hashes[a:b], n))
                 size = len(own).bit_length()  # fewer than 2**size shingles
                 marked[n].append(own)
+                if len(own) <= DIRECT:
+                    for value in own.tolist():
+                        self.direct[n][value].append(k)
+                    continue
                 for value in signature(own):
                     if value != _NONE:
                         self.classes[n, size][int(value)].append(k)
+        self.direct = {n: dict(x) for n, x in self.direct.items()}
         self.classes = {c: dict(x) for c, x in sorted(self.classes.items())}
         self.marked = {n: np.unique(np.concatenate(x)) for n, x in marked.items()}
 
@@ -87,6 +100,11 @@ class Items:
             row = np.searchsorted(offsets, hit, side="right") - 1
             inside = hit + n <= offsets[row + 1]
             hit, row = hit[inside], row[inside]
+            direct = self.direct.get(n, {})
+            if direct:
+                for r, value in zip(row.tolist(), runs[hit].tolist()):
+                    if value in direct:
+                        candidates[r].update(direct[value])
             for (m, size), index in self.classes.items():
                 if m != n:
                     continue
@@ -113,15 +131,16 @@ class Items:
         return out
 
 
-def item_blocks(items: DataFrame, threshold: float, block: int) -> list[Items]:
-    """Items in blocks of about ``block`` bytes; a block at a time comes to the driver."""
+def item_blocks(items: DataFrame, threshold: float, block: int) -> Iterator[tuple[Items, bool]]:
+    """(items of about ``block`` bytes, whether they are all); a block comes to the driver when it is asked for."""
     rows = items.where("text is not null").select("item_id", "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(size // block) + 1
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [Items([(r.item_id, r.text) for r in sorted(
-        rows.where(part == k).distinct().collect(), key=lambda r: (r.item_id is not None, r.item_id, r.text))], threshold)
-        for k in range(n)]
+    for k in range(n):
+        yield Items([(r.item_id, r.text) for r in sorted(
+            rows.where(part == k).distinct().collect(), key=lambda r: (r.item_id is not None, r.item_id, r.text))],
+            threshold), n == 1
 
 
 def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block: int = ITEM_BLOCK) -> DataFrame:
@@ -141,8 +160,9 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, blo
         return run
 
     out = None
-    for index in item_blocks(items, threshold, block):
+    for index, alone in item_blocks(items, threshold, block):
         part = docs.select("doc_id", "text").mapInArrow(finder(index), schema)
+        part = part if alone else save(part, "matches")
         out = part if out is None else out.union(part)
     return out
 
@@ -157,8 +177,9 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block
                 yield from part.filter(clear).to_batches()
         return run
 
-    for index in item_blocks(items, threshold, block):
+    for index, alone in item_blocks(items, threshold, block):
         docs = docs.mapInArrow(keeper(index), docs.schema)
+        docs = docs if alone else save(docs, "clear")
     return docs
 
 

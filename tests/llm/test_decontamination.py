@@ -54,6 +54,16 @@ def test_items_of_all_sizes_in_long_documents(spark, odd, rows_of):
         assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, _ in rows_of(docs) if i not in bad)
 
 
+def test_short_items_are_never_missed(spark):
+    """Items of one to six shingles, alone in long documents."""
+    words = [f"w{i}" for i in range(900)]
+    r = np.random.default_rng(4)
+    items = [(k, " ".join(r.choice(words, 3 + k % 8))) for k in range(1600)]
+    docs = [(d, " ".join(f"{' '.join(r.choice(words, 60))} {t}" for _, t in items[d * 40:d * 40 + 40])) for d in range(40)]
+    got = dc.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(k // 40, k) for k in range(1600)} <= {(x.doc_id, x.item_id) for x in got.collect()}
+
+
 def test_empty_tables(spark, odd, none):
     items = spark.createDataFrame([], "item_id long, text string")
     assert dc.matches(odd, items).collect() == [] and dc.clean(odd, items).count() == odd.count()
