@@ -4,8 +4,10 @@ A line's words with a digit are variable from the start.  Its place in the tree
 is its number of words and its first two words.  Within a leaf, a word stays at
 its position if ``min_docs`` documents agree on it there; the other positions
 become wildcards.  Lines with the same result share a template, which recurs if
-lines of ``min_docs`` different documents have it and at least ``constant`` of
-its words are no wildcards.  All lines of recurring templates are dropped.
+lines of ``min_docs`` different documents have it, at least one of its words is
+fixed, and so are ``constant`` of the words without a digit: what the leaf generalised
+must leave most of a line, what digits vary needn't ('Page 3 of 40' is a template).
+All lines of recurring templates are dropped.
 
 Documents with the same text count once, so that copies of a document alone
 don't make its lines recur.  All counts pre-aggregate before they shuffle, and
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import bare, save, shielded
 
 DEPTH = 2
 MIN_DOCS = 5
@@ -63,8 +65,8 @@ def recurring(docs: DataFrame, min_docs: int, constant: float) -> tuple[DataFram
     word = F.when(F.col("steady"), F.col("word")).otherwise(WILD)
     template = (words.join(steady, ["leaf", "at", "word"], "left").groupBy("leaf", "line")
                 .agg(F.sort_array(F.collect_list(F.struct("at", word.alias("word")))).alias("w"),
-                     F.count("steady").alias("fixed"), F.count(F.lit(1)).alias("n"))
-                .where(F.col("fixed") >= constant * F.col("n"))
+                     F.count("steady").alias("fixed"), F.count_if(F.col("word") != WILD).alias("n"))
+                .where((F.col("fixed") >= 1) & (F.col("fixed") >= constant * F.col("n")))
                 .select("line", F.array_join(F.col("w.word"), " ").alias("template")))
     template = save(template, "line-templates")
     often = (seen.join(template, "line").select("template", "text_hash").distinct()
@@ -75,18 +77,19 @@ def recurring(docs: DataFrame, min_docs: int, constant: float) -> tuple[DataFram
 def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
     """``docs`` with kept_text, n_lines and n_dropped."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("kept_text", "n_lines", "n_dropped")])
-    place, lines = recurring(docs, min_docs, constant)
+    place, lines = recurring(docs.select("doc_id", "text"), min_docs, constant)
     drops = (place.join(lines.select("line"), "line", "left_semi").groupBy("doc_id", "text_hash")
              .agg(F.collect_set("pos").alias("_drops")).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}))
-    own = docs.withColumn("_text_hash", F.xxhash64("text"))
-    all_lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    joined = (own.join(drops, own.doc_id.eqNullSafe(drops._id) & (own._text_hash == drops._hash), "left")
-              .withColumn("_lines", all_lines))
+    own, names = shielded(docs)
+    doc_id, text = F.col(f"`{names['doc_id']}`"), F.coalesce(F.col(f"`{names['text']}`"), F.lit(""))
+    joined = (own.withColumn("_text_hash", F.xxhash64(F.col(f"`{names['text']}`")))
+              .join(drops, doc_id.eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
+              .withColumn("_lines", F.split(text, "\n")))
     kept = F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), _drops), i -> _lines[i]), '\n')")
-    return (joined.withColumn("kept_text", F.when(F.col("_drops").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept))
-            .withColumn("n_lines", F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size("_lines")).cast("long"))
-            .withColumn("n_dropped", F.coalesce(F.size("_drops"), F.lit(0)).cast("long"))
-            .select(*docs.columns, "kept_text", "n_lines", "n_dropped"))
+    return bare(joined.withColumn("kept_text", F.when(F.col("_drops").isNull(), text).otherwise(kept))
+                .withColumn("n_lines", F.when(text == "", 0).otherwise(F.size("_lines")).cast("long"))
+                .withColumn("n_dropped", F.coalesce(F.size("_drops"), F.lit(0)).cast("long")),
+                names, "kept_text", "n_lines", "n_dropped")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -119,7 +122,7 @@ WITH line AS (
   SELECT w, list(CASE WHEN s.word IS NULL THEN '<*>' ELSE word.word END ORDER BY word.spot) AS t
   FROM word LEFT JOIN steady s ON (s.size, s.first, s.second, s.spot, s.word)
     = (word.size, word.first, word.second, word.spot, word.word)
-  GROUP BY w HAVING count(s.word) >= 0.6 * count(*)
+  GROUP BY w HAVING count(s.word) >= greatest(1, 0.6 * count(*) FILTER (word.word <> '<*>'))
 ), often AS (
   SELECT t FROM seen JOIN template USING (w) GROUP BY t HAVING count(DISTINCT text) >= 5
 ), drops AS (

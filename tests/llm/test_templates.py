@@ -28,7 +28,7 @@ def brute(rows, min_docs=5, constant=0.6):
     of, docs = {}, defaultdict(set)
     for m, t in seen:
         steady = [support[len(m), m[:2], at, w] >= min_docs for at, w in enumerate(m)]
-        if sum(steady) >= constant * len(m):
+        if sum(steady) >= max(1, constant * sum(w != "<*>" for w in m)):
             of[m] = tuple(w if s else "<*>" for w, s in zip(m, steady))
             docs[of[m]].add(t)
     out = Counter()
@@ -67,6 +67,24 @@ def test_variable_words_are_generalised(logs):
     assert "four documents" in out[3].kept_text and out[105].n_dropped == 0
 
 
+def test_short_lines_with_variable_fields(spark):
+    """One fixed word is enough where digits vary; words that vary without digits still need most of a line."""
+    fields = "Page {0} of 40|Chapter {0}|Error 4{0}|{0}: {0}|a{0}|Status {1} {2} at {0}"
+    rows = [(k, fields.format(k, prose(k, 1), prose(k + 99, 1)).replace("|", "\n") + f"\nword{prose(k, 4)}") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, templates.digest(df).collect())) == brute(rows)
+    for r in templates.drop_templates(df).collect():
+        assert not re.search("Page|Chapter|Error", r.kept_text) and f"{r.doc_id}: {r.doc_id}" in r.kept_text
+
+
+def test_clashing_helper_columns(odd, rows_of):
+    clash = odd.selectExpr("doc_id", "text", "1 as _drops", "'x' as _lines", "2 as _text_hash", "3 as _id", "4 as _hash", "5 as own_0")
+    out = templates.drop_templates(clash)
+    assert out.columns == [*clash.columns, "kept_text", "n_lines", "n_dropped"]
+    assert {tuple(r)[2:8] for r in out.collect()} == {(1, "x", 2, 3, 4, 5)}
+    assert Counter((r.doc_id, r.n_lines, r.n_dropped) for r in out.collect()) == Counter(k[:3] for k in brute(rows_of(odd)).elements())
+
+
 def test_columns_and_empty_table(odd, none):
     out = templates.drop_templates(odd)
     assert out.columns == [*odd.columns, "kept_text", "n_lines", "n_dropped"] and out.count() == odd.count()
