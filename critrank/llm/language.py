@@ -4,17 +4,18 @@ A text becomes counts of hashed byte 1-, 2- and 3-grams (lower case, damped
 and scaled to length one).  One-versus-one linear support vector machines vote
 between families, then between the languages of the family that won.
 
-Training reads a bounded sample (``PER_LANGUAGE`` texts of each language,
-``SAMPLE_ROWS`` in all); scoring reads every whole text.
-
-Defined results: a null text or one without a letter is ``und`` with score 0;
-without any training row every text is; extra columns and repeated rows make
-no difference.
+Training reads a bounded sample: ``PER_LANGUAGE`` texts of each language,
+``SAMPLE_ROWS`` in all, but one of each language at least, so every language is
+learned.  Scoring reads every whole text.
+
+Defined results: a null text or one without a letter (Unicode category L) is ``und``
+with score 0; without any training row every text is; rows without a doc_id aren't
+learned from; of rows with one doc_id and language, the one whose features sort first
+is; extra columns and repeated rows make no difference.
 """
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pack, unpack
+from .common import free_name, pack, unpack
 from .linear import labelled_ids, remainder, train_svm
 
 DIMENSIONS = 1 << 13
@@ -39,7 +40,11 @@ FAMILIES = {
     "indic": ("hi", "mr", "ne", "bn", "gu", "pa"),
 }
 _FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs}
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is of Unicode category L (number signs such as ½ or ① aren't)."""
+    return any(map(str.isalpha, text))
 
 
 def family_of(lang: str) -> str:
@@ -97,7 +102,7 @@ class Model:
                        for f in sorted(set(families))}
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.family or text is None or not _LETTER.search(text):
+        if not self.family or text is None or not has_letter(text):
             return UNKNOWN, 0.0
         x = features(text)
         family, p = self.family.decide(x)
@@ -108,24 +113,25 @@ class Model:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS,
           seed: int = 10) -> Model:
     """Fit a model on at most ``sample_rows`` of ``docs`` (doc_id, text, lang)."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
+    rows = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang")
     ids = labelled_ids(rows, "lang", per_language, seed)
     if ids.limit(sample_rows + 1).count() > sample_rows:  # very many languages: fewer of each
-        found = rows.select("lang").distinct().limit(sample_rows).count()
-        ids = labelled_ids(rows, "lang", max(1, sample_rows // found), seed).limit(sample_rows)
-    chosen = F.broadcast(ids.select("doc_id"))  # sample_rows ids at most
+        ids = labelled_ids(rows, "lang", max(1, sample_rows // rows.select("lang").distinct().count()), seed)
+    # sample_rows ids at most, or one for each language; Spark broadcasts them if they are small
+    chosen = ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
 
     def vectors(batches):
         for batch in batches:
-            texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
-            kept = [(g, features(t)) for g, t in zip(langs, texts) if _LETTER.search(t)]
-            yield pa.record_batch({
-                "lang": pa.array([g for g, _ in kept], pa.string()),
-                "x": pa.array([pack(i := np.flatnonzero(x).astype(np.uint16), x[i]) for _, x in kept], pa.binary())})
-
-    sample = (docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-              .join(chosen, "doc_id", "left_semi").mapInArrow(vectors, "lang string, x binary")
-              .limit(2 * sample_rows).collect())
+            batch = batch.filter(pa.array([has_letter(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+            found = [features(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(
+                [pack(i := np.flatnonzero(x).astype(np.uint16), x[i]) for x in found], pa.binary())], names=["doc_id", "lang", "x"])
+
+    kind = dict(rows.dtypes)["doc_id"]
+    sample = (docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+              .join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
+              .mapInArrow(vectors, f"doc_id {kind}, lang string, x binary")
+              .groupBy("doc_id", "lang").agg(F.min("x").alias("x")).select("lang", "x").collect())
     sample.sort(key=lambda r: (r.lang, bytes(r.x)))  # the order of training doesn't depend on tasks
     x = np.zeros((len(sample), DIMENSIONS), np.float32)
     for n, row in enumerate(sample):
@@ -138,15 +144,16 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of ``docs`` with lang_pred and score of every row."""
     keep = [c for c in keep if c.lower() not in ("lang_pred", "score")]
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    text = free_name("_text", keep)
 
     def score(batches):
         for batch in batches:
-            found = [model.predict(t) for t in batch.column("_text").to_pylist()]
+            found = [model.predict(t) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array([f[0] for f in found], pa.string()),
                  pa.array([f[1] for f in found], pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(score, schema)
+    return docs.select(*keep, F.col("text").alias(text)).mapInArrow(score, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

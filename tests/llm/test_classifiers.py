@@ -44,6 +44,27 @@ def test_language_of_odd_rows(spark, odd, none):
     assert kept.columns == [c for c in odd.columns if c not in ("score", "lang_pred")] + ["lang_pred", "score"]
 
 
+def test_number_signs_are_no_letters(spark, small):
+    texts = ["\u00bd \u00b2", "\u2460", "\u0661\u0662 \u2167", "12 + _", "\u00aa", "a1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = language.predict(df, language.train(small), ["doc_id"]).orderBy("doc_id").collect()
+    assert [r.lang_pred == "und" for r in got] == [True, True, True, True, False, False]
+
+
+def test_every_language_is_learned_and_copies_of_an_id_are_defined(spark):
+    rows = [(k, f"text of language number {k}", f"l{k:02}") for k in range(30)] + [(7, "another text", "l07"), (7, "third", "l08")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = [language.train(d, per_language=5, sample_rows=10) for d in (df, df.repartition(5))]
+    assert set(models[0].family.classes) == {language.family_of(f"l{k:02}") for k in range(30)}
+    assert (models[0].family.w == models[1].family.w).all()
+
+
+def test_a_clashing_text_column(spark, odd):
+    clash = odd.selectExpr("doc_id", "text", "lang", "7 as _text")
+    out = language.predict(clash, language.train(clash), clash.columns)
+    assert out.columns == [*clash.columns, "lang_pred", "score"] and {r._text for r in out.collect()} == {7}
+
+
 def test_sample_is_bounded(spark):
     df = spark.createDataFrame([(k, f"l{k % 3}") for k in range(900)], "doc_id long, lang string")
     rows = linear.labelled_ids(df, "lang", 7, 1).collect()
