@@ -13,10 +13,14 @@ sources are one group, whose blocks go to the last slot of the group's windows,
 and are placed among themselves in the same way.  Where there is such a group,
 deviations add up, to less than one block for each level.
 
-The mix ends where the first source runs out.  All rows of sources that run out
-there are in it (with ``capped_weights``, all rows of all sources below the cap);
+Without target weights a source's target is its own share of the rows: all sources
+run out together and every row is in the mix.  A caller may cap shares (``max_share``)
+or name weights.  The mix then ends where the first source runs out.  All rows of
+sources that run out there are in it (with a cap, all rows of all sources below it);
 the others' rows past that end are surplus, placed after the schedule.
 
+The shares, one number for each source, are on the driver; rows never are.
+
 Defined results: null is a source of its own; rows of a source are taken in
 the order of a seeded hash of ``key``, then ``key`` (nulls first); repeated
 rows are rows of their own; an empty table gives an empty result; extra
@@ -33,24 +37,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import number_rows, partitions
+from .common import bare, number_rows, partitions, shielded
 
-#: Slots of a segment, which a task places at once, and the bound of the sources.
+#: Slots of a segment, which a task places at once.
 PERIOD = 20_000
-MAX_SHARE = 0.25
 BLOCK_ROWS = 4
 OUTPUT = ("source_row", "block", "release", "deadline", "slot", "position", "in_mix")
 
 
-def capped_shares(counts: dict, max_share: float = MAX_SHARE, period: int = PERIOD) -> dict:
+def capped_shares(counts: dict, max_share: float = 1.0) -> dict:
     """Exact share of each source: its share of rows, none above ``max_share``.
 
     What the capped sources give up goes to the others in proportion.  With
     too few sources for the cap, they share equally.
     """
     total = sum(counts.values())
-    if len(counts) > period:
-        raise ValueError(f"{len(counts)} sources; a period has {period} slots")
     if not total:
         return {}
     cap = max(Fraction(max_share), Fraction(1, len(counts)))
@@ -67,9 +68,11 @@ def capped_shares(counts: dict, max_share: float = MAX_SHARE, period: int = PERI
     return share
 
 
-def capped_weights(counts: dict, max_share: float = MAX_SHARE, period: int = PERIOD) -> dict:
-    """``capped_shares`` as whole slots of a period."""
-    share = capped_shares(counts, max_share, period)
+def capped_weights(counts: dict, max_share: float = 1.0, period: int = PERIOD) -> dict:
+    """``capped_shares`` as whole slots of a period, which has one for each source at least."""
+    if len(counts) > period:
+        raise ValueError(f"{len(counts)} sources; a period has {period} slots")
+    share = capped_shares(counts, max_share)
     return whole_slots(share, period) if share else {}
 
 
@@ -212,21 +215,21 @@ class Schedule:
 
 
 def mix_sources(df: DataFrame, source: str = "source", key: str = "doc_id", weights: dict | None = None,
-                max_share: float = MAX_SHARE, period: int = PERIOD, block_rows: int = BLOCK_ROWS,
+                max_share: float = 1.0, period: int = PERIOD, block_rows: int = BLOCK_ROWS,
                 seed: int = 9) -> DataFrame:
     """``df`` with the block, its window, its slot, ``position`` and ``in_mix`` of each row.
 
-    ``weights``: target weight of each source (any positive numbers); without
-    it, ``capped_weights``.  ``position`` orders the mix; ``in_mix`` is false
+    ``weights``: target weight of each source (any positive numbers); without it, its
+    share of the rows, none above ``max_share``.  ``position`` orders the mix; ``in_mix`` is false
     for surplus rows, and for rows of sources without a weight.
     """
     spark = df.sparkSession
-    df = df.drop(*[c for c in df.columns if c.lower() in OUTPUT])
+    df, names = shielded(df.drop(*[c for c in df.columns if c.lower() in OUTPUT]))
+    source, key = names[source], names[key]
     sizes = df.groupBy(F.col(source).alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    # one row for each source; more sources than slots are an error, so this is bounded
-    counts = {r.s: r.n for r in sizes.limit(period + 1).collect()}
+    counts = {r.s: r.n for r in sizes.collect()}  # one row for each source
     if weights is None:
-        share = capped_shares(counts, max_share, period)
+        share = capped_shares(counts, max_share)
     else:
         share = {s: Fraction(str(w)) for s, w in weights.items() if w > 0 and counts.get(s)}
         share = {s: x / sum(share.values()) for s, x in share.items()}
@@ -268,7 +271,9 @@ def mix_sources(df: DataFrame, source: str = "source", key: str = "doc_id", weig
     ranked = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
     numbered, _ = number_rows(ranked, [source, "_h", key], "_n", "mix")
     whole_number = "cast(block as decimal(19,0))"
-    rows = (numbered.join(F.broadcast(base), F.col(source).eqNullSafe(F.col("_s")))
+    if len(starts) <= PERIOD:
+        base = F.broadcast(base)
+    rows = (numbered.join(base, F.col(source).eqNullSafe(F.col("_s")))
             .withColumn("source_row", F.col("_n") - F.col("_start"))
             .withColumn("block", F.expr(f"source_row div {block_rows}"))
             # Spark takes the schedule for a small table, but it has a row for each block
@@ -279,8 +284,7 @@ def mix_sources(df: DataFrame, source: str = "source", key: str = "doc_id", weig
             .withColumn("slot", F.expr("coalesce(_t, _after + block - _placed)"))
             .withColumn("position", F.expr(f"slot * {block_rows} + source_row % {block_rows}"))
             .withColumn("in_mix", F.coalesce(F.col("_whole") | (F.col("slot") < F.lit(int(horizon))), F.lit(False))))
-    return rows.drop("_h", "_n", "_s", "_start", "_source", "_num", "_den", "_placed", "_after", "_whole",
-                     "_ps", "_b", "_t")
+    return bare(rows, names, *OUTPUT)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -65,9 +65,9 @@ def test_the_mix_holds_its_targets(spark):
     sizes = {"a": 400, "b": 100, None: 60, "c": 45}
     df = spark.createDataFrame([(n, s) for n, s in enumerate(s for s, k in sizes.items() for _ in range(k))],
                                "doc_id long, source string").repartition(4)
-    rows = mixing.mix_sources(df, period=1000).collect()
+    rows = mixing.mix_sources(df, max_share=0.25, period=1000).collect()
     assert len(rows) == 605 and len({r.position for r in rows}) == 605
-    slots = mixing.capped_weights(sizes, period=1000)
+    slots = mixing.capped_weights(sizes, 0.25, 1000)
     mixed = sorted((r for r in rows if r.in_mix), key=lambda r: r.position)
     assert mixed and len(mixed) < 605
     blocks = Counter()
@@ -77,6 +77,29 @@ def test_the_mix_holds_its_targets(spark):
     assert max(r.slot for r in mixed) + 1 == sum(blocks.values())  # no slot is left out
 
 
+def test_without_targets_every_row_is_mixed(spark):
+    """Each source at its own share, also with few sources, and with more of them than a period has slots."""
+    sizes = {"a": 6000, "b": 3000, "c": 997, None: 3}
+    df = spark.createDataFrame([(n, s) for n, s in enumerate(s for s, k in sizes.items() for _ in range(k))],
+                               "doc_id long, source string").repartition(4)
+    rows = sorted(mixing.mix_sources(df).collect(), key=lambda r: r.position)
+    assert len(rows) == 10_000 and all(r.in_mix for r in rows) and len({r.position for r in rows}) == 10_000
+    seen = Counter()
+    for n, r in enumerate(rows, 1):
+        seen[r.source] += 1
+        if n % 500 == 0:
+            assert all(abs(seen[s] - k * n / 10_000) < 3 * mixing.BLOCK_ROWS for s, k in sizes.items())
+    many = spark.range(700).selectExpr("id as doc_id", "cast(id div 2 as string) as source")
+    assert mixing.mix_sources(many, period=100).where("in_mix").count() == 700
+
+
+def test_clashing_helper_columns_of_the_mix(spark, odd):
+    clash = odd.selectExpr("doc_id", "source", "1 as _s", "2 as _n", "3 as _h", "4 as _t", "5 as _whole", "6 as own_1")
+    out = mixing.mix_sources(clash)
+    assert out.columns == [*clash.columns, *mixing.OUTPUT]
+    assert {tuple(r)[2:8] for r in out.collect()} == {(1, 2, 3, 4, 5, 6)} and out.count() == odd.count()
+
+
 def test_a_given_weight_and_a_source_without_one(spark):
     df = spark.createDataFrame([(n, "ab"[n % 2]) for n in range(40)], "doc_id long, source string")
     rows = mixing.mix_sources(df, weights={"a": 1, "missing": 5}, period=10).collect()
@@ -109,7 +132,7 @@ def test_no_source_is_cut_by_rounding(spark, sizes):
     """With 300 slots a period, rounded weights ended the mix early."""
     df = spark.createDataFrame([(n, s) for n, s in enumerate(s for s, k in sizes.items() for _ in range(k))],
                                "doc_id long, source string").repartition(4)
-    rows = mixing.mix_sources(df, period=300).collect()
+    rows = mixing.mix_sources(df, max_share=0.25, period=300).collect()
     total = sum(sizes.values())
     assert len(rows) == total and len({r.position for r in rows}) == total
     kept, wanted = Counter(r.source for r in rows if r.in_mix), mixed_by_hand(sizes)
