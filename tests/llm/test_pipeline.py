@@ -3,7 +3,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from critrank.llm import mixing, simhash
+from critrank.llm import mixing
 
 from .test_decontamination import brute as contaminated
 from .test_simhash import brute_groups
@@ -41,8 +41,33 @@ def test_odd_and_empty_tables(spark, odd, none, stage):
 
 
 def test_near_copies_keeps_one_of_each_group(spark, odd, rows_of):
-    out = Counter(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, odd, SF).collect())
-    groups = brute_groups([r for r in rows_of(odd) if r[0] is not None])
-    assert {i for i in out if i is not None} == {g[2] for g in groups}
-    assert all(n == 1 for i, n in out.items() if i is not None) and out[None] == 2
-    assert simhash.near_groups(odd, 3, 2).count() == odd.count()
+    """The first row of a group by doc_id (nulls last) stays, whatever ids are missing or repeated."""
+    clash = odd.selectExpr("*", "1 as row", "2 as hash", "3 as no_id")
+    out = corpus_pipeline.drop_near_copies(spark, clash, SF)
+    assert out.columns == clash.columns
+    rows = sorted(rows_of(odd), key=lambda r: (r[0] is None, r[0] or 0))
+    groups = {g[2] for g in brute_groups([(n, t) for n, (_, t) in enumerate(rows)])}
+    assert Counter(r.doc_id for r in out.collect()) == Counter(rows[n][0] for n in groups)
+
+
+def test_different_texts_with_one_id_both_stay(spark):
+    df = spark.createDataFrame([(1, "a first text about one thing only"), (1, "some other words that differ in all ways"),
+                                (2, "a first text about one thing only"), (None, "a first text about one thing only"),
+                                (None, "nothing like the rest of them at all")], "doc_id long, text string")
+    for parts in (1, 3):
+        kept = corpus_pipeline.drop_near_copies(spark, df.repartition(parts), SF).collect()
+        assert sorted((str(r.doc_id), r.text[:7]) for r in kept) == [("1", "a first"), ("1", "some ot"), ("None", "nothing")]
+
+
+def test_shard_needs_no_other_column(spark):
+    df = spark.createDataFrame([(n, f"text {n}", "mine", n) for n in range(90)], "doc_id long, text string, _text_hash string, text_hash long")
+    out = corpus_pipeline.shard(spark, df, SF)
+    assert out.columns == [*df.columns, "row_number", "shard", "slot"]
+    assert sorted((r.doc_id, r._text_hash, r.text_hash) for r in out.collect()) == [(n, "mine", n) for n in range(90)]
+
+
+def test_mixing_keeps_all_rows_in_the_order_of_the_mix(spark, small):
+    out = corpus_pipeline.mix(spark, small, SF)
+    order = [r.doc_id for r in out.collect()]
+    want = [r.doc_id for r in sorted(mixing.mix_sources(small).collect(), key=lambda r: r.position)]
+    assert order == want and len(order) == small.count()
