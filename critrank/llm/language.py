@@ -115,10 +115,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int =
     """Fit a model on at most ``sample_rows`` of ``docs`` (doc_id, text, lang)."""
     rows = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang")
     ids = labelled_ids(rows, "lang", per_language, seed)
-    if ids.limit(sample_rows + 1).count() > sample_rows:  # very many languages: fewer of each
+    few = ids.limit(sample_rows + 1).count() <= sample_rows
+    if not few:  # very many languages: fewer of each
         ids = labelled_ids(rows, "lang", max(1, sample_rows // rows.select("lang").distinct().count()), seed)
-    # sample_rows ids at most, or one for each language; Spark broadcasts them if they are small
     chosen = ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    if few:  # sample_rows ids at most; else one for each language, and Spark chooses the join
+        chosen = F.broadcast(chosen)
 
     def vectors(batches):
         for batch in batches:
