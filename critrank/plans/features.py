@@ -26,6 +26,7 @@ equals a rebuild, without reading the old texts (tests hold it to that).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -37,7 +38,8 @@ from critrank.functions import vectors as vx
 from critrank.operators import bm25, criteria, rerank, rules
 from critrank.operators import vectors as vops
 from critrank.operators.postings import PostingsIndex
-from critrank.session import materialize
+from critrank.session import materialize, scratch_path
+from critrank.sources.bucketed import write_bucketed
 
 PROFILE = ("title", "years", "open_to_work", "response_rate")
 
@@ -147,6 +149,25 @@ def build_features(cands: DataFrame, catalog: Catalog, embeddings: DataFrame | N
     return materialize(finish_features(rows, catalog, index, embeddings, emb_id, emb_col, dim_vectors), "features")
 
 
+def build_bucketed(cands: DataFrame, catalog: Catalog, table: str, buckets: int, embeddings: DataFrame | None = None,
+                   emb_id: str = "vec_id", emb_col: str = "embedding", dim_vectors: DataFrame | None = None,
+                   index: PostingsIndex | None = None, path: str | None = None, **columns) -> DataFrame:
+    """``build_features`` into a table bucketed by doc_id, for joins that leave it in place.
+
+    Candidates are dealt out once, as narrow partials.  Where ``embeddings`` is a table
+    with as many buckets (``sources.bucketed``), neither its join nor the write shuffles;
+    any other is shuffled alone.  Later joins (``ranking.attach``) move survivors only.
+    ``columns`` go to ``partials``.  ``path`` makes an external table there.
+    """
+    rows = partials(cands, catalog, with_terms=index is None, **columns)
+    staged = f"{table}_partials_{uuid.uuid4().hex}"
+    rows = write_bucketed(rows, staged, "doc_id", buckets, scratch_path(cands.sparkSession, "partials"))
+    feats = finish_features(rows, catalog, index, embeddings, emb_id, emb_col, dim_vectors)
+    found = write_bucketed(feats, table, "doc_id", buckets, path)
+    cands.sparkSession.sql(f"DROP TABLE {staged}")  # its files go with the other temporary tables
+    return found
+
+
 def write_features(feats: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Persist sorted by id within files, so id lookups prune row groups."""
     feats.sortWithinPartitions("doc_id").write.mode(mode).parquet(path)

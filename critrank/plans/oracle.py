@@ -327,6 +327,7 @@ LEFT JOIN mapped m ON m.jd_id = j.jd_id AND m.ordinal = anc.ordinal"""
     src = _with(o.sources())
     q["source_fusion"] = src + ("\nSELECT doc_id, dim, round(e, 6) AS embedding, round(b, 6) AS bm25, "
                                 "round(s, 6) AS structured, round(f, 6) AS fused FROM fused")
+    q["features_bucketed"] = q["source_fusion"]
     q["confidence"] = src + CONFIDENCE_TAIL
     q["source_outer"] = src + """
 SELECT doc_id, dim, round(CASE WHEN e > 0 THEN e ELSE 0.0 END, 6) AS embedding,

@@ -8,6 +8,7 @@ decimals so that engines summing in different orders still agree.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ from critrank.plans import features, ranking, tables
 from critrank.plans.nested import nested_candidates, raw_records
 from critrank.session import materialize, scratch_path
 from critrank.sources import io
+from critrank.sources.bucketed import write_bucketed
 from critrank.sources.schemas import CANDIDATE_JSON_SCHEMA
 
 CAT = probe_catalog()
@@ -271,8 +273,7 @@ def _source_table(spark, sf) -> DataFrame:
     return vops.dimension_scores(f, tables.dimension_vectors(spark, sf, N), N, "embedding")
 
 
-def q_source_fusion(spark, sf):
-    s = _source_table(spark, sf)
+def _fused_long(s):
     s = s.withColumn("fused", fusion.fused(F.col("emb_scores"), F.col("bm25"),
                                            F.col("structured"), CAT))
     long = _dims_long(s, ["doc_id"], {"e": "emb_scores", "b": "bm25", "s": "structured",
@@ -281,6 +282,22 @@ def q_source_fusion(spark, sf):
                        _r("s").alias("structured"), _r("fused").alias("fused"))
 
 
+def q_source_fusion(spark, sf):
+    return _fused_long(_source_table(spark, sf))
+
+
+def q_features_bucketed(spark, sf):
+    """The fused scores of features built from, and into, tables bucketed by id."""
+    name = "critrank_" + uuid.uuid4().hex
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    emb = write_bucketed(tables.embeddings(spark, sf).where("vec_id IS NOT NULL"), name + "_emb", "vec_id", buckets,
+                         scratch_path(spark, "embeddings"))
+    feats = features.build_bucketed(tables.candidates(spark, sf), CAT, name, buckets, embeddings=emb,
+                                    dim_vectors=tables.dimension_vectors(spark, sf, N),
+                                    path=scratch_path(spark, "features-bucketed"))
+    return _fused_long(feats.withColumnRenamed("emb", "emb_scores"))
+
+
 def q_confidence(spark, sf):
     s = _source_table(spark, sf)
     long = _dims_long(s, ["doc_id"], {"e": "emb_scores", "b": "bm25", "s": "structured"})
@@ -489,6 +506,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hash_encode": q_hash_encode,
     "pair_overlap": q_pair_overlap,
     "source_fusion": q_source_fusion,
+    "features_bucketed": q_features_bucketed,
     "confidence": q_confidence,
     "source_outer": q_source_outer,
     "rank_jd_vectors": q_rank_jd_vectors,
