@@ -5,8 +5,9 @@ hashes.  Copies collapse to one fingerprint.  The distinct fingerprints form a
 binary trie; two of its nodes are walked together, the differing bits of their
 paths add up, and a pair is left as soon as they exceed the error budget.  The
 first levels are walked by Spark: a subtree meets every subtree whose prefix
-differs in few enough bits, one task for each such pair.  Below, the walk runs
-level by level over arrays of node pairs.  A task passes on a spanning forest
+differs in few enough bits, one task for each such pair; a pair with a crowded side
+is walked deeper by Spark first.  Below, the walk runs level by level over arrays of
+node pairs.  A task passes on a spanning forest
 of the links it found, which loses no component.
 
 Defined results: a null or empty text has fingerprint zero and links like any
@@ -32,6 +33,10 @@ from .common import blocks, components, save
 BITS = 64
 #: Distinct fingerprints that a subtree has on average.
 SUBTREE = 4096
+#: Levels that a crowded pair of subtrees goes deeper at once.
+STEP = 8
+#: Places in which the rows of one crowded pair are found.
+SALTS = 16
 _POPCOUNT = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
@@ -131,26 +136,78 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def links(prints: DataFrame, budget: int) -> DataFrame:
-    """(a, b): links that connect the distinct fingerprints ``fp`` within ``budget`` bits."""
-    n = prints.count()
-    depth = max(1, min(24, (max(1, n // SUBTREE)).bit_length()))
-    flips = [0] + [sum(1 << k for k in c) for r in range(1, budget + 1) for c in combinations(range(depth), r)]
+def _children(fp: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int, deeper: int, budget: int):
+    """(rows, low, high): the pairs at depth ``deeper`` that each row of the pairs (low, high) at ``depth`` is in.
 
-    def meet(batches):
-        """Each fingerprint goes to the pairs of its subtree with every near one."""
+    A subtree meets every subtree of the other side whose path differs in ``budget`` bits at most.
+    """
+    step = deeper - depth
+    own = fp >> np.uint64(BITS - deeper)
+    used = popcount(low ^ high)
+    across = (low ^ high) << np.uint64(step) if depth else np.zeros(len(fp), np.uint64)
+    for r in range(budget + 1):
+        rows = np.flatnonzero(used + r <= budget)
+        for bits in combinations(range(step), r):
+            other = own[rows] ^ across[rows] ^ np.uint64(sum(1 << k for k in bits))
+            yield rows, np.minimum(own[rows], other), np.maximum(own[rows], other)
+
+
+def _spread(held: DataFrame, depth: int, deeper: int, budget: int) -> DataFrame:
+    """Rows (low, high, fp) of pairs at ``depth``, dealt out to the pairs at ``deeper``."""
+
+    def run(batches):
         for batch in batches:
-            fp = batch.column("fp").to_numpy().view(np.uint64)
-            prefix = (fp >> np.uint64(BITS - depth)).astype(np.int64)
-            for flip in flips:
-                other = prefix ^ flip
-                low, high = np.minimum(prefix, other), np.maximum(prefix, other)
-                yield pa.record_batch({"pair": pa.array(low << depth | high), "fp": batch.column("fp")})
+            low, high, fp = (batch.column(c).to_numpy().view(np.uint64) for c in ("low", "high", "fp"))
+            for rows, a, b in _children(fp, low, high, depth, deeper, budget):
+                yield pa.record_batch({"low": pa.array(a.view(np.int64)), "high": pa.array(b.view(np.int64)),
+                                       "fp": pa.array(fp[rows].view(np.int64))})
+
+    return held.mapInArrow(run, "low long, high long, fp long")
+
+
+def _crowded(held: DataFrame, depth: int, deeper: int, budget: int, most: int) -> DataFrame:
+    """(low, high): the pairs at ``deeper`` with a subtree of over ``most`` rows."""
+    sides = (held.withColumn("own", F.shiftrightunsigned("fp", BITS - deeper))
+             .groupBy("low", "high", "own").count().where(F.col("count") > most)
+             .select("low", "high", F.shiftleft("own", BITS - deeper).alias("fp")))
+    return _spread(sides, depth, deeper, budget).select("low", "high").distinct()
+
+
+def links(prints: DataFrame, budget: int, subtree: int | None = None) -> DataFrame:
+    """(a, b): links that connect the distinct fingerprints ``fp`` within ``budget`` bits.
+
+    Subtrees hold ``subtree`` (``SUBTREE``) fingerprints on average.  A pair of which one
+    side holds over twice as many goes ``STEP`` levels deeper, until its sides are small,
+    so a pair is 4 x ``subtree`` fingerprints at most, however many share a prefix.
+    """
+    subtree = subtree or SUBTREE
+    root = F.lit(0).cast("long")
+    depth, held, found = 0, prints.select(root.alias("low"), root.alias("high"), "fp"), None
+    deeper = max(1, (prints.count() // subtree).bit_length())
+    while True:
+        rows = _spread(held, depth, deeper, budget)
+        crowded = save(_crowded(held, depth, deeper, budget, 2 * subtree), "simhash-crowded") if deeper < BITS else None
+        done = crowded is None or crowded.isEmpty()
+        if not done:
+            # a pair's rows may be a third of all: they meet its one row in SALTS places
+            salted = rows.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+            marks = crowded.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
+            keys = ["low", "high", "salt"]
+            rows = salted.join(marks, keys, "left_anti").drop("salt")
+            held = save(salted.join(marks, keys, "left_semi").drop("salt"), "simhash-deeper")
+        some = _subtree_links(rows, deeper, budget)
+        found = some if found is None else found.unionByName(some)
+        if done:
+            return found
+        depth, deeper = deeper, min(BITS, deeper + STEP)
+
+
+def _subtree_links(rows: DataFrame, depth: int, budget: int) -> DataFrame:
+    """(a, b): a spanning forest of the links of each pair (low, high) of subtrees at ``depth``."""
 
     def join(key, table):
         fp = np.sort(table.column("fp").to_numpy().view(np.uint64))
-        pair = int(key[0].as_py())
-        low, high = pair >> depth, pair & ((1 << depth) - 1)
+        low, high = (k.as_py() & (1 << BITS) - 1 for k in key)
         if low == high:
             i, j = trie_links(fp, None, 0, depth, budget)
         else:
@@ -160,8 +217,7 @@ def links(prints: DataFrame, budget: int) -> DataFrame:
         k = forest(i, j, len(fp))
         return pa.table({"a": pa.array(fp[i[k]].view(np.int64)), "b": pa.array(fp[j[k]].view(np.int64))})
 
-    return prints.select("fp").mapInArrow(meet, "pair long, fp long").groupBy("pair").applyInArrow(
-        join, "a long, b long")
+    return rows.groupBy("low", "high").applyInArrow(join, "a long, b long")
 
 
 def near_groups(docs: DataFrame, n: int, budget: int) -> DataFrame:

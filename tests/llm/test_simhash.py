@@ -82,3 +82,39 @@ def test_links_through_spark_subtrees(spark, monkeypatch):
     near = {(a, b) for a in signed for b in signed if a != b and bin((a ^ b) & (2**64 - 1)).count("1") <= 2}
     assert {frozenset(p) for p in got} <= {frozenset(p) for p in near}
     assert {x for p in got for x in p} == {x for p in near for x in p}
+
+
+def test_subtrees_deepen_by_their_own_count(spark, monkeypatch):
+    """Nearly all fingerprints share a prefix of 44 bits: no pair stays large, no component is lost."""
+    r = random.Random(7)
+    fp = {0xF3A5_0000_0001_2000 | r.getrandbits(13) for _ in range(500)}
+    fp |= {x ^ (1 << r.randrange(64)) for x in list(fp)[:60]} | {r.getrandbits(64) for _ in range(40)} | {0, 2**64 - 1}
+    signed = [x - (1 << 64) if x >> 63 else x for x in sorted(fp)]
+    sizes, whole = [], simhash._subtree_links
+
+    def watched(rows, depth, budget):
+        sizes.append((depth, rows.groupBy("low", "high").count().agg({"count": "max"}).first()[0] or 0))
+        return whole(rows, depth, budget)
+    monkeypatch.setattr(simhash, "_subtree_links", watched)
+    table = spark.createDataFrame([(x,) for x in signed], "fp long")
+    monkeypatch.setattr(simhash, "STEP", 24)  # fewer rounds
+    got = {(x.a, x.b) for x in simhash.links(table, 2, subtree=16).collect()}
+    assert max(n for _, n in sizes) <= 64 and max(d for d, _ in sizes) > 44
+    near = {(a, b) for i, a in enumerate(signed) for b in signed[:i] if bin((a ^ b) & (2**64 - 1)).count("1") <= 2}
+    assert {frozenset(p) for p in got} <= {frozenset(p) for p in near}
+    assert groups_of(got) == groups_of(near)
+
+
+def groups_of(pairs):
+    top = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+    for a, b in pairs:
+        top[find(a)] = find(b)
+    found = {}
+    for x in list(top):
+        found.setdefault(find(x), set()).add(x)
+    return sorted(sorted(g) for g in found.values())
