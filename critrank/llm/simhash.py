@@ -33,8 +33,6 @@ from .common import blocks, components, save
 BITS = 64
 #: Distinct fingerprints that a subtree has on average.
 SUBTREE = 4096
-#: Levels that a crowded pair of subtrees goes deeper at once.
-STEP = 8
 #: Places in which the rows of one crowded pair are found.
 SALTS = 16
 _POPCOUNT = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
@@ -165,30 +163,33 @@ def _spread(held: DataFrame, depth: int, deeper: int, budget: int) -> DataFrame:
     return held.mapInArrow(run, "low long, high long, fp long")
 
 
-def _crowded(held: DataFrame, depth: int, deeper: int, budget: int, most: int) -> DataFrame:
-    """(low, high): the pairs at ``deeper`` with a subtree of over ``most`` rows."""
-    sides = (held.withColumn("own", F.shiftrightunsigned("fp", BITS - deeper))
-             .groupBy("low", "high", "own").count().where(F.col("count") > most)
-             .select("low", "high", F.shiftleft("own", BITS - deeper).alias("fp")))
-    return _spread(sides, depth, deeper, budget).select("low", "high").distinct()
+def _crowded(held: DataFrame, depth: int, deeper: int, budget: int, most: int) -> tuple[DataFrame, int]:
+    """((low, high): the pairs at ``deeper`` with a subtree of over ``most`` rows, the rows of the largest one or 0)."""
+    sides = save(held.withColumn("own", F.shiftrightunsigned("fp", BITS - deeper))
+                 .groupBy("low", "high", "own").count().where(F.col("count") > most)
+                 .select("low", "high", F.shiftleft("own", BITS - deeper).alias("fp"), "count"), "simhash-crowded")
+    pairs = _spread(sides.drop("count"), depth, deeper, budget).select("low", "high").distinct()
+    return pairs, sides.agg(F.max("count")).first()[0] or 0
 
 
 def links(prints: DataFrame, budget: int, subtree: int | None = None) -> DataFrame:
     """(a, b): links that connect the distinct fingerprints ``fp`` within ``budget`` bits.
 
     Subtrees hold ``subtree`` (``SUBTREE``) fingerprints on average.  A pair of which one
-    side holds over twice as many goes ``STEP`` levels deeper, until its sides are small,
-    so a pair is 4 x ``subtree`` fingerprints at most, however many share a prefix.
+    side holds over twice as many goes deeper, by the levels that the largest side would
+    need if it were spread evenly, until all sides are small.  So a pair is 4 x
+    ``subtree`` fingerprints at most, however many share a prefix.
     """
     subtree = subtree or SUBTREE
     root = F.lit(0).cast("long")
     depth, held, found = 0, prints.select(root.alias("low"), root.alias("high"), "fp"), None
-    deeper = max(1, (prints.count() // subtree).bit_length())
+    largest = prints.count()
     while True:
+        # a side at the last level but one is two fingerprints at most, never crowded
+        deeper = min(BITS - 1, depth + max(1, (largest // subtree).bit_length()))
         rows = _spread(held, depth, deeper, budget)
-        crowded = save(_crowded(held, depth, deeper, budget, 2 * subtree), "simhash-crowded") if deeper < BITS else None
-        done = crowded is None or crowded.isEmpty()
-        if not done:
+        crowded, largest = _crowded(held, depth, deeper, budget, 2 * subtree)
+        if largest:
             # a pair's rows may be a third of all: they meet its one row in SALTS places
             salted = rows.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
             marks = crowded.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
@@ -197,9 +198,9 @@ def links(prints: DataFrame, budget: int, subtree: int | None = None) -> DataFra
             held = save(salted.join(marks, keys, "left_semi").drop("salt"), "simhash-deeper")
         some = _subtree_links(rows, deeper, budget)
         found = some if found is None else found.unionByName(some)
-        if done:
+        if not largest:
             return found
-        depth, deeper = deeper, min(BITS, deeper + STEP)
+        depth = deeper
 
 
 def _subtree_links(rows: DataFrame, depth: int, budget: int) -> DataFrame:

@@ -85,10 +85,10 @@ def test_links_through_spark_subtrees(spark, monkeypatch):
 
 
 def test_subtrees_deepen_by_their_own_count(spark, monkeypatch):
-    """Nearly all fingerprints share a prefix of 44 bits: no pair stays large, no component is lost."""
+    """Nearly all fingerprints share a prefix of 12 bits: no pair stays large, no component is lost."""
     r = random.Random(7)
-    fp = {0xF3A5_0000_0001_2000 | r.getrandbits(13) for _ in range(500)}
-    fp |= {x ^ (1 << r.randrange(64)) for x in list(fp)[:60]} | {r.getrandbits(64) for _ in range(40)} | {0, 2**64 - 1}
+    fp = {0xF3A << 52 | r.getrandbits(6) << 46 | r.getrandbits(3) for _ in range(220)}
+    fp |= {x ^ (1 << r.randrange(64)) for x in sorted(fp)[:30]} | {r.getrandbits(64) for _ in range(20)} | {0, 2**64 - 1}
     signed = [x - (1 << 64) if x >> 63 else x for x in sorted(fp)]
     sizes, whole = [], simhash._subtree_links
 
@@ -97,9 +97,8 @@ def test_subtrees_deepen_by_their_own_count(spark, monkeypatch):
         return whole(rows, depth, budget)
     monkeypatch.setattr(simhash, "_subtree_links", watched)
     table = spark.createDataFrame([(x,) for x in signed], "fp long")
-    monkeypatch.setattr(simhash, "STEP", 24)  # fewer rounds
     got = {(x.a, x.b) for x in simhash.links(table, 2, subtree=16).collect()}
-    assert max(n for _, n in sizes) <= 64 and max(d for d, _ in sizes) > 44
+    assert max(n for _, n in sizes) <= 64 and max(d for d, _ in sizes) > 12
     near = {(a, b) for i, a in enumerate(signed) for b in signed[:i] if bin((a ^ b) & (2**64 - 1)).count("1") <= 2}
     assert {frozenset(p) for p in got} <= {frozenset(p) for p in near}
     assert groups_of(got) == groups_of(near)
@@ -118,3 +117,11 @@ def groups_of(pairs):
     for x in list(top):
         found.setdefault(find(x), set()).add(x)
     return sorted(sorted(g) for g in found.values())
+
+
+def test_deepest_subtrees_still_link(spark):
+    """With subtrees of one fingerprint the walk goes down to the last level but one."""
+    signed = [0, 1, 2, 3, 4, 8, 256, 2**40 + 112]
+    table = spark.createDataFrame([(x,) for x in signed], "fp long")
+    got = {(x.a, x.b) for x in simhash.links(table, 2, subtree=1).collect()}
+    assert groups_of(got) == [[0, 1, 2, 3, 4, 8, 256]]
