@@ -69,6 +69,33 @@ def deal(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
 
 
+def deal_ascending(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``deal``, with the keys of a bucket in ascending order."""
+    order = np.argsort(keys, kind="stable")
+    inner, starts = deal(keys[order], buckets)
+    return order[inner], starts
+
+
+def squeeze(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Ascending keys of one bucket, as few bits as their largest step needs.
+
+    A bucket knows a key by its quotient, and a quotient by its step from the one before.
+    """
+    steps = np.diff(keys // np.uint64(buckets), prepend=np.uint64(0))
+    width = max(1, int(steps.max(initial=0)).bit_length())
+    bits = np.unpackbits(steps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little", count=width)
+    return np.concatenate(([np.uint8(width)], np.packbits(bits.ravel(), bitorder="little")))
+
+
+def expand(packed: np.ndarray, n: int) -> np.ndarray:
+    """The quotients of ``n`` squeezed keys: equal for equal keys of a bucket."""
+    width = int(packed[0])
+    bits = np.unpackbits(packed[1:], bitorder="little", count=n * width).reshape(n, width)
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :(width + 7) // 8] = np.packbits(bits, axis=1, bitorder="little")
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
 def n_buckets(chunks: DataFrame) -> int:
     """A bucket for each chunk: its share of keys grows no more than a chunk's."""
     return max(partitions(chunks.sparkSession), chunks.count())
@@ -102,8 +129,11 @@ def answer(asked: DataFrame, buckets: int, reply: Callable[[list[int], list[byte
 
 
 def meet(chunks: DataFrame, answers: DataFrame, act: Callable[[int, Chunk, dict[int, bytes]], Iterator[pa.RecordBatch]],
-         schema: str) -> DataFrame:
-    """``act(chunk id, chunk, blob of each bucket)`` on every chunk with its answers."""
+         schema: str, parts: int | None = None) -> DataFrame:
+    """``act(chunk id, chunk, blob of each bucket)`` on every chunk with its answers.
+
+    ``parts``: the number of parts that chunks are dealt to (the session's unless given).
+    """
     kinds = chunks.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -116,4 +146,6 @@ def meet(chunks: DataFrame, answers: DataFrame, act: Callable[[int, Chunk, dict[
             out.extend(act(chunk, Chunk(blob.as_py()), own))
         return pa.Table.from_batches(out, schema=arrow) if out else arrow.empty_table()
 
+    if parts:
+        chunks, answers = chunks.repartition(parts, "chunk"), answers.repartition(parts, "chunk")
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, kinds)

@@ -1,25 +1,30 @@
-"""LM scoring: a weighted backoff automaton over bigrams.
+"""LM scoring: a weighted backoff automaton over trigrams.
 
-The text of a document is its words (A-Z in lower case) and one end.  Bigrams
-are smoothed with a Dirichlet prior towards the words' own probabilities:
+The text of a document is its words (A-Z in lower case) and one end.  Trigrams
+are smoothed with a Dirichlet prior towards bigrams, and those towards words:
 
-    P(v | u) = (c(uv) + PRIOR * P(v)) / (c(u) + PRIOR)
+    P(w | u v) = (c(uvw) + PRIORS[1] * P(w | v)) / (c(uv) + PRIORS[1])
+    P(w | v)   = (c(vw) + PRIORS[0] * P(w)) / (c(v) + PRIORS[0])
 
-with P(v) = (1 - m) c(v) / N for a word seen in training and m for all others,
-m being the share of words seen once.  In the automaton, every word seen is a
-state; a bigram seen is an arc with log10 P(v | u); any other word takes the
-state's failure arc, log10(PRIOR / (c(u) + PRIOR)), to the root and the root's
-arc log10 P(v) from there.  A walk from left to right carries the state, starts
-in the state of the end, and adds up the weights.
+with P(w) = (1 - m) c(w) / N for a word seen in training and m for all others,
+m being the share of words seen once.  In the automaton, every word and every
+bigram seen is a state.  A state's arc for a word that was seen after it has the
+log10 probability as its weight.  Without such an arc the walk takes the failure
+arc, from a bigram to its last word and from there to the root, which weighs
+log10(PRIOR / (c(state) + PRIOR)), and goes on from there; the root has an arc,
+log10 P(w), for any word.  An arc leads to the state of the longest seen suffix.
+A walk goes through a text from left to right, starts in the state of the end,
+carries the state from word to word, and adds up the weights.
 
 Counts are those of the whole corpus.  Chunks of documents ask for the counts
-of their own words and bigrams (``chunks``), and walk the part of the automaton
-that they were answered.  No vocabulary is gathered or broadcast, pruned or cut.
-
-Defined results: a null text is empty (its end is scored); without any training
-row no word is known, and every token has probability one as the unknown word;
-a null doc_id counts as the empty text; extra columns and repeated rows stay
-rows of their own.
+of their own words, bigrams and trigrams (``chunks``), and walk the part of the
+automaton that they were answered.  No vocabulary is gathered or broadcast, pruned
+or cut.
+
+Defined results: a null text is empty (its end is scored); a very long text is a
+chunk of its own; without any training row no word is known, and every token has
+probability one as the unknown word; a null doc_id counts as the empty text;
+extra columns and repeated rows stay rows of their own.
 """
 
 from __future__ import annotations
@@ -30,12 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Chunk, answer, ask, chunk_table, deal, meet, n_buckets
-from .common import flat_words, lower_ascii, mix, pack, save, unpack, word_hashes
+from .chunks import Chunk, answer, ask, chunk_table, deal_ascending, expand, meet, n_buckets, squeeze
+from .common import flat_words, lower_ascii, mix, pack, partitions, save, unpack, word_hashes
 from .linear import remainder
 
-#: Weight of a word's own probability, in observations of a context.
-PRIOR = 300.0
+#: Weight of the shorter context's probability, in observations of a context of one and of two words.
+PRIORS = (300.0, 300.0)
+CHUNK_BYTES = 12 << 20
+#: Chunks that a task of the walk has, about.
+CHUNKS_A_PART = 4
 #: No word has a line feed in it.
 _END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 _RESULT = pa.schema([("doc_id", pa.int64()), ("trained", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
@@ -43,20 +51,20 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("trained", pa.bool_()), ("n_tokens
 
 
 class Tokens:
-    """Tokens of a chunk, numbered, with its distinct words and bigrams.
+    """Tokens of a chunk, numbered, with its distinct words, bigrams and trigrams.
 
-    ``symbol``: token numbers, the end's last of each text; ``bounds``: where
-    texts start; ``hashes`` of words; ``pair`` and ``pair_hashes``: the bigram
-    that each token completes, the first token's with the end before it.
+    ``symbol``: token numbers, the end's last of each text; ``bounds``: where texts
+    start; ``pair``, ``triple``: the bigram and trigram that each token completes, a
+    text's first token a bigram with the end before it and no trigram (-1).
+    ``keys``: hashes of words, bigrams and trigrams.
     """
 
     def __init__(self, chunk: Chunk):
         offsets, words = flat_words(lower_ascii(chunk.texts))
         coded = words.dictionary_encode()
         n, rows = len(words), len(offsets) - 1
-        known = word_hashes(coded.dictionary)
-        end = len(known)
-        self.hashes = np.concatenate([known, [_END]]).astype(np.uint64)
+        end = len(coded.dictionary)
+        hashes = np.concatenate([word_hashes(coded.dictionary), [_END]]).astype(np.uint64)
         self.bounds = offsets + np.arange(rows + 1)
         self.symbol = np.full(n + rows, end, np.int64)
         row = np.repeat(np.arange(rows), np.diff(offsets))
@@ -64,7 +72,14 @@ class Tokens:
         before = np.concatenate(([end], self.symbol[:-1]))
         codes, self.pair = np.unique(before * (end + 1) + self.symbol, return_inverse=True)
         self.left, self.right = codes // (end + 1), codes % (end + 1)
-        self.pair_hashes = mix(self.hashes[self.left] * np.uint64(3) + mix(self.hashes[self.right]))
+        pair_hashes = mix(hashes[self.left] * np.uint64(3) + mix(hashes[self.right]))
+        self.triple = np.full(n + rows, -1, np.int64)
+        inner = np.flatnonzero(before != end)  # all but the first token of each text
+        codes, self.triple[inner] = np.unique(self.pair[inner - 1] * (end + 1) + self.symbol[inner], return_inverse=True)
+        self.context, last = codes // (end + 1), codes % (end + 1)
+        self.shorter = np.zeros(len(codes), np.int64)  # the bigram that a trigram ends in
+        self.shorter[self.triple[inner]] = self.pair[inner]
+        self.keys = (hashes, pair_hashes, mix(pair_hashes[self.context] * np.uint64(5) + mix(hashes[last])))
         self.row = np.repeat(np.arange(rows), np.diff(self.bounds))
 
 
@@ -74,68 +89,100 @@ def _narrow(x: np.ndarray) -> np.ndarray:
 
 
 def ask_counts(buckets: int):
-    """A chunk's words and bigrams, each with its count in the chunk's training rows."""
+    """A chunk's words, bigrams and trigrams, each with its count in the chunk's training rows."""
     def question(_, chunk):
         t = Tokens(chunk)
         trained = chunk.flag[t.row] > 0
-        words = np.bincount(t.symbol[trained], minlength=len(t.hashes))
-        pairs = np.bincount(t.pair[trained], minlength=len(t.pair_hashes))
-        (w_order, w_start), (p_order, p_start) = deal(t.hashes, buckets), deal(t.pair_hashes, buckets)
-        for b in np.flatnonzero(np.diff(w_start) + np.diff(p_start)):
-            w, p = w_order[w_start[b]:w_start[b + 1]], p_order[p_start[b]:p_start[b + 1]]
-            yield int(b), pack(t.hashes[w], _narrow(words[w]), t.pair_hashes[p], _narrow(pairs[p]))
+        grams = []
+        for keys, at in zip(t.keys, (t.symbol, t.pair, t.triple)):
+            grams.append((keys, np.bincount(at[trained & (at >= 0)], minlength=len(keys)), *deal_ascending(keys, buckets)))
+        for b in np.flatnonzero(sum(np.diff(starts) for *_, starts in grams)):
+            found = []
+            for keys, counts, order, starts in grams:
+                own = order[starts[b]:starts[b + 1]]
+                found += [squeeze(keys[own], buckets), _narrow(counts[own])]
+            yield int(b), pack(*found)
     return question
 
 
 def count(chunks: list[int], blobs: list[bytes]) -> list[tuple[int, bytes]]:
     """Corpus counts of a bucket's keys; for chunk -1, its tokens, words and words seen once."""
     parts, out, totals = [unpack(b) for b in blobs], [], None
-    for k in (0, 2):
-        keys, inverse = np.unique(np.concatenate([p[k] for p in parts]), return_inverse=True)
+    for k in (0, 2, 4):
+        keys, inverse = np.unique(np.concatenate([expand(p[k], len(p[k + 1])) for p in parts]), return_inverse=True)
         total = np.bincount(inverse, np.concatenate([p[k + 1] for p in parts]), len(keys)).astype(np.int64)
         if k == 0:
             totals = np.array([total.sum(), (total > 0).sum(), (total == 1).sum()])
-        out.append(np.split(total[inverse], np.cumsum([len(p[k]) for p in parts])[:-1]))
-    return [(c, pack(_narrow(w), _narrow(p))) for c, w, p in zip(chunks, *out)] + [(-1, pack(totals))]
+        out.append(np.split(total[inverse], np.cumsum([len(p[k + 1]) for p in parts])[:-1]))
+    return [(c, pack(*[_narrow(x) for x in found])) for c, *found in zip(chunks, *out)] + [(-1, pack(totals))]
 
 
 class Automaton:
-    """States, arcs and failure arcs between the words of a chunk.
+    """States, arcs and failure arcs between the n-grams of a chunk.
 
-    A state for each word with training count; ``arc``: weight of each bigram,
-    nan for one that was never seen; ``failure``: weight of each state's way to
-    the root, 0 for a word that is no state, after which the walk is at the root.
+    States are the root (0), words and bigrams, numbered in this order; those with
+    training count 0 are never entered.  ``failure``: weight of a state's failure arc,
+    ``back``: where it leads.  ``arcs``: weights of the arcs that complete a trigram, a
+    bigram and a word, nan for one that was never seen; ``seen``: states with a count.
     """
 
-    def __init__(self, words: np.ndarray, pairs: np.ndarray, left: np.ndarray, right: np.ndarray,
-                 total: int, once: int, prior: float = PRIOR):
+    def __init__(self, counts: list[np.ndarray], left: np.ndarray, right: np.ndarray, context: np.ndarray,
+                 shorter: np.ndarray, total: int, once: int, priors: tuple[float, float] = PRIORS):
+        words, pairs, triples = counts
         unseen = (once + 0.5) / (total + 1) if total else 1.0
-        own = np.where(words > 0, (1 - unseen) * words / max(1, total), unseen)
-        self.root = np.log10(own)
-        self.failure = np.log10(prior / (words + prior))
+        root = np.where(words > 0, (1 - unseen) * words / max(1, total), unseen)
+        of_pair = (pairs + priors[0] * root[right]) / (words[left] + priors[0])
+        of_triple = (triples + priors[1] * of_pair[shorter]) / (pairs[context] + priors[1])
         with np.errstate(divide="ignore"):
-            self.arc = np.where(pairs > 0, np.log10((pairs + prior * own[right]) / (words[left] + prior)), np.nan)
-
-    def walk(self, symbols: np.ndarray, arcs: np.ndarray, start: int) -> np.ndarray:
-        """The weight of each step over ``symbols``; ``arcs``: the bigram of each step."""
-        state = np.concatenate(([start], symbols[:-1]))  # the state that a step starts in
-        direct = self.arc[arcs]
-        return np.where(np.isnan(direct), self.failure[state] + self.root[symbols], direct)
-
-
-def _score(buckets: int, total: int, words: int, once: int, prior: float):
+            self.arcs = (np.where(triples > 0, np.log10(of_triple), np.nan),
+                         np.where(pairs > 0, np.log10(of_pair), np.nan), np.log10(root))
+        self.words, self.pairs = 1, 1 + len(words)  # the first state of each kind
+        self.failure = np.log10(np.concatenate(([1.0], priors[0] / (words + priors[0]), priors[1] / (pairs + priors[1]))))
+        self.back = np.concatenate((np.zeros(self.pairs, np.int64), self.words + right))
+        self.seen = np.concatenate(([True], words > 0, pairs > 0))
+
+    def states(self, symbol: np.ndarray, pair: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The state after each step: that of its longest seen suffix; after an ``end``, the end's own."""
+        state = np.where(ends, self.words + symbol, self.pairs + pair)
+        for _ in self.arcs:
+            state = np.where(self.seen[state], state, self.back[state])
+        return state
+
+    def walk(self, symbol: np.ndarray, pair: np.ndarray, triple: np.ndarray, end: int) -> np.ndarray:
+        """The weight of each step of a walk that starts in the state of ``end``.
+
+        A state is the longest seen suffix, so the states that the walk carries are known
+        for all steps; failure arcs are then followed from each, until an arc fits.
+        """
+        after = self.states(symbol, pair, symbol == end)
+        first = self.words + end
+        at = np.concatenate(([first if self.seen[first] else 0], after[:-1]))
+        weight = np.zeros(len(symbol))
+        for kind, (arc, gram) in enumerate(zip(self.arcs, (triple, pair, symbol))):
+            lowest = (self.pairs, self.words, 0)[kind]  # states from here on have arcs of this kind
+            here = np.flatnonzero((at >= lowest) & (gram >= 0))
+            own = arc[gram[here]]
+            fits = ~np.isnan(own)
+            weight[here[fits]] += own[fits]
+            at[here[fits]] = -1  # the step is done
+            rest = here[~fits]
+            weight[rest] += self.failure[at[rest]]
+            at[rest] = self.back[at[rest]]
+        return weight
+
+
+def _score(buckets: int, total: int, words: int, once: int, priors: tuple[float, float]):
     def act(name, chunk, answers):
         t = Tokens(chunk)
-        (w_order, w_start), (p_order, p_start) = deal(t.hashes, buckets), deal(t.pair_hashes, buckets)
-        counts, pairs = np.zeros(len(t.hashes), np.int64), np.zeros(len(t.pair_hashes), np.int64)
+        dealt = [deal_ascending(keys, buckets) for keys in t.keys]
+        counts = [np.zeros(len(keys), np.int64) for keys in t.keys]
         for b, blob in answers.items():
-            w, p = unpack(blob)
-            counts[w_order[w_start[b]:w_start[b + 1]]] = w
-            pairs[p_order[p_start[b]:p_start[b + 1]]] = p
-        steps = Automaton(counts, pairs, t.left, t.right, total, once, prior).walk(
-            t.symbol, t.pair, len(t.hashes) - 1)  # every text starts in the state of the end before it
+            for own, (order, starts), found in zip(counts, dealt, unpack(blob)):
+                own[order[starts[b]:starts[b + 1]]] = found
+        model = Automaton(counts, t.left, t.right, t.context, t.shorter, total, once, priors)
+        steps = model.walk(t.symbol, t.pair, t.triple, len(counts[0]) - 1)  # each text starts where the one before ended
         rows = len(t.bounds) - 1
-        c = counts[t.symbol]
+        c = counts[0][t.symbol]
         base = np.log10((c + 1) / (total + words + 1))
         yield pa.RecordBatch.from_arrays([
             chunk.ids, pa.array(chunk.flag > 0), pa.array(np.diff(t.bounds)),
@@ -144,12 +191,12 @@ def _score(buckets: int, total: int, words: int, once: int, prior: float):
     return act
 
 
-def score(docs: DataFrame, trained, prior: float = PRIOR) -> DataFrame:
+def score(docs: DataFrame, trained, priors: tuple[float, float] = PRIORS) -> DataFrame:
     """(doc_id, trained, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     ``trained``: a column, true for the rows whose counts make the model.
     """
-    chunks = chunk_table(docs, F.coalesce(trained, F.lit(False)), name="scoring")
+    chunks = chunk_table(docs, F.coalesce(trained, F.lit(False)), CHUNK_BYTES, "scoring")
     buckets = n_buckets(chunks)
     answers = save(answer(ask(chunks, ask_counts(buckets)), buckets, count), "scoring-counts")
 
@@ -162,9 +209,9 @@ def score(docs: DataFrame, trained, prior: float = PRIOR) -> DataFrame:
     whole = (answers.where("chunk = -1").mapInArrow(totals, "n long, v long, once long")
              .agg(F.sum("n"), F.sum("v"), F.sum("once")).first())
     n, v, once = (int(x or 0) for x in whole)
-    return meet(chunks, answers.where("chunk >= 0"), _score(buckets, n, v, once, prior),
+    return meet(chunks, answers.where("chunk >= 0"), _score(buckets, n, v, once, priors),
                 "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, "
-                "base_score double, score double")
+                "base_score double, score double", max(partitions(docs.sparkSession), buckets // CHUNKS_A_PART))
 
 
 def digest(docs: DataFrame) -> DataFrame:
