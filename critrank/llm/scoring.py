@@ -40,7 +40,7 @@ from .common import flat_words, lower_ascii, mix, pack, partitions, save, unpack
 from .linear import remainder
 
 #: Weight of the shorter context's probability, in observations of a context of one and of two words.
-PRIORS = (300.0, 300.0)
+PRIORS = (1000.0, 10.0)
 CHUNK_BYTES = 12 << 20
 #: Chunks that a task of the walk has, about.
 CHUNKS_A_PART = 4
