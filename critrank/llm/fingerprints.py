@@ -16,10 +16,11 @@ text; extra columns make no difference.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import flat_words, partitions, shingle_hashes, word_hashes
@@ -27,7 +28,12 @@ from .common import flat_words, partitions, shingle_hashes, word_hashes
 WORDS = 5
 #: One in so many shingle hashes is retained.
 SCALE = 8
+#: Buckets of the order follow the bytes up to this number, which bounds their bounds (below 2 MB); then they grow.
 BYTES_A_BUCKET = 32 << 20
+BUCKETS = 10_000
+#: Rows looked at for each bound of a bucket, and the characters of a text that its place has.
+SAMPLE = 10
+HEAD = 16
 
 
 def sketches(texts: pa.Array, n: int = WORDS, scale: int = SCALE) -> list[np.ndarray]:
@@ -91,43 +97,58 @@ def fingerprint(df: DataFrame, text: str, into: str, n: int = WORDS, scale: int
     return df.mapInArrow(add, schema)
 
 
+def _place() -> Column:
+    """A string whose order is that of doc_id (a null first), length and text, as far as the text's head goes."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).bitwiseXOR(F.lit(-(1 << 63)))
+    return F.concat(F.lpad(F.hex(key), 16, "0"), F.lpad(F.hex(F.length("text").cast("long")), 8, "0"),
+                    F.substring("text", 1, HEAD))
+
+
+def _bounds(placed: DataFrame, low: str, rows: int, n: int) -> list[str]:
+    """At most n - 1 places above ``low`` that deal the rows to n buckets, from about ``SAMPLE`` * n of the places.
+
+    The sample only sets where buckets end; results don't depend on it.
+    """
+    every = max(1, rows // (SAMPLE * n))
+    seen = placed.where(F.pmod(F.xxhash64("place"), F.lit(every)) == 0).select("place").distinct()
+    found = sorted(r.place for r in seen.collect())
+    return sorted({found[k * len(found) // n] for k in range(1, n)} - {low}) if found else []
+
+
 def in_order(docs: DataFrame) -> DataFrame:
-    """Rows dealt to buckets of consecutive doc_id, each with the row after its last.
+    """Rows dealt to buckets of consecutive places, each with the row after its last.
 
-    Bucket bounds are doc_ids that occur; the rows of a bound go to their own
-    bucket and, as ``guard``, to the bucket before; the rows of the smallest
-    doc_id go to the last bucket too.  One shuffle of the texts, no global sort.
+    Bucket bounds are places that occur; the rows of a bound go to their own bucket
+    and, as ``guard``, to the bucket before; the rows of the smallest place go to the
+    last bucket too.  One shuffle of the texts, no global sort.  Rows of one doc_id, or
+    of none, are spread by length and head; a bucket is sorted by Spark and read as a
+    stream, so its size bounds no task's memory.
     """
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))  # a null comes first
-    keyed = rows.withColumn("key", key)
-    size = keyed.agg(F.sum(F.octet_length("text")).alias("b"), F.min("key").alias("low")).first()
-    n = max(partitions(spark), int((size.b or 0) // BYTES_A_BUCKET) + 1)
-    bounds: list[int] = []
-    if n > 1 and size.low is not None:
-        cuts = keyed.agg(F.percentile_approx("key", [k / n for k in range(1, n)], 20 * n)).first()[0]
-        bounds = sorted({c for c in cuts or [] if c > size.low})
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    placed = rows.withColumn("place", _place())
+    size = placed.agg(F.sum(F.octet_length("text")).alias("b"), F.min("place").alias("low"), F.count("*").alias("n")).first()
+    n = min(BUCKETS, max(partitions(docs.sparkSession), int((size.b or 0) // BYTES_A_BUCKET) + 1))
+    low = size.low
+    bounds = _bounds(placed, low, size.n, n) if n > 1 and size.n else []
     last = len(bounds)
 
     def deal(batches):
-        edge = np.array(bounds, np.int64)
         for batch in batches:
-            keys = batch.column("key").to_numpy()
-            own = np.searchsorted(edge, keys, side="right")
+            places = batch.column("place").to_pylist()
+            own = np.array([bisect_right(bounds, p) for p in places], np.int32)
             # the bucket before, for a bound; the last one, for the first document
-            before = np.where(keys == size.low, last, np.searchsorted(edge, keys, side="left"))
-            copy = np.flatnonzero((before != own) | (keys == size.low))
-            index = pa.array(np.concatenate([np.arange(len(keys)), copy]))
-            bucket = np.concatenate([own, before[copy]])
-            guard = np.concatenate([np.zeros(len(keys), bool), np.ones(len(copy), bool)])
-            taken = batch.take(index)
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(bucket.astype(np.int32)), pa.array(guard)],
+            first = np.array([p == low for p in places], bool)
+            before = np.where(first, last, np.array([bisect_left(bounds, p) for p in places], np.int32))
+            copy = np.flatnonzero((before != own) | first)
+            taken = batch.take(pa.array(np.concatenate([np.arange(len(places)), copy])))
+            bucket = np.concatenate([own, before[copy]]).astype(np.int32)
+            guard = np.concatenate([np.zeros(len(places), bool), np.ones(len(copy), bool)])
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(bucket), pa.array(guard)],
                                              names=[*taken.schema.names, "bucket", "guard"])
 
-    dealt = keyed.mapInArrow(deal, "doc_id long, text string, key long, bucket int, guard boolean")
+    dealt = placed.mapInArrow(deal, "doc_id long, text string, place string, bucket int, guard boolean")
     return (dealt.repartitionById(last + 1, F.col("bucket"))
-            .sortWithinPartitions("bucket", "guard", "key", F.length("text"), "text"))
+            .sortWithinPartitions("bucket", "guard", "place", "text"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -33,6 +33,21 @@ def test_digest(table, parts, request, rows_of, spark):
     assert Counter(tuple(r)[:7] for r in got) == expected(rows_of(df))
 
 
+def test_rows_without_an_id_are_spread(spark, rows_of, monkeypatch):
+    monkeypatch.setattr(fp, "BYTES_A_BUCKET", 3000)
+    rows = [(None, prose(k, 20 + k % 9)) for k in range(300)] + [(5, "same text here")] * 40 + [(-3, None), (9, "é" * 50)]
+    rows += [(k, prose(k, 12)) for k in range(-20, 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter(tuple(r)[:7] for r in fp.digest(df).collect()) == expected(rows_of(df))
+    dealt = fp.in_order(df).where("doc_id is null and not guard").groupBy("bucket").count().collect()
+    assert len(dealt) > 8 and max(r["count"] for r in dealt) < 150
+
+
+def test_few_buckets(small, rows_of, monkeypatch):
+    monkeypatch.setattr(fp, "BUCKETS", 2)
+    assert Counter(tuple(r)[:7] for r in fp.digest(small).collect()) == expected(rows_of(small))
+
+
 def test_one_row_and_none(spark, none):
     assert fp.digest(none).collect() == []
     one = fp.digest(spark.createDataFrame([(7, "a b c d e f g h")], "doc_id long, text string")).collect()
