@@ -36,18 +36,22 @@ class Chunk:
         self.texts = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(offsets), pa.py_buffer(text))
 
     @staticmethod
-    def of(table: pa.Table) -> bytes:
+    def of(table: pa.Table, level: int | None = None) -> bytes:
         texts = pc.fill_null(table.column("text").combine_chunks().cast(pa.large_string()), "")
         ids = table.column("doc_id").combine_chunks()
         lengths = pc.binary_length(texts).to_numpy().astype(np.int64)
         joined = join_words(np.array([0, len(texts)]), texts, "")[0].as_py()
         return pack(pc.fill_null(ids, 0).to_numpy().astype(np.int64), ids.is_valid().to_numpy(False).astype(np.uint8),
                     table.column("flag").to_numpy().astype(np.uint8), lengths,
-                    np.frombuffer(joined.encode(), np.uint8))
+                    np.frombuffer(joined.encode(), np.uint8), level=level)
 
 
-def chunk_table(docs: DataFrame, flag=None, size: int | None = None, name: str = "chunks") -> DataFrame:
-    """(chunk, blob): ``docs`` (doc_id, text) and a flag of each row, in blocks of ``size`` bytes (``CHUNK_BYTES``)."""
+def chunk_table(docs: DataFrame, flag=None, size: int | None = None, name: str = "chunks",
+                level: int | None = None) -> DataFrame:
+    """(chunk, blob): ``docs`` (doc_id, text) and a flag of each row, in blocks of ``size`` bytes (``CHUNK_BYTES``).
+
+    ``level``: of compression.
+    """
 
     size = size or CHUNK_BYTES
     flag = F.lit(False) if flag is None else flag
@@ -55,7 +59,7 @@ def chunk_table(docs: DataFrame, flag=None, size: int | None = None, name: str =
     def run(batches):
         part = TaskContext.get().partitionId()
         for k, table in enumerate(blocks(batches, "text", size)):
-            yield pa.record_batch([pa.array([part << 32 | k]), pa.array([Chunk.of(table)], pa.binary())],
+            yield pa.record_batch([pa.array([part << 32 | k]), pa.array([Chunk.of(table, level)], pa.binary())],
                                   names=["chunk", "blob"])
 
     return save(docs.select(F.col("doc_id").cast("long"), "text", flag.alias("flag"))

@@ -147,12 +147,12 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
         yield pa.Table.from_batches(held)
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of numbers as one compressed value."""
+def pack(*arrays: np.ndarray, level: int | None = None) -> bytes:
+    """Arrays of numbers as one compressed value (``level``: the codec's own unless given)."""
     head = ";".join(f"{a.dtype.str},{len(a)}" for a in arrays).encode()
     raw = len(head).to_bytes(4, "little") + head + b"".join(
         np.ascontiguousarray(a).tobytes() for a in arrays)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", level).compress(raw, asbytes=True)
 
 
 def unpack(value: bytes) -> list[np.ndarray]:

@@ -42,6 +42,8 @@ from .linear import remainder
 #: Weight of the shorter context's probability, in observations of a context of one and of two words.
 PRIORS = (1000.0, 10.0)
 CHUNK_BYTES = 12 << 20
+#: Chunks are written and shuffled once; a higher level than the other blobs' saves shuffle.
+ZSTD = 6
 #: Chunks that a task of the walk has, about.
 CHUNKS_A_PART = 4
 #: No word has a line feed in it.
@@ -63,24 +65,39 @@ class Tokens:
         offsets, words = flat_words(lower_ascii(chunk.texts))
         coded = words.dictionary_encode()
         n, rows = len(words), len(offsets) - 1
+        del words
         end = len(coded.dictionary)
         hashes = np.concatenate([word_hashes(coded.dictionary), [_END]]).astype(np.uint64)
         self.bounds = offsets + np.arange(rows + 1)
-        self.symbol = np.full(n + rows, end, np.int64)
-        row = np.repeat(np.arange(rows), np.diff(offsets))
-        self.symbol[np.arange(n) + row] = coded.indices.to_numpy()
-        before = np.concatenate(([end], self.symbol[:-1]))
-        codes, self.pair = np.unique(before * (end + 1) + self.symbol, return_inverse=True)
-        self.left, self.right = codes // (end + 1), codes % (end + 1)
-        pair_hashes = mix(hashes[self.left] * np.uint64(3) + mix(hashes[self.right]))
-        self.triple = np.full(n + rows, -1, np.int64)
-        inner = np.flatnonzero(before != end)  # all but the first token of each text
-        codes, self.triple[inner] = np.unique(self.pair[inner - 1] * (end + 1) + self.symbol[inner], return_inverse=True)
-        self.context, last = codes // (end + 1), codes % (end + 1)
-        self.shorter = np.zeros(len(codes), np.int64)  # the bigram that a trigram ends in
-        self.shorter[self.triple[inner]] = self.pair[inner]
-        self.keys = (hashes, pair_hashes, mix(pair_hashes[self.context] * np.uint64(5) + mix(hashes[last])))
-        self.row = np.repeat(np.arange(rows), np.diff(self.bounds))
+        self.row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(self.bounds))
+        self.symbol = np.full(n + rows, end, np.int32)
+        inner = np.ones(n + rows, bool)
+        inner[self.bounds[1:] - 1] = False
+        self.symbol[inner] = coded.indices.to_numpy()
+        del coded
+        inner = np.flatnonzero(np.concatenate(([False], self.symbol[:-1] != end)))  # all but the first token of a text
+        codes = np.concatenate(([end], self.symbol[:-1])) * np.int64(end + 1) + self.symbol
+        self.left, self.right, self.pair = _numbered(codes, end + 1)
+        codes = self.pair[inner - 1] * np.int64(end + 1) + self.symbol[inner]
+        self.context, last, triple = _numbered(codes, end + 1)
+        del codes
+        self.triple = np.full(n + rows, -1, np.int32)
+        self.triple[inner] = triple
+        self.shorter = np.zeros(len(last), np.int32)  # the bigram that a trigram ends in
+        self.shorter[triple] = self.pair[inner]
+        pair_hashes = mix(hashes[self.left] * np.uint64(3) + mix(hashes)[self.right])
+        self.keys = (hashes, pair_hashes, mix(pair_hashes[self.context] * np.uint64(5) + mix(hashes)[last]))
+
+
+def _numbered(codes: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both parts of each distinct code, left * base + right, and each code's number among them."""
+    order = np.argsort(codes)
+    ranked = codes[order]
+    new = np.concatenate((np.ones(min(1, len(codes)), bool), ranked[1:] != ranked[:-1]))
+    number = np.empty(len(codes), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    ranked = ranked[new]
+    return (ranked // base).astype(np.int32), (ranked % base).astype(np.int32), number
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
@@ -95,7 +112,9 @@ def ask_counts(buckets: int):
         trained = chunk.flag[t.row] > 0
         grams = []
         for keys, at in zip(t.keys, (t.symbol, t.pair, t.triple)):
-            grams.append((keys, np.bincount(at[trained & (at >= 0)], minlength=len(keys)), *deal_ascending(keys, buckets)))
+            counts = _narrow(np.bincount(at[trained & (at >= 0)], minlength=len(keys)))
+            grams.append((keys, counts, *deal_ascending(keys, buckets)))
+        del t, trained, at
         for b in np.flatnonzero(sum(np.diff(starts) for *_, starts in grams)):
             found = []
             for keys, counts, order, starts in grams:
@@ -131,14 +150,15 @@ class Automaton:
         words, pairs, triples = counts
         unseen = (once + 0.5) / (total + 1) if total else 1.0
         root = np.where(words > 0, (1 - unseen) * words / max(1, total), unseen)
-        of_pair = (pairs + priors[0] * root[right]) / (words[left] + priors[0])
-        of_triple = (triples + priors[1] * of_pair[shorter]) / (pairs[context] + priors[1])
-        with np.errstate(divide="ignore"):
-            self.arcs = (np.where(triples > 0, np.log10(of_triple), np.nan),
-                         np.where(pairs > 0, np.log10(of_pair), np.nan), np.log10(root))
+        pair = (pairs + priors[0] * root[right]) / (words[left] + priors[0])
+        triple = (triples + priors[1] * pair[shorter]) / (pairs[context] + priors[1])
+        for own, counted in ((pair, pairs), (triple, triples)):
+            own[counted == 0] = np.nan
+            np.log10(own, out=own)
+        self.arcs = (triple, pair, np.log10(root))
         self.words, self.pairs = 1, 1 + len(words)  # the first state of each kind
         self.failure = np.log10(np.concatenate(([1.0], priors[0] / (words + priors[0]), priors[1] / (pairs + priors[1]))))
-        self.back = np.concatenate((np.zeros(self.pairs, np.int64), self.words + right))
+        self.back = np.concatenate((np.zeros(self.pairs, np.int32), self.words + right))
         self.seen = np.concatenate(([True], words > 0, pairs > 0))
 
     def states(self, symbol: np.ndarray, pair: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -176,12 +196,15 @@ def _score(buckets: int, total: int, words: int, once: int, priors: tuple[float,
         t = Tokens(chunk)
         dealt = [deal_ascending(keys, buckets) for keys in t.keys]
         counts = [np.zeros(len(keys), np.int64) for keys in t.keys]
+        t.keys = ()
         for b, blob in answers.items():
             for own, (order, starts), found in zip(counts, dealt, unpack(blob)):
                 own[order[starts[b]:starts[b + 1]]] = found
+        del dealt
         model = Automaton(counts, t.left, t.right, t.context, t.shorter, total, once, priors)
         steps = model.walk(t.symbol, t.pair, t.triple, len(counts[0]) - 1)  # each text starts where the one before ended
         rows = len(t.bounds) - 1
+        del model
         c = counts[0][t.symbol]
         base = np.log10((c + 1) / (total + words + 1))
         yield pa.RecordBatch.from_arrays([
@@ -196,7 +219,7 @@ def score(docs: DataFrame, trained, priors: tuple[float, float] = PRIORS) -> Dat
 
     ``trained``: a column, true for the rows whose counts make the model.
     """
-    chunks = chunk_table(docs, F.coalesce(trained, F.lit(False)), CHUNK_BYTES, "scoring")
+    chunks = chunk_table(docs, F.coalesce(trained, F.lit(False)), CHUNK_BYTES, "scoring", level=ZSTD)
     buckets = n_buckets(chunks)
     answers = save(answer(ask(chunks, ask_counts(buckets)), buckets, count), "scoring-counts")
 
