@@ -73,3 +73,14 @@ def test_mixing_keeps_all_rows_each_part_in_the_order_of_the_mix(spark, small):
     rows = [(r.part, place[r.doc_id]) for r in out.withColumn("part", F.spark_partition_id()).collect()]
     assert len(rows) == small.count()
     assert all(a[1] < b[1] for a, b in zip(rows, rows[1:]) if a[0] == b[0])
+
+
+def test_row_numbers_follow_the_mix(spark, tmp_path):
+    """Ids come source by source; the numbers that shard and slot are made of don't."""
+    df = spark.createDataFrame([(n, f"text {n}", "a" if n < 400 else "b") for n in range(800)], "doc_id long, text string, source string")
+    corpus_pipeline.mix(spark, df, SF).write.parquet(path := str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(path)
+    stored = [r.doc_id for r in mixed.select("doc_id", "_metadata.file_path", "_metadata.row_index").orderBy("file_path", "row_index").collect()]
+    out = sorted(corpus_pipeline.shard(spark, mixed, SF).collect(), key=lambda r: r.row_number)
+    assert [r.doc_id for r in out] == stored and [r.row_number for r in out] == list(range(800))
+    assert 150 < sum(r.source == "a" for r in out[:400]) < 250
