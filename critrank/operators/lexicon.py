@@ -25,26 +25,30 @@ from critrank.session import materialize
 
 #: Bytes of terms (with 100 more for each) that travel at a time.
 BLOCK_BYTES = 32 << 20
+#: Texts whose terms are in a task's memory at a time.
+PIECE_ROWS = 64
 
 
-def _found(rows: DataFrame, keys: list[str], terms: dict[str, list], group_type: T.DataType) -> DataFrame:
-    """(*keys, group, hits, terms) of each row and group with a term of the block."""
-    out = T.StructType([*[rows.schema[c] for c in keys], T.StructField("group", group_type),
-                        T.StructField("hits", T.LongType()), T.StructField("terms", T.ArrayType(T.StringType()))])
-    from pyspark.sql.pandas.types import to_arrow_schema
-    arrow = to_arrow_schema(out)
+def matches(batches: Iterator[pa.RecordBatch], keys: list[str], terms: dict[str, list],
+            arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of ``arrow`` for the texts of ``batches``, ``PIECE_ROWS`` texts at a time.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not terms:
-            return
-        import ahocorasick
-        automaton = ahocorasick.Automaton()
-        for t in terms:
-            automaton.add_word(t, t)
-        automaton.make_automaton()
-        for batch in batches:
+    What a text contains is many times its size as Python objects, so a piece is small
+    however many rows an Arrow batch has.
+    """
+    if not terms:
+        return
+    import ahocorasick
+    automaton = ahocorasick.Automaton()
+    for t in terms:
+        automaton.add_word(t, t)
+    automaton.make_automaton()
+    for batch in batches:
+        for p in range(0, batch.num_rows, PIECE_ROWS):
+            piece = batch.slice(p, PIECE_ROWS)
             at, groups, hits, matched = [], [], [], []
-            for i, text in enumerate(batch.column("_text").to_pylist()):
+            for i, text in enumerate(piece.column("_text")):
+                text = text.as_py()
                 by: dict = {}
                 for t in sorted({t for _, t in automaton.iter(text)}) if text else ():
                     for g in terms[t]:
@@ -56,10 +60,21 @@ def _found(rows: DataFrame, keys: list[str], terms: dict[str, list], group_type:
                     matched.append(ts)
             if at:
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c).take(pa.array(at)) for c in keys], pa.array(groups, arrow.field("group").type),
+                    [*[piece.column(c).take(pa.array(at)) for c in keys], pa.array(groups, arrow.field("group").type),
                      pa.array(hits, pa.int64()), pa.array(matched, pa.list_(pa.string()))],
                     names=[*keys, "group", "hits", "terms"]).cast(arrow)
 
+
+def _found(rows: DataFrame, keys: list[str], terms: dict[str, list], group_type: T.DataType) -> DataFrame:
+    """(*keys, group, hits, terms) of each row and group with a term of the block."""
+    out = T.StructType([*[rows.schema[c] for c in keys], T.StructField("group", group_type),
+                        T.StructField("hits", T.LongType()), T.StructField("terms", T.ArrayType(T.StringType()))])
+    from pyspark.sql.pandas.types import to_arrow_schema
+    arrow, find = to_arrow_schema(out), matches
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return find(batches, keys, terms, arrow)
+
     return rows.mapInArrow(run, out)
 
 
