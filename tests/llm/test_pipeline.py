@@ -84,3 +84,20 @@ def test_row_numbers_follow_the_mix(spark, tmp_path):
     out = sorted(corpus_pipeline.shard(spark, mixed, SF).collect(), key=lambda r: r.row_number)
     assert [r.doc_id for r in out] == stored and [r.row_number for r in out] == list(range(800))
     assert 150 < sum(r.source == "a" for r in out[:400]) < 250
+
+
+def test_row_numbers_are_the_places_of_the_whole_mix(spark, tmp_path):
+    """Not the places within each of the files that the mix is stored in."""
+    sizes = {"a": 900, "b": 450, "c": 150, None: 60}
+    df = spark.createDataFrame([(n, f"text {n}", s) for n, s in enumerate(s for s, k in sizes.items() for _ in range(k))],
+                               "doc_id long, text string, source string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        place = {r.doc_id: r.position for r in mixing.mix_sources(df).collect()}
+        corpus_pipeline.mix(spark, df, SF).write.parquet(path := str(tmp_path / "mixed"))
+        out = sorted(corpus_pipeline.shard(spark, spark.read.parquet(path), SF).collect(), key=lambda r: r.row_number)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(path).select(F.input_file_name()).distinct().count() > 1
+    assert [r.row_number for r in out] == list(range(1560))
+    assert [place[r.doc_id] for r in out] == sorted(place.values())
