@@ -282,3 +282,26 @@ def test_header_values_over_several_paragraphs(spark):
     assert (got[1].title, got[1].company, got[1].min_years, got[1].max_years) == ("A", "Acme", 5.0, 9.0)
     assert (got[2].title, got[2].location, got[2].min_years) == ("B", "Here", 2.0)
     assert (got[3].title, got[3].company, got[3].location) == ("Company:", "", "")
+
+
+def test_nested_results_are_written_compressed(spark, monkeypatch):
+    """Records repeat all field names: as plain text they took nine times the input."""
+    import glob
+    import os
+
+    from critrank.plans import registry
+    from critrank.session import ensure_checkpoint_dir
+    fields = ("source_score", "embedding_score", "bm25_score", "structured_score", "cross_encoder_score",
+              "confidence_score", "final_score")
+    scores = ", ".join(f"'dim{d}', struct({', '.join(f'id * {d} / 7.0D as {f}' for f in fields)})" for d in range(9))
+    rows = spark.range(2000).selectExpr("id % 20 as jd_id", "id as candidate_id", "1 as rank", "0.5 as final_score",
+                                        "'r' as reasoning", f"map({scores}) as dimension_scores")
+    monkeypatch.setattr(registry, "_results", lambda *a: rows)
+    top = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{top}/critrank-results-*"))
+    out = registry.q_result_nested(spark, "").collect()
+    (path,) = set(glob.glob(f"{top}/critrank-results-*")) - before
+    size = sum(os.path.getsize(f) for f in glob.glob(f"{path}/part-*"))
+    assert size < sum(len(r.dimension_scores) for r in out) / 4
+    assert sorted(r.doc_id for r in out) == list(range(2000))
+    assert all(r.dimension_scores.startswith('{"dim0":{"source_score":"0.000000"') for r in out)
