@@ -93,3 +93,23 @@ def test_a_jd_looks_into_few_leaves(monkeypatch):
     for j in range(40):
         want = sorted(zip((-plain({"fused": x}, np.full(20_000, j), ids)).tolist(), ids.tolist()))[:K]
         assert [(-a, b) for a, b in zip(s[jd == j].tolist(), found[jd == j].tolist())] == want
+
+
+def test_layers_pass_on_few_rows(spark, tmp_path, monkeypatch):
+    """Not k of each JD from each task of each layer."""
+    jds, feats = _weights(spark, 60), _feats(spark, 4000).repartition(8)
+    layers, passed = ranking.Layers.write(feats, CAT, str(tmp_path / "layers")), []
+    plain = ranking.best_of_tasks
+
+    def counted(rows, widths, some, *rest):
+        found = plain(rows, widths, some, *rest)
+        if "least" in some.columns or some.count() == 60:  # not the probes
+            passed.append(found.count())
+        return found
+
+    monkeypatch.setattr(ranking, "best_of_tasks", counted)
+    best, _ = layers.top(jds, CAT, K)
+    full = ranking.top_candidates(feats, jds, None, CAT, K)
+    cols = ["jd_id", "doc_id", "stage1", "stage1_rank"]
+    assert sorted(map(tuple, best.select(cols).collect())) == sorted(map(tuple, full.select(cols).collect()))
+    assert sum(passed) < 60 * K * 8
