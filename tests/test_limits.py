@@ -95,6 +95,47 @@ def test_a_jd_looks_into_few_leaves(monkeypatch):
         assert [(-a, b) for a, b in zip(s[jd == j].tolist(), found[jd == j].tolist())] == want
 
 
+def _own(rows, jds, size=16, k=K):
+    """A chunk and JDs with vectors of their own; the last JD has no weight."""
+    import pyarrow as pa
+    rng = np.random.RandomState(7)
+    w = rng.rand(jds, N)
+    w[-1] = 0.0
+    table = pa.table({"jd_id": list(range(jds)), "weights": w.tolist(), "mat": rng.randn(jds, N, size).tolist()})
+    cols = {"bm25": rng.rand(rows, N) ** 2, "structured": rng.rand(rows, N) ** 2, "embedding": rng.randn(rows, size)}
+    return ranking._JDs(table, N, ranking._fusion(CAT)), cols, rng.permutation(rows)
+
+
+def test_own_vectors_score_few_pairs_and_pass_on_similarities(monkeypatch):
+    """A JD without weight ties with every row: it took an exact score of each."""
+    jds, cols, ids = _own(5001, 30)
+    kept, pairs, plain = ranking._Kept(jds, K), [], jds.scores
+    monkeypatch.setattr(jds, "scores", lambda cols, jd, row, *emb: pairs.append(np.bincount(jd, minlength=30)) or plain(
+        cols, jd, row, *emb))
+    ranking._score_chunk(jds, kept, cols, ids)
+    jd, s, found, emb = kept.take()
+    assert sum(pairs)[-1] == K and sum(pairs).sum() < 30 * 5001 / 20
+    every = np.arange(5001)
+    for j in range(30):
+        sims = jds.similarities(cols, np.full(5001, j), every)
+        want = sorted(zip((-plain(cols, np.full(5001, j), every, sims)).tolist(), ids.tolist(), sims.tolist()))[:K]
+        assert [(-a, b, c) for a, b, c in zip(s[jd == j].tolist(), found[jd == j].tolist(), emb[jd == j].tolist())] == want
+
+
+def test_survivors_bring_the_similarities_of_their_own_vectors(spark):
+    """No survivor's row meets a JD's vectors again."""
+    rng = np.random.RandomState(5)
+    mats = [(i, None if i == 3 else [None if d == 2 else rng.randn(4).tolist() for d in range(N)]) for i in range(12)]
+    jds = _weights(spark, 12).join(spark.createDataFrame(mats, "jd_id long, mat array<array<double>>"), "jd_id")
+    feats = _feats(spark, 300)
+    top = ranking.top_candidates(feats.repartition(3), jds, None, CAT, K)
+    got = ranking.attach(top, feats, jds, None, CAT)
+    assert "mat" not in got.columns
+    want = ranking.attach(top.drop("emb"), feats.drop("emb"), jds, None, CAT)
+    pick = lambda df: sorted(map(tuple, df.select("jd_id", "doc_id", "emb", "fused").collect()))
+    assert pick(got) == pick(want) and len(pick(got)) == 12 * K
+
+
 def test_layers_pass_on_few_rows(spark, tmp_path, monkeypatch):
     """Not k of each JD from each task of each layer."""
     jds, feats = _weights(spark, 60), _feats(spark, 4000).repartition(8)
